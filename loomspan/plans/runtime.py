@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each session.
+
+    For drivers that have the package on their own path only; where it is
+    installed on all machines this isn't needed.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_loomspan_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="loomspan-code-")) / "loomspan.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._loomspan_shipped = True
+
+
 def local_session(app: str = "loomspan", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the benchmark."""
     b = (
