@@ -72,27 +72,34 @@ def parts_to_utc_millis(df: DataFrame, parts: str, zone: str, order: str, out: s
     The steps are projections of their own, so that each value is worked out
     once and the generated code stays small.
     """
-    p = {name: F.get(F.col(parts), F.lit(k + 1)) for k, name in enumerate(_PARTS)}
-    num = lambda name: p[name].try_cast("int")
+    at = {name: k + 1 for k, name in enumerate(_PARTS)}
+    p = {name: F.get(F.col(parts), F.lit(k)) for name, k in at.items()}
+    number = lambda text, kind="int": F.when(text != "", text.cast(kind))
+    num = lambda name: number(p[name])
     c = lambda name: F.col(f"_i_{name}")
     step = lambda _df, **cols: _df.withColumns({f"_i_{k}": v for k, v in cols.items()})
     whole = lambda a, b: F.floor(a / b).cast("bigint")
 
     month_of = F.create_map(*[x for k, v in MONTHS.items() for w in v.split() for x in (F.lit(w), F.lit(k))])
-    digits = F.regexp_replace(p["o"], "[^0-9]", "")
+    # The expression lets only digits into these parts, so that a cast needs no try: a failed try costs an exception.
+    # A higher-order function ends a stage of generated code: the JVM never compiles methods above 8000 bytes.
+    d = df.withColumn(parts, F.transform(F.col(parts), lambda x: F.trim(x)))
+    d = step(d, od=F.regexp_replace(p["o"], "[^0-9]", ""))
     d = step(
-        df,
-        y=num("y"), m=num("m"), d=num("d"), n1=num("n1"), n2=num("n2"), w=F.try_element_at(month_of, F.lower(p["w"])),
+        d,
+        y=num("y"), m=num("m"), d=num("d"), n1=num("n1"), n2=num("n2"), w=F.when(p["w"] != "", F.try_element_at(month_of, F.lower(p["w"]))),
         mf=F.coalesce(F.col(order), F.lit("dmy")) == "mdy", half=F.lower(F.substring(p["p"], 1, 1)), h=F.coalesce(num("h"), F.lit(0)),
-        mi=F.coalesce(num("mi"), F.lit(0)), s=F.coalesce(num("s"), F.lit(0)), f=F.coalesce(F.substring(F.rpad(p["f"], 3, "0"), 1, 3).try_cast("int"), F.lit(0)),
-        o=p["o"], od=digits, a=F.lower(p["a"]), e=p["e"],
+        mi=F.coalesce(num("mi"), F.lit(0)), s=F.coalesce(num("s"), F.lit(0)),
+        f=F.when(p["f"] == "", 0).otherwise(F.substring(F.rpad(p["f"], 3, "0"), 1, 3).cast("int")),
+        o=p["o"], a=F.lower(p["a"]), e=p["e"],
     )
     d = step(
         d,
         m=F.coalesce(c("m"), c("w"), F.when(c("mf"), c("n1")).otherwise(c("n2"))),
         d=F.coalesce(c("d"), F.when(c("mf"), c("n2")).otherwise(c("n1"))),
         h=F.when(c("half") == "", c("h")).when(c("h").between(1, 12), c("h") % 12 + F.when(c("half") == "p", 12).otherwise(0)),
-        oh=F.substring(c("od"), 1, 2).try_cast("int"), om=F.coalesce(F.substring(c("od"), 3, 2).try_cast("int"), F.lit(0)),
+        oh=number(F.substring(c("od"), 1, 2)), om=F.coalesce(number(F.substring(c("od"), 3, 2)), F.lit(0)),
+        in_utc=F.exists(F.array(c("a")), lambda x: x.isin(UTC_NAMES)),
         leap=((c("y") % 4 == 0) & (c("y") % 100 != 0)) | (c("y") % 400 == 0),
     )
     length = F.when(c("m") == 2, F.when(c("leap"), 29).otherwise(28)).when(c("m").isin(4, 6, 9, 11), 30).otherwise(31)
@@ -108,13 +115,13 @@ def parts_to_utc_millis(df: DataFrame, parts: str, zone: str, order: str, out: s
     d = step(d, wall=F.when(c("valid"), days * 86_400_000 + (c("h") * 3_600_000 + c("mi") * 60_000 + c("s") * 1000 + c("f")).cast("bigint")))
     # A filter on ``out`` must not be pushed through the steps: it would copy each of them into the filter.
     # The optimiser pushes nothing through a projection that holds a running number.
-    d = step(d, row=F.monotonically_increasing_id(), early=F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(c("wall")), F.col(zone))))
+    d = step(d, row=F.monotonically_increasing_id(), early=F.when((c("o") == "") & ~c("in_utc"), F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(c("wall")), F.col(zone)))))
     twice = F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(c("early") + 3_600_000), F.col(zone))) == c("wall")
     local = F.when(c("a").isin(STANDARD_NAMES) & twice, c("early") + 3_600_000).otherwise(c("early"))
     known = (c("a") == "") | c("a").isin(*FORWARD_NAMES, *STANDARD_NAMES)
-    dated = F.when(c("o") != "", c("wall") - c("offset") * 60_000).when(c("a").isin(UTC_NAMES), c("wall")).when(known, local)
+    dated = F.when(c("o") != "", c("wall") - c("offset") * 60_000).when(c("in_utc"), c("wall")).when(known, local)
     # Counts of seconds, or of milli-, micro- or nanoseconds, by their length.
-    counted = F.when(F.length(c("e")) == 10, c("e").try_cast("bigint") * 1000).otherwise(F.substring(c("e"), 1, 13).try_cast("bigint"))
+    counted = F.when(F.length(c("e")) == 10, c("e").cast("bigint") * 1000).otherwise(F.substring(c("e"), 1, 13).cast("bigint"))
     return d.select(*df.columns, F.when((F.size(parts) > 1) & (c("row") >= 0), F.when(c("e") != "", counted).otherwise(dated)).alias(out))
 
 

@@ -77,7 +77,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
         # The parts are made once, before the zone joins: nothing wide is shuffled.
         cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw"), F.lit(utc).alias("in_utc")) for f, utc in fields.items()]))
         rows = table(spark, folder, name).select(F.col(key).alias("record_id"), "outlet", cells.alias("c")).where(F.col("c.raw").isNotNull())
-        rows = rows.select("record_id", "outlet", "c.field_name", "c.in_utc", instant_parts(F.col("c.raw")).alias("parts")).where(F.size("parts") > 1)
+        rows = rows.select("record_id", "outlet", "c.field_name", "c.in_utc", instant_parts(F.col("c.raw")).alias("parts"))
         zoned = rows.join(outlet, "outlet", "left")
         zoned = zoned.withColumn("zone_name", F.when(F.col("in_utc"), F.lit("UTC")).otherwise(F.col("zone_name")))
         return parts_to_utc_millis(zoned, "parts", "zone_name", "date_order", "utc_ms").select("record_id", "field_name", "utc_ms").where(F.col("utc_ms").isNotNull())
