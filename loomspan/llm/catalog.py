@@ -136,7 +136,7 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities,
     "p3_found": p3_found, "p3_pairs_updated": p3_pairs_updated, "p5_found": p5_found, "p5_frequencies": p5_frequencies,
-    "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }
 ORACLES: dict[str, str] = {
     "p3_found": P3_BASE + "SELECT name_a, name_b FROM p JOIN m x ON x.entity_name = name_a JOIN m y ON y.entity_name = name_b, s WHERE c >= 5 AND c * s.n >= 20 * x.n * y.n",

@@ -69,10 +69,10 @@ def rates(sized: DataFrame, targets: DataFrame, total: int | None = None) -> Dat
     t = targets.where("source is not null").groupBy("source").agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats"))
     size = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     j = t.join(size, "source", "left").withColumns({"n_docs": F.coalesce("n_docs", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
-    whole = j.agg(F.sum("tokens").alias("all_tokens"), F.sum("target_share").alias("all_shares"))
-    wanted = F.col("target_share") / F.col("all_shares") * (F.lit(total) if total is not None else F.col("all_tokens"))
-    rate = F.when((F.col("tokens") > 0) & (F.col("all_shares") > 0), F.least(wanted / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return j.join(F.broadcast(whole)).select("source", "target_share", "max_repeats", "n_docs", "tokens", rate.alias("rate"))
+    whole = j.agg(F.sum("tokens").alias("tokens"), F.sum("target_share").alias("shares")).first()  # two numbers
+    wanted = F.col("target_share") * F.lit(float(total if total is not None else whole["tokens"] or 0) / (whole["shares"] or 1.0))
+    rate = F.when(F.col("tokens") > 0, F.least(wanted / F.nullif("tokens", F.lit(0)), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    return j.select("source", "target_share", "max_repeats", "n_docs", "tokens", rate.alias("rate"))
 
 
 def mix(sized: DataFrame, by_rate: DataFrame, doc: str, seed: int = 0) -> DataFrame:
@@ -95,9 +95,8 @@ def reached(mixed: DataFrame, by_rate: DataFrame) -> DataFrame:
     """``by_rate`` with mixed_tokens and reached_share of each source."""
     m = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
     j = by_rate.join(m, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    all_ = j.agg(F.sum("mixed_tokens").alias("all_mixed"))
-    share = F.when(F.col("all_mixed") > 0, F.col("mixed_tokens") / F.col("all_mixed")).otherwise(0.0)
-    return j.join(F.broadcast(all_)).withColumn("reached_share", share).drop("all_mixed")
+    whole = j.agg(F.sum("mixed_tokens")).first()[0] or 1
+    return j.withColumn("reached_share", F.col("mixed_tokens") / F.lit(float(whole)))
 
 
 def sized_documents(documents: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
