@@ -36,7 +36,9 @@ BAND = 8
 #: Characters of evaluation text in a block; words of training text in a shard.
 BLOCK_CHARS, SHARD_WORDS = 4_000_000, 2_000_000
 
-_LETTERS = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d"})
+# Letters that have no decomposition into a plain one and an accent.
+_LETTERS = {"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d"}
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -45,8 +47,13 @@ def plain_words(text: str | None) -> list[str]:
         return []
     text = re.sub(r"(\w)[-­‐]\s*\n\s*(?=\w)", r"\1", text)
     text = re.sub(r"\([^()]*\)|\[[^\[\]]*\]", " ", text)
-    text = unicodedata.normalize("NFD", text.lower().translate(_LETTERS))
-    return re.findall(r"[^\W_]+", "".join(ch for ch in text if not unicodedata.combining(ch)))
+    text = text.lower()
+    if not text.isascii():
+        for a, b in _LETTERS.items():
+            if a in text:
+                text = text.replace(a, b)
+        text = _ACCENTS.sub("", unicodedata.normalize("NFD", text))
+    return re.findall(r"[^\W_]+", text)
 
 
 def near(a: str, b: str) -> bool:
