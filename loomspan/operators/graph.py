@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.plans.runtime import staged
+
 EDGE, NODE = ["source", "target"], ["node"]
 
 
@@ -169,7 +171,7 @@ def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int
     seed is no side of a later triangle.  Self-loops are left out.  Only edges
     that touch a seed's end are joined.
     """
-    plain = g.where("source <> target")
+    plain = staged(g.where("source <> target"), "graph")  # read three times below
     s = seeds.where("source <> target") if seeds is not None else top_edges(plain, num_seeds, truncate)
     s = s.select("source", "target", "weight")
     ranked = s.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("weight"), "source", "target")))  # as many rows as seeds

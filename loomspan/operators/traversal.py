@@ -82,24 +82,25 @@ def distance_graph(g: DataFrame, directed: bool = False, weighted: bool = False,
 def components(g: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of an undirected graph; nodes without edges are components of their own.
 
-    Components are numbered from 0 in the order of their least nodes.  Each
-    round takes the least label among the neighbours and then the label of that
-    label, so that long chains shorten at once.
+    Components are numbered from 0 in the order of their least nodes.  In each
+    round a node, and the node that is its label, take the least label of a
+    label among its neighbours: trees of labels are hooked onto each other and
+    flattened at once, so that the rounds grow with the logarithm of the size.
     """
     e = staged(both_directions(g).where("source <> target").select("source", "target"), "edges")
     n = g.select(F.explode(F.array("source", "target")).alias("node"))
     if nodes is not None:
         n = n.unionByName(nodes.select("node"))
-    labels = staged(n.where("node is not null").distinct().select("node", F.col("node").alias("label")), "labels")
-    while True:
-        near = e.join(labels.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg(F.min("label").alias("near"))
-        low = staged(labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("low"), "label"), "labels")
-        # A node's label may by now have a lower label of its own.
-        up = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = staged(low.join(up, "low").select("node", F.least("low", "lower").alias("label"), (F.least("low", "lower") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            break
+    labels = staged(n.where("node is not null").distinct().select("node", F.col("node").alias("label"), F.lit(True).alias("moved")), "labels")
+    while not labels.where("moved").isEmpty():
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("grand"))
+        far = labels.select("node", "label").join(up, "label")
+        near = e.join(far.select(F.col("node").alias("target"), "grand"), "target").groupBy("source").agg(F.min("grand").alias("near"))
+        hooks = far.join(near, F.col("node") == F.col("source"), "left").select(
+            F.explode(F.array(F.struct("node", F.least("label", "grand", "near").alias("low")), F.struct(F.col("label").alias("node"), F.least("grand", "near").alias("low")))).alias("x")
+        )
+        low = hooks.select("x.node", "x.low").groupBy("node").agg(F.min("low").alias("low"))
+        labels = staged(labels.join(low, "node").select("node", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("moved")), "labels")
     ids = numbered(labels.select("label").distinct(), [F.col("label")], "label", "component")
     return labels.join(ids, "label").select("node", "component")
 

@@ -16,7 +16,7 @@ from loomspan.functions.dates import publishing_date
 from loomspan.operators import graph as g
 from loomspan.operators import lookup, metrics, timeline, traversal
 from loomspan.plans.rollup import Rollup
-from loomspan.plans.runtime import new_path
+from loomspan.plans.runtime import new_path, staged
 from loomspan.sources import cooccurrence, news
 from loomspan.sources.tables import table
 from loomspan.streaming import streams
@@ -729,9 +729,10 @@ ODD = (JAN[0] + 5 * 3_600_000, YEAR[1] - 17 * DAY)
 @query(BASE + f"SELECT source, target, round(sum(weight), 6) AS weight, count(*) AS n_docs FROM e WHERE {between(ODD)} GROUP BY 1, 2")
 def rollup_sum_edges(spark, folder):
     t = network(spark, folder)
+    edges = staged(t.edges, "edges")  # a table of edges, as a store would have it
     r = Rollup(spark, new_path(spark, "rollup"), MONTH)
-    r.build(t.edges, t.doc_nodes)
-    return r6(r.edges_between(t.edges, *ODD))
+    r.build(edges, t.doc_nodes)
+    return r6(r.edges_between(edges, *ODD))
 
 
 def _edge_files(spark, folder) -> str:
@@ -754,6 +755,4 @@ def stream_tumbling_sum(spark, folder):
 @query(BASE + f"SELECT source, target, max(ts) AS ts, round(sum(weight * exp({LOG_BETA!r} * (m - ts))), 6) AS value FROM (SELECT *, max(ts) OVER (PARTITION BY source, target) AS m FROM e) GROUP BY 1, 2")
 def stream_ewma(spark, folder):
     s = streams.read_edges(spark, _edge_files(spark, folder), SCHEMA)
-    out = new_path(spark, "stream")
-    streams.run_to_table(streams.decayed_sums(s, LOG_BETA), out, new_path(spark, "progress"), "update")
-    return r6(streams.latest_batch(spark, out, ["source", "target"]), "value")
+    return r6(streams.run_decayed(s, LOG_BETA, new_path(spark, "stream"), new_path(spark, "progress")), "value")
