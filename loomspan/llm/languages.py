@@ -14,6 +14,7 @@ its highest rate anywhere.  Everything else covers all documents and whole texts
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,13 +135,21 @@ def fit(documents: DataFrame, doc: str, text: str, label: str, sample: int = SAM
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sizes.items()], F.lit(1.0))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of_word: dict[str, list[str]] = {}
         for b in batches:
+            count: Counter = Counter()
             for lang, t in zip(b.lang, b.text):
                 words = {w for p in pieces(t) for s in sentences(p) for w in s if not w.isdigit()}
-                yield pd.DataFrame({"lang": lang, "gram": sorted({g for w in words for g in grams(w)})})
+                if len(of_word) > 400_000:
+                    of_word.clear()
+                for w in words:
+                    if w not in of_word:
+                        of_word[w] = grams(w)
+                count.update((lang, g) for g in {g for w in words for g in of_word[w]})
+            yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["lang", "gram", "n"])
 
     chosen = labelled.where(unit < share)
-    counts = chosen.select("lang", "text").mapInPandas(split, "lang string, gram string").groupBy("gram", "lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = chosen.select("lang", "text").mapInPandas(split, "lang string, gram string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     taken = {k: max(1.0, min(sizes[k], sample)) for k in sizes}
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.col("n") / F.lit(v)) for k, v in taken.items()], F.lit(0.0))
     rates = counts.withColumn("rate", rate).groupBy("gram").agg(F.collect_list(F.struct("lang", "rate")).alias("by"), F.max("rate").alias("most"))
