@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 WORDS, TELLING_SHARE = 12, 0.5
 #: A verbatim stretch of so many words is looked into if it has a telling word, or if it has LONG_SEED words.
 SEED, LONG_SEED = 2, 8
-#: A word is telling if no more evaluation texts than this have it.
-TELLING = 3
-#: Cost of a word that doesn't fit, against 1 for one that does: more than 2 in 5 of these end a passage.
-MISS = 1.5
+#: A word is telling if no more than one in 200 of the evaluation texts have it, and one may always.
+TELLING = 1 / 200
+#: Cost of a word that doesn't fit, against 1 for one that does; and the most of them in a passage, as a share of its words.
+MISS, MOST_MISSES = 1.5, 0.25
 #: Words put in or left out that an alignment follows.
 BAND = 8
 #: Characters of evaluation text in a block; words of training text in a shard.
@@ -126,38 +126,38 @@ def longest_matches(words: np.ndarray, array: np.ndarray, queries: np.ndarray) -
     return best
 
 
-def align(doc: list[str], item: list[str], shift: int, telling: set[str]) -> tuple[int, float]:
-    """(words of the item covered, share of its telling words found) of the best local alignment near a diagonal.
+def align(doc: list[str], item: list[str], shift: int, telling: set[str]) -> tuple[int, float, float]:
+    """(words of the item covered, share of its telling words found, misses per word) of the best local alignment near a diagonal.
 
     ``shift`` is the place in doc less the place in item of the seed.
     """
-    best, end = (0.0, 0, 0), -1
+    best, end = (0.0, 0, 0, 0), -1
     above: dict[int, tuple] = {}
     for j in range(len(item)):
         row: dict[int, tuple] = {}
         for i in range(max(0, j + shift - BAND), min(len(doc), j + shift + BAND + 1)):
             same = doc[i] == item[j] or near(doc[i], item[j])
-            # score, start in item, telling words found
+            # score, start in item, telling words found, misses (negated)
             a = above.get(i - 1)
             options = []
             if same:
                 hit = 1 if item[j] in telling else 0
-                options.append((a[0] + 1, a[1], a[2] + hit) if a and a[0] > 0 else (1.0, j, hit))
+                options.append((a[0] + 1, a[1], a[2] + hit, a[3]) if a and a[0] > 0 else (1.0, j, hit, 0))
             elif a and a[0] > MISS:
-                options.append((a[0] - MISS, a[1], a[2]))
+                options.append((a[0] - MISS, a[1], a[2], a[3] - 1))
             for b in (above.get(i), row.get(i - 1)):
                 if b and b[0] > MISS:
-                    options.append((b[0] - MISS, b[1], b[2]))
+                    options.append((b[0] - MISS, b[1], b[2], b[3] - 1))
             if options:
                 row[i] = x = max(options)
                 if same and x[0] > best[0]:
                     best, end = x, j
         above = row
     if end < 0:
-        return 0, 0.0
+        return 0, 0.0, 0.0
     span = item[best[1] : end + 1]
     there = sum(w in telling for w in span)
-    return len(span), best[2] / there if there else 1.0
+    return len(span), best[2] / there if there else 1.0, -best[3] / len(span)
 
 
 class Items:
@@ -176,7 +176,7 @@ class Items:
             for x in set(w):
                 count[x] = count.get(x, 0) + 1
         self.number = {w: k + 1 for k, w in enumerate(sorted(count))}
-        self.telling = {w for w, c in count.items() if c <= TELLING}
+        self.telling = {w for w, c in count.items() if c <= max(1, len(self.texts) * TELLING)}
         self.start = [(t, j) for t, w in enumerate(self.texts) for j in range(len(w))]
         self.depth = min(64, max((len(w) for w in self.texts), default=1))
 
@@ -236,11 +236,11 @@ def _search(items: Items, docs: list[tuple]) -> list[tuple]:
     found = []
     for (d, t), diagonals in seeds.items():
         doc, w = docs[d][1], items.texts[t]
-        best = (0, 0.0)
+        best = (0, 0.0, 0.0)
         for k in sorted(diagonals):
             lo = k * (BAND // 2)
             got = align(doc, w, lo + BAND // 4, items.telling)
-            if got[0] >= WORDS and got[1] >= TELLING_SHARE:
+            if got[0] >= WORDS and got[1] >= TELLING_SHARE and got[2] <= MOST_MISSES:
                 best = max(best, got)
         if best[0] >= WORDS:
             found.append((docs[d][0], items.owner[t], best[0], best[1]))
@@ -252,7 +252,8 @@ def leaks(documents: DataFrame, doc: str, text: str, evaluation: DataFrame, item
 
     A passage is WORDS words or more in a row of one of ``parts``, in which at
     least TELLING_SHARE of the telling words (those of few evaluation texts:
-    names, numbers) are found and too few others fail to end the alignment.
+    names, numbers) are found, and no more than MOST_MISSES of the words are
+    missing, replaced or put in; a misspelt word is no miss.
     Evaluation texts shorter than that have no passage.  Null and empty texts
     match nothing; repeated documents and items give repeated ids once; an
     empty table on either side gives no rows.
