@@ -22,11 +22,11 @@ INT64 = (1 << 63) - 1
 def bounds(ts_min: float | None, ts_max: float | None) -> tuple[int, int]:
     """Range as whole numbers from 0; None and infinity are open ends.  ValueError if the end is before the start."""
     lo = 0 if ts_min is None or ts_min == -math.inf else int(ts_min)
-    hi = INT64 if ts_max is None or ts_max == math.inf else int(ts_max)
+    hi = (1 << 64) - 1 if ts_max is None or ts_max == math.inf else int(ts_max)
     lo, hi = max(0, lo), max(0, hi)
     if hi < lo:
         raise ValueError("the range ends before it starts")
-    return lo, min(hi, INT64)
+    return lo, min(hi, INT64)  # a start beyond INT64 leaves nothing
 
 
 def during(df: DataFrame, ts_min=None, ts_max=None) -> DataFrame:

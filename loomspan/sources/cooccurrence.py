@@ -63,7 +63,7 @@ def cooccurrences(documents: DataFrame, occurrences: DataFrame, max_distance: in
         raise ValueError("how is 'sum' or 'max'")
     m = occurrences.groupBy("doc_id", "sen", "ent").agg(F.count(F.lit(1)).alias("m"))
     m = m.join(documents.select("doc_id", "ts"), "doc_id")
-    band = F.floor(F.col("sen") / (max_distance + 1)) if max_distance is not None else F.lit(0).cast("bigint")
+    band = F.expr(f"sen div {int(max_distance) + 1}") if max_distance is not None else F.lit(0).cast("bigint")
     x = m.select("doc_id", "ts", band.alias("band"), F.col("sen").alias("s1"), F.col("ent").alias("e1"), F.col("m").alias("m1"))
     reach = F.explode(F.array(band, band - 1)) if max_distance is not None else band
     y = m.select("doc_id", reach.alias("band"), F.col("sen").alias("s2"), F.col("ent").alias("e2"), F.col("m").alias("m2"))
