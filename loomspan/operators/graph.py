@@ -165,7 +165,8 @@ def top_edges(g: DataFrame, k: int, truncate: bool = False) -> DataFrame:
 def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int = 8, num_neighbors: int = 3, truncate: bool = False) -> DataFrame:
     """The heaviest edges, each with the nodes most strongly linked to both its ends.  Undirected graphs only.
 
-    Seeds are the heaviest edges (or those of ``seeds``: source, target, weight).
+    Seeds are the heaviest edges, or those of ``seeds`` (source, target, weight
+    and, if they are not to come in the order of their weight, rank).
     Of the common neighbours k of a seed (i, j), those with the greatest
     min(w_ik, w_jk) add the edges (i, k) and (j, k).  An edge that is an earlier
     seed is no side of a later triangle.  Self-loops are left out.  Only edges
@@ -173,8 +174,9 @@ def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int
     """
     plain = staged(g.where("source <> target"), "graph")  # read three times below
     s = seeds.where("source <> target") if seeds is not None else top_edges(plain, num_seeds, truncate)
-    s = s.select("source", "target", "weight")
-    ranked = s.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("weight"), "source", "target")))  # as many rows as seeds
+    first = F.col("rank") if "rank" in s.columns else -F.col("weight")
+    ranked = s.withColumn("ord", F.row_number().over(Window.orderBy(first, "source", "target"))).select("source", "target", "weight", "ord")  # as many rows as seeds
+    s = ranked.select("source", "target", "weight")
     ends = ranked.select("ord", F.explode(F.array("source", "target")).alias("node"))
     touch = both_directions(plain).join(F.broadcast(ends.select("node").distinct()), F.col("source") == F.col("node"), "left_semi")
     # Earlier seeds that meet an end of this one.

@@ -7,6 +7,8 @@ up with zeros unless a metric looks at single values in order.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,16 +102,26 @@ def entropy_2d(sampled: DataFrame, keys: list[str], steps: int, bins: int = 50)
 def pareto(values: DataFrame, keys: list[str], a: str, b: str, max_a: bool = True, max_b: bool = True, base: float = 0.0, max_fronts: int | None = None) -> DataFrame:
     """(keys ..., weight): number of the Pareto front, from 1, of two values; with a base, base ** (front - 1).
 
-    Front after front is peeled off.  A point is on the front if its b beats
-    the best b of all points with a better a, and that of its own a: a running
-    minimum in the order of a, worked out bucket by bucket.  Equal points share
-    a front.  ``max_fronts`` leaves out what is behind so many fronts.
+    Equal points share a front.  ``max_fronts`` leaves out what is behind so
+    many fronts; then front after front is peeled off: a point is on the front
+    if its b beats the best b of all points with a better a, and that of its own
+    a, a running minimum in the order of a, worked out bucket by bucket.
+
+    Without it the number of fronts may be large, and each different point is
+    looked at once, in the order of a: its front follows the last of those whose
+    best b so far isn't worse.  The state is one number per front, handed from
+    one stretch of points to the next; a stretch is streamed in sorted order.
     """
     x = (-F.col(a) if max_a else F.col(a)).alias("x")
     y = (-F.col(b) if max_b else F.col(b)).alias("y")
-    left = staged(bucketed(values.select(*keys, x, y).where("x is not null and y is not null"), "x"), "points")
+    points = values.select(*keys, x.cast("double"), y.cast("double")).where("x is not null and y is not null")
+    points = staged(points.toDF(*keys, "x", "y"), "points")
+    if max_fronts is None:
+        done = points.join(_fronts(points.select("x", "y").distinct()), ["x", "y"]).select(*keys, "front")
+        return done.select(*keys, (F.pow(F.lit(float(base)), F.col("front") - 1) if base else F.col("front").cast("double")).alias("weight"))
+    left = staged(bucketed(points, "x"), "points")
     done, front = None, 0
-    while not left.isEmpty() and (max_fronts is None or front < max_fronts):
+    while front < max_fronts and not left.isEmpty():
         front += 1
         own = left.groupBy("_bucket", "x").agg(F.min("y").alias("best"))
         tops = own.groupBy("_bucket").agg(F.min("best").alias("top"))  # a row per bucket
@@ -126,6 +138,42 @@ def pareto(values: DataFrame, keys: list[str], a: str, b: str, max_a: bool = Tru
     return done.select(*keys, (F.pow(F.lit(float(base)), F.col("front") - 1) if base else F.col("front").cast("double")).alias("weight"))
 
 
+#: Points of one stretch, about.
+STRETCH = 2_000_000
+
+
+def _fronts(points: DataFrame) -> DataFrame:
+    """(x, y, front) of different points, less being better."""
+    n = points.count()
+    cut = staged(bucketed(points, "x", max(1, n // STRETCH)), "stretches")
+    best: list[float] = []  # the least y of each front so far: never falls from one front to the next
+    done = None
+    for row in cut.select("_bucket").distinct().orderBy("_bucket").toLocalIterator():
+
+        def assign(batches, start=tuple(best)):
+            tops = list(start)
+            for batch in batches:
+                front = []
+                for v in batch.y.tolist():
+                    k = bisect_right(tops, v)
+                    if k == len(tops):
+                        tops.append(v)
+                    else:
+                        tops[k] = v
+                    front.append(k + 1)
+                yield batch[["x", "y"]].assign(front=front)
+
+        part = cut.where(F.col("_bucket") == row[0]).coalesce(1).sortWithinPartitions("x", "y").select("x", "y").mapInPandas(assign, "x double, y double, front int")
+        part = staged(part, "fronts")
+        for front, top in part.groupBy("front").agg(F.min("y")).orderBy("front").toLocalIterator():
+            if front > len(best):
+                best.append(top)
+            else:
+                best[front - 1] = min(best[front - 1], top)
+        done = part if done is None else done.unionByName(part)
+    return done if done is not None else points.select("x", "y", F.lit(0).alias("front")).limit(0)
+
+
 def pareto_many(values: DataFrame, keys: list[str], dims: dict[str, bool], base: float = 0.0, block: int = 5000) -> DataFrame:
     """As ``pareto`` for any number of values; ``dims`` says of each whether more is better.
 

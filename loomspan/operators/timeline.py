@@ -119,26 +119,36 @@ def count_windows(ts_min: int, ts_max: int, step: int, offset: int = 0) -> int:
     return n
 
 
-def topics(edges: DataFrame, doc_nodes: DataFrame | None, ts_min, ts_max, step: int | None = None, offset: int = 0) -> DataFrame:
+def topics(edges: DataFrame, doc_nodes: DataFrame | None, ts_min, ts_max, step: int | None = None, offset: int = 0, windows: list[tuple[int, int]] | None = None) -> DataFrame:
     """Score of each edge by how exclusive, steady and close its co-occurrence is.
 
     2 / ((D(u) + D(v) - D(e)) / D(e) + D(e) / S(e)) with documents D and total
     weight S; with windows 3 / (... + N / T(e)), N windows in all and T(e) with
     the edge.  0 where S(e) is 0.  One pass over the edges gives S, D and T.
+    The windows are those of ``step`` and ``offset``, or any ``windows`` (first,
+    last) that cover the range and don't overlap.
     """
     lo, hi = bounds(ts_min, ts_max)
+    if windows is not None:
+        cut = sorted((max(a, lo), min(b, hi)) for a, b in windows if b >= lo and a <= hi)
+        if not cut or cut[0][0] > lo or cut[-1][1] < hi or any(q[0] != p[1] + 1 for p, q in zip(cut, cut[1:])):
+            raise ValueError("the windows must cover the range, each time once")
     if step is not None and hi == INT64:
         raise ValueError("windows need a last time")
     aggs = [F.sum("weight").alias("s"), F.count(F.lit(1)).cast("double").alias("d")]
-    if step is not None:
+    if windows is not None:
+        starts = F.array(*[F.lit(a).cast("bigint") for a, _ in cut])
+        aggs.append(F.count_distinct(F.array_max(F.filter(starts, lambda a: a <= F.col("ts")))).cast("double").alias("t"))
+    elif step is not None:
         aggs.append(F.count_distinct(window_start(F.col("ts"), step, offset)).cast("double").alias("t"))
     e = during(edges, lo, hi).groupBy("source", "target").agg(*aggs)
     n = count_nodes(edges, doc_nodes, lo, hi)
     e = e.join(n.select(F.col("node").alias("source"), F.col("weight").alias("du")), "source").join(n.select(F.col("node").alias("target"), F.col("weight").alias("dv")), "target")
     w = (F.col("du") + F.col("dv") - F.col("d")) / F.col("d") + F.try_divide(F.col("d"), F.col("s"))
     top = 2.0
-    if step is not None:
-        w, top = w + F.lit(float(count_windows(lo, hi, step, offset))) / F.col("t"), 3.0
+    if step is not None or windows is not None:
+        n_windows = len(cut) if windows is not None else count_windows(lo, hi, step, offset)
+        w, top = w + F.lit(float(n_windows)) / F.col("t"), 3.0
     return e.select("source", "target", F.coalesce(F.try_divide(F.lit(top), w), F.lit(0.0)).alias("weight"))
 
 
@@ -202,16 +212,18 @@ def calendar_ranges(spark: SparkSession, period: str, first: int, last: int) ->
     """(step, win_min, win_max): consecutive ranges from ``first`` to ``last``, both included.
 
     ``period`` is a count and a unit: none for milliseconds, s, m (minutes), h,
-    d, w (from Mondays), M (months), q, y.  The first range starts at the
-    calendar unit that holds ``first``; the last ends at ``last``.
+    d, w (from Mondays), M (months), q, y.  Fixed units end at multiples of the
+    whole period; months and years are counted from that of ``first``, quarters
+    from its quarter.  The first range starts at ``first`` itself.
     """
     count = int(period.rstrip("smhdwMqy") or 1)
     unit = period.lstrip("0123456789")
+    if last < first:
+        raise ValueError("the range ends before it starts")
     if unit in _UNITS:
         size = _UNITS[unit] * count
         off = 4 * 86_400_000 if unit == "w" else 0  # 1970-01-01 was a Thursday
-        base = _UNITS[unit]
-        start = first - (first - off) % base
+        start = first - (first - off) % size
         n = (last - start) // size + 1
         r = spark.range(n).select(F.col("id").cast("int").alias("step"), (F.lit(start) + F.col("id") * size).alias("win_min"), (F.lit(start - 1) + (F.col("id") + 1) * size).alias("win_max"))
     elif unit in ("M", "q", "y"):
@@ -223,7 +235,7 @@ def calendar_ranges(spark: SparkSession, period: str, first: int, last: int) ->
         r = every.select("step", ms(F.add_months("d0", F.col("step") * months)).alias("win_min"), (ms(F.add_months("d0", (F.col("step") + 1) * months)) - 1).alias("win_max")).where(F.col("win_min") <= last)
     else:
         raise ValueError(f"no such unit: {unit}")
-    return r.withColumn("win_max", F.least("win_max", F.lit(last).cast("bigint")))
+    return r.withColumns({"win_min": F.greatest("win_min", F.lit(first).cast("bigint")), "win_max": F.least("win_max", F.lit(last).cast("bigint"))})
 
 
 def calendar_start(ts: Column, unit: str) -> Column:

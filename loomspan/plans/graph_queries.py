@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.dates import publishing_date
 from loomspan.operators import graph as g
 from loomspan.operators import lookup, metrics, timeline, traversal
+from loomspan.plans import dashboards
 from loomspan.plans.rollup import Rollup
 from loomspan.plans.runtime import new_path, staged
 from loomspan.sources import cooccurrence, news
@@ -464,9 +465,9 @@ def top_edges_truncate(spark, folder):
 SPARSE = """, bb AS (SELECT source AS s, target AS t, weight AS w FROM q WHERE source <> target UNION ALL SELECT target, source, weight FROM q WHERE source <> target),
  sd AS (SELECT source AS s, target AS t, weight AS w, row_number() OVER (ORDER BY weight DESC, source, target) AS ord FROM (SELECT *, rank() OVER (ORDER BY weight DESC) AS r FROM q WHERE source <> target) x WHERE r <= 8),
  sb AS (SELECT s, t, ord FROM sd UNION ALL SELECT t, s, ord FROM sd),
- c AS (SELECT sd.s AS i, sd.t AS j, sd.ord, x.t AS k, x.w AS wi, y.w AS wj FROM sd JOIN bb x ON x.s = sd.s JOIN bb y ON y.s = sd.t AND y.t = x.t
+ tri AS (SELECT sd.s AS i, sd.t AS j, sd.ord, x.t AS k, x.w AS wi, y.w AS wj FROM sd JOIN bb x ON x.s = sd.s JOIN bb y ON y.s = sd.t AND y.t = x.t
    LEFT JOIN sb p ON p.s = sd.s AND p.t = x.t AND p.ord < sd.ord LEFT JOIN sb q2 ON q2.s = sd.t AND q2.t = x.t AND q2.ord < sd.ord WHERE p.ord IS NULL AND q2.ord IS NULL),
- r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY least(wi, wj) DESC, k) AS rn FROM c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY least(wi, wj) DESC, k) AS rn FROM tri),
  oo AS (SELECT s, t, w FROM sd UNION ALL SELECT i, k, wi FROM r WHERE rn <= 3 UNION ALL SELECT j, k, wj FROM r WHERE rn <= 3)
 SELECT DISTINCT least(s, t) AS source, greatest(s, t) AS target, round(w, 6) AS weight FROM oo"""
 
@@ -658,40 +659,53 @@ def edge_time_series(spark, folder):
 
 
 @query("""WITH r AS (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 3 MONTH)) AS a)
-SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INT) AS step, epoch_ms(a) AS win_min, least(epoch_ms(a + INTERVAL 3 MONTH) - 1, (SELECT max(epoch_ms(o_orderdate)) FROM orders)) AS win_max FROM r
+SELECT CAST(row_number() OVER (ORDER BY a) - 1 AS INT) AS step, greatest(epoch_ms(a), (SELECT min(epoch_ms(o_orderdate)) FROM orders)) AS win_min, least(epoch_ms(a + INTERVAL 3 MONTH) - 1, (SELECT max(epoch_ms(o_orderdate)) FROM orders)) AS win_max FROM r
 WHERE epoch_ms(a) <= (SELECT max(epoch_ms(o_orderdate)) FROM orders)""")
 def calendar_ranges_quarters(spark, folder):
     lo, hi = documents(spark, folder).agg(F.min("ts"), F.max("ts")).first()
     return timeline.calendar_ranges(spark, "1q", lo, hi)
 
 
+def _dashboard(spark, folder) -> TemporalGraph:
+    """The network of a year, as a store would have it."""
+    t = network(spark, folder)
+    edges = staged(timeline.during(t.edges, *YEAR).repartition("doc_id"), "edges")
+    return TemporalGraph(t.documents, edges, t.doc_nodes)
+
+
 @query()
 def dashboard_stable_edges(spark, folder):
-    """Windows, normalised each, Pareto fronts by mean and deviation, then the sparse subgraph."""
-    s = _sampled(spark, folder)
-    out = s.groupBy("step", F.col("source")).agg(F.sum("weight").alias("w")).unionByName(s.groupBy("step", F.col("target").alias("source")).agg(F.sum("weight").alias("w"))).groupBy("step", "source").agg(F.sum("w").alias("w"))
-    n = s.join(out.withColumnRenamed("w", "o"), ["step", "source"]).join(out.select("step", F.col("source").alias("target"), F.col("w").alias("i")), ["step", "target"])
-    n = n.select("step", "source", "target", F.try_divide(F.col("weight"), F.col("o") * F.col("i")).alias("weight"))
-    return g.sparse_subgraph(metrics.stability_pareto(n, g.EDGE, STEPS, 0.5, max_fronts=20))
+    """Windows, each normalised; Pareto fronts of mean and deviation; then the sparse subgraph."""
+    return dashboards.subgraph(_dashboard(spark, folder), "stable_edges", *YEAR)[0]
 
 
 @query()
 def dashboard_stable_topics(spark, folder):
-    """Topics that are high and steady: fronts of topic score and deviation give the seeds of the subgraph of topics."""
-    t = network(spark, folder)
-    dev = metrics.deviation(_sampled(spark, folder, "topics"), g.EDGE, STEPS).withColumnRenamed("weight", "dev")
-    score = t.topics(*YEAR).df
-    both = score.withColumnRenamed("weight", "topic").join(dev, g.EDGE)
-    fronts = metrics.pareto(r9(both, "topic", "dev"), g.EDGE, "topic", "dev", True, False, 0.5, max_fronts=8)
-    seeds = g.top_edges(fronts, 8)
-    return g.sparse_subgraph(score, score.join(seeds.select("source", "target"), g.EDGE, "left_semi"))
+    """Topics that are high and steady are the seeds of the subgraph of topics."""
+    return dashboards.subgraph(_dashboard(spark, folder), "stable_topics", *YEAR)[0]
+
+
+@query(BASE + TOPICS.format(more="", r=between(YEAR)) + ", q AS (SELECT source, target, 2.0 / ((x.c + y.c - d) / d + d / s) AS weight FROM se JOIN c x ON x.node = source JOIN c y ON y.node = target)" + SPARSE)
+def dashboard_topics(spark, folder):
+    return r6(dashboards.subgraph(_dashboard(spark, folder), "topics", *YEAR)[0])
+
+
+@query(BASE + f""", y AS (SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM e WHERE {between(YEAR)} GROUP BY 1, 2), yb AS (SELECT source, weight FROM y UNION ALL SELECT target, weight FROM y),
+yo AS (SELECT source AS node, sum(weight) AS o FROM yb GROUP BY 1), q AS (SELECT source, target, weight / (a.o * z.o) AS weight FROM y JOIN yo a ON a.node = source JOIN yo z ON z.node = target)""" + SPARSE.replace("round(w, 6)", "round(w, 9)"))
+def dashboard_count_edges_norm(spark, folder):
+    return dashboards.subgraph(_dashboard(spark, folder), "count_edges_norm", *YEAR)[0].withColumn("weight", F.round("weight", 9))
 
 
 @query()
 def dashboard_stable_nodes(spark, folder):
     """Fronts of a high and steady place in the windows' eigenvectors."""
-    v = traversal.power_steps(_sampled(spark, folder), 5, ["step"])
-    return metrics.stability_pareto(v, ["node"], STEPS, max_fronts=20).withColumn("weight", -F.col("weight"))
+    return dashboards.node_sizes(_dashboard(spark, folder), "stable_nodes", *YEAR)
+
+
+@query()
+def dashboard_network_set(spark, folder):
+    """JSON rows of a whole dashboard."""
+    return dashboards.network_set(_dashboard(spark, folder), "topics", "eigenvector", *YEAR)
 
 
 @query(SAMPLED + ", dd AS (SELECT step, source, target, s AS weight FROM se UNION ALL SELECT step, target, source, s FROM se), " + _steps_sql(3, "step") + """, v AS (SELECT step, n AS node, x / sqrt(sum(x * x) OVER (PARTITION BY step)) AS x FROM v3)

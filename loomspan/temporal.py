@@ -363,11 +363,11 @@ class TemporalGraph:
         r = self.documents.agg(F.min("ts"), F.max("ts")).first()
         return (r[0] or 0, r[1] or 0)
 
-    def topics(self, ts_min=None, ts_max=None, step: int | None = None, offset: int = 0) -> Graph:
-        if step is not None and (ts_min is None or ts_max is None):
+    def topics(self, ts_min=None, ts_max=None, step: int | None = None, offset: int = 0, windows: list[tuple[int, int]] | None = None) -> Graph:
+        if (step is not None or windows is not None) and (ts_min is None or ts_max is None):
             lo, hi = self.data_bounds()
             ts_min, ts_max = lo if ts_min is None else ts_min, hi if ts_max is None else ts_max
-        return self._graph(timeline.topics(self.edges, self.doc_nodes, ts_min, ts_max, step, offset))
+        return self._graph(timeline.topics(self.edges, self.doc_nodes, ts_min, ts_max, step, offset, windows))
 
     def extract(self, weight: Callable[[Column], Column]) -> Graph:
         return self._graph(timeline.extract(self.edges, weight))

@@ -19,6 +19,10 @@ def test_topics(spark):
         assert abs(t.topics(*r)[0, 1] - want) < 1e-9
     for r, want in (((51, 350), 14 / 17), ((0, 350), 126 / 167), ((0, 400), 126 / 181)):
         assert abs(t.topics(*r, step=100, offset=51)[0, 1] - want) < 1e-9
+    assert abs(t.topics(0, 400, windows=[(0, 50), (51, 150), (151, 250), (251, 350), (351, 999)])[0, 1] - 126 / 181) < 1e-9
+    for bad in ([(0, 50), (60, 400)], [(0, 300)], []):
+        with pytest.raises(ValueError):
+            t.topics(0, 400, windows=bad)
     with pytest.raises(ValueError):
         t.topics(1, 0)
     u = TemporalGraph.from_graphs(spark, [(100, {(0, 1): 50.0}), (100, {(0, 1): 50.0}), (100, {(1, 2): 1.0})])
@@ -74,9 +78,11 @@ def test_compress_and_samples(spark):
 def test_calendar(spark):
     day = 86_400_000
     got = [tuple(r) for r in tl.calendar_ranges(spark, "1w", 3 * day, 13 * day).orderBy("step").collect()]  # a Sunday to a Wednesday
-    assert got == [(0, -3 * day, 4 * day - 1), (1, 4 * day, 11 * day - 1), (2, 11 * day, 13 * day)]
+    assert got == [(0, 3 * day, 4 * day - 1), (1, 4 * day, 11 * day - 1), (2, 11 * day, 13 * day)]
     m = tl.calendar_ranges(spark, "2M", 31 * day, 150 * day).orderBy("step").collect()
     assert [r["win_min"] // day for r in m] == [31, 90, 151][: len(m)] and m[-1]["win_max"] == 150 * day
+    assert [r["win_min"] // day for r in tl.calendar_ranges(spark, "2d", 3 * day, 6 * day).orderBy("step").collect()] == [3, 4, 6]
+    assert [r["win_min"] // day for r in tl.calendar_ranges(spark, "1q", 40 * day, 100 * day).orderBy("step").collect()] == [40, 90]
     assert tl.calendar_ranges(spark, "1y", 0, 364 * day).count() == 1 and tl.calendar_ranges(spark, "500", 0, 999).count() == 2
     with pytest.raises(ValueError):
         tl.calendar_ranges(spark, "1x", 0, 1)
