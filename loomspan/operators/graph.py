@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.plans.numbering import numbered
 from loomspan.plans.runtime import staged
 
 EDGE, NODE = ["source", "target"], ["node"]
@@ -174,16 +175,17 @@ def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int
     """
     plain = staged(g.where("source <> target"), "graph")  # read three times below
     s = seeds.where("source <> target") if seeds is not None else top_edges(plain, num_seeds, truncate)
+    # Ties can make any number of seeds, so they are numbered without one big task and no join is told to broadcast them.
     first = F.col("rank") if "rank" in s.columns else -F.col("weight")
-    ranked = s.withColumn("ord", F.row_number().over(Window.orderBy(first, "source", "target"))).select("source", "target", "weight", "ord")  # as many rows as seeds
+    ranked = staged(numbered(s.withColumn("_first", first.cast("double")), [F.col("source"), F.col("target")], "_first", "ord").select("source", "target", "weight", "ord"), "seeds")
     s = ranked.select("source", "target", "weight")
     ends = ranked.select("ord", F.explode(F.array("source", "target")).alias("node"))
-    touch = both_directions(plain).join(F.broadcast(ends.select("node").distinct()), F.col("source") == F.col("node"), "left_semi")
+    touch = both_directions(plain).join(ends.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
     # Earlier seeds that meet an end of this one.
     seed_ways = both_directions(ranked.select("source", "target", F.col("ord").cast("double").alias("weight")))
-    sides = touch.join(F.broadcast(ends.withColumnRenamed("node", "source")), "source")
+    sides = touch.join(ends.withColumnRenamed("node", "source"), "source")
     blocked = seed_ways.select("source", "target", F.col("weight").alias("earlier"))
-    sides = sides.join(F.broadcast(blocked), ["source", "target"], "left").where(F.col("earlier").isNull() | (F.col("earlier") > F.col("ord")))
+    sides = sides.join(blocked, ["source", "target"], "left").where(F.col("earlier").isNull() | (F.col("earlier") > F.col("ord")))
     both = sides.groupBy("ord", F.col("target").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least"), F.collect_list(F.struct("source", "weight")).alias("side")).where("n = 2")  # two rows each
     best = both.withColumn("rn", F.row_number().over(Window.partitionBy("ord").orderBy(F.desc("least"), "k"))).where(F.col("rn") <= num_neighbors)
     extra = best.select("k", F.explode("side").alias("x")).select(F.least("k", "x.source").alias("source"), F.greatest("k", "x.source").alias("target"), "x.weight")

@@ -69,7 +69,7 @@ def _entropy(values: DataFrame, keys: list[str], parts: list[str], cols: list[st
     """Per key the sum over its values of -p ln p, with p the share of all values (of a part) in the bin it looks up."""
     limits = [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))] + [F.count(F.lit(1)).alias("all")]
     if parts:
-        v = values.join(F.broadcast(values.groupBy(*parts).agg(*limits)), parts)  # a row per step
+        v = values.join(values.groupBy(*parts).agg(*limits), parts)
     else:
         one = values.agg(*limits).first()
         v = values.withColumns({k: F.lit(x) for k, x in one.asDict().items()})
@@ -79,7 +79,7 @@ def _entropy(values: DataFrame, keys: list[str], parts: list[str], cols: list[st
         flat = flat | (F.col(f"lo_{c}") == F.col(f"hi_{c}"))
     hist = v.select(*parts, "all", *count_bins).groupBy(*parts, *[f"b_{c}" for c in cols]).agg((F.count(F.lit(1)) / F.first("all")).alias("p"))
     looked = v.select(*parts, *keys, flat.alias("flat"), *[_bins(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), bins, True).alias(f"b_{c}") for c in cols])
-    j = looked.join(F.broadcast(hist), [*parts, *[f"b_{c}" for c in cols]], "left")  # at most bins ** len(cols) rows a part
+    j = looked.join(hist, [*parts, *[f"b_{c}" for c in cols]], "left")
     return j.groupBy(*keys).agg(F.sum(F.when(F.col("flat") | F.col("p").isNull(), 0.0).otherwise(-F.col("p") * F.ln("p"))).alias("weight"))
 
 
