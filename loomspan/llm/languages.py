@@ -31,6 +31,8 @@ POSITIONS, HASHES = 1 << 20, 4
 #: An n-gram is usual in a language if at least this share of its documents have it,
 #: and this part of the share in the language that has it most.
 LEAST_SHARE, NEAR_BEST = 0.004, 0.3
+#: The most n-grams the filters are fitted on; of more, those with the highest shares.  With SAMPLE, the bound of what the driver sees.
+MOST_GRAMS = 400_000
 #: Words of a sentence that are needed to tell its language.
 LEAST_WORDS = 4
 #: Letters of the n-grams within a word, which is padded by one blank on both sides.
@@ -154,8 +156,7 @@ def fit(documents: DataFrame, doc: str, text: str, label: str, sample: int = SAM
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.col("n") / F.lit(v)) for k, v in taken.items()], F.lit(0.0))
     rates = counts.withColumn("rate", rate).groupBy("gram").agg(F.collect_list(F.struct("lang", "rate")).alias("by"), F.max("rate").alias("most"))
     bit = {k: 1 << i for i, k in enumerate(LANGUAGES)}
-    # N-grams that reach LEAST_SHARE of the bounded sample: their number is bounded by sample * words of a text / LEAST_SHARE.
-    kept = rates.where(F.col("most") >= LEAST_SHARE).collect()
+    kept = rates.where(F.col("most") >= LEAST_SHARE).orderBy(F.desc("most"), "gram").limit(MOST_GRAMS).collect()
     return Filters([(r["gram"], sum(bit[x["lang"]] for x in r["by"] if x["rate"] >= LEAST_SHARE and x["rate"] >= NEAR_BEST * r["most"])) for r in kept])
 
 

@@ -34,7 +34,7 @@ MISS, MOST_MISSES = 1.5, 0.25
 #: Words put in or left out that an alignment follows.
 BAND = 8
 #: Characters of evaluation text in a block; words of training text in a shard.
-BLOCK_CHARS, SHARD_WORDS = 4_000_000, 2_000_000
+BLOCK_CHARS, SHARD_WORDS = 1_000_000, 2_000_000
 
 # Letters that have no decomposition into a plain one and an accent.
 _LETTERS = {"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d"}
