@@ -35,7 +35,7 @@ def _linked(t: together.PairTable) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Names in at least 5 sentences together, and 20 times as often as by chance."""
-    t = together.together(table(spark, folder, "entity"), SENTENCE, "entity_name")
+    t = together.together(table(spark, folder, "entity"), SENTENCE, "entity_name", least=5, lift=20)
     return _linked(t).select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 

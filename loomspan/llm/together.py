@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.plans.runtime import new_path
+from loomspan.plans.runtime import new_path, staged
 
 BUCKETS = 32
 
@@ -50,15 +50,23 @@ class PairTable:
     The manifest names the folder of each bucket; it is replaced last, so a
     run that fails leaves the table as it was.  Without ``folder`` a new one is
     made in the shared folder.
+
+    A table for pairs in at least ``least`` baskets and with a lift of at least
+    ``lift`` counts only pairs that can get there, which changes none of them: a
+    pair has no more baskets than its rarer item, so items in fewer than
+    ``least`` baskets, or in more than 1 / ``lift`` of all, have no such pair.
+    A basket of very many items then costs what its eligible items cost.  An
+    item that becomes eligible is counted from all baskets, and stays counted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS, least: int = 1, lift: float = 0.0):
         self.spark, self.folder, self.buckets = spark, folder or new_path(spark, "pairs"), buckets
-        self.version, self.places, self.n = 0, {"pairs": {}, "items": {}}, 0
+        self.least, self.lift = least, lift
+        self.version, self.places, self.n = 0, {"pairs": {}, "items": {}, "counted": {}}, 0
         names = self._manifests()
         if names:
             m = json.loads(spark.read.text(names[-1]).first()[0])
-            self.version, self.n, self.buckets = m["version"], m["n"], m["buckets"]
+            self.version, self.n, self.buckets, self.least, self.lift = m["version"], m["n"], m["buckets"], m["least"], m["lift"]
             self.places = {k: {int(b): p for b, p in v.items()} for k, v in m["places"].items()}
 
     def _fs(self, path: str):
@@ -82,36 +90,69 @@ class PairTable:
     def _merge(self, kind: str, schema: str, keys: list[str], count: str, delta: DataFrame) -> None:
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
         fresh = not self.places[kind]
-        staged = f"{self.folder}/{kind}/delta-{self.version + 1}"
         if fresh:
-            merged, staged = delta, None
+            merged = delta
         else:
-            delta.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(staged)
-            delta = self.spark.read.parquet(staged)
+            changes = f"{self.folder}/{kind}/delta-{self.version + 1}"
+            delta.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(changes)
+            delta = self.spark.read.schema(f"{schema}, bucket int").parquet(changes)
             touched = {r[0] for r in delta.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
             merged = self._read(kind, schema, touched).unionByName(delta.select(*keys, count)).groupBy(*keys).agg(F.sum(count).alias(count)).where(F.col(count) != 0)
         out = f"{self.folder}/{kind}/v{self.version + 1}"
-        merged.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(out)
+        merged.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(out)
         fs, p = self._fs(out)
         written = {int(s.getPath().getName().split("=")[1]): s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
         if not fresh:
             self.places[kind] = {b: p for b, p in self.places[kind].items() if b not in touched}
         self.places[kind].update(written)
 
-    def apply(self, old: DataFrame | None, new: DataFrame | None) -> None:
-        """Replace the contents ``old`` of some baskets by ``new``."""
+    @property
+    def all_items(self) -> bool:
+        return self.least <= 1 and self.lift <= 1
+
+    def apply(self, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None = None) -> None:
+        """Replace the contents ``old`` of some baskets by ``new``.
+
+        ``every`` are all baskets as they are now; a table that doesn't count
+        all items needs them where items become eligible, unless it is new.
+        """
         if old is None and new is None:
             return
+        if every is None and self.version == 0:
+            every = new
         pairs, items, size = deltas(old, new)
-        self._merge("pairs", "a string, b string, c bigint", ["a", "b"], "c", pairs)
         self._merge("items", "item string, n bigint", ["item"], "n", items)
         self.n += size.first()[0]
+        if not self.all_items:
+            pairs = self._eligible_pairs(old, new, every)
+        self._merge("pairs", "a string, b string, c bigint", ["a", "b"], "c", pairs)
         self.version += 1
         fs, target = self._fs(f"{self.folder}/manifest/{self.version:09d}.json")
         stream = fs.create(target, False)
-        stream.write(bytearray(json.dumps({"version": self.version, "n": self.n, "buckets": self.buckets, "places": self.places}).encode()))
+        stream.write(bytearray(json.dumps({"version": self.version, "n": self.n, "buckets": self.buckets, "least": self.least, "lift": self.lift, "places": self.places}).encode()))
         stream.close()
 
+    def _eligible_pairs(self, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None) -> DataFrame:
+        """Changes of pairs of items counted so far, and whole counts of pairs with an item that isn't yet."""
+        counted = self._read("counted", "item string, n bigint").select("item")
+        fresh = self.items().where((F.col("n") >= self.least) & (F.col("n") * F.lit(float(self.lift)) <= self.n)).select("item").join(counted, "item", "left_anti")
+        fresh = staged(fresh, "fresh")
+        only = lambda d, of: None if d is None else d.join(of, "item", "left_semi")
+        changes = None
+        if self.places["counted"]:
+            changes = deltas(only(old, counted), only(new, counted))[0]
+        if not fresh.isEmpty():
+            if every is None:
+                raise ValueError("items became eligible: all baskets are needed")
+            both = counted.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
+            marked = every.join(both, "item")
+            keys = [c for c in every.columns if c != "item"]
+            x, y = (marked.withColumnRenamed("item", k).withColumnRenamed("is_new", f"new_{k}") for k in "ab")
+            whole = x.join(y, keys).where("a < b and (new_a or new_b)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+            changes = whole if changes is None else changes.unionByName(whole)
+            self._merge("counted", "item string, n bigint", ["item"], "n", fresh.withColumn("n", F.lit(1).cast("bigint")))
+        return changes if changes is not None else self.spark.createDataFrame([], "a string, b string, c bigint")
+
     def scores(self, least: int = 1) -> DataFrame:
         """(a, b, c, n_a, n_b, n, lift) of pairs in at least ``least`` baskets; lift is c * n / (n_a * n_b)."""
         i = self.items()
@@ -120,8 +161,8 @@ class PairTable:
         return s.select("a", "b", "c", "n_a", "n_b", F.lit(self.n).cast("bigint").alias("n"), (F.col("c") * F.lit(self.n) / (F.col("n_a").cast("double") * F.col("n_b"))).alias("lift"))
 
 
-def together(df: DataFrame, keys: Sequence[str], item: str, folder: str | None = None) -> PairTable:
+def together(df: DataFrame, keys: Sequence[str], item: str, folder: str | None = None, least: int = 1, lift: float = 0.0) -> PairTable:
     """The pair table of all baskets of ``df``; items are compared as text, in byte order."""
-    t = PairTable(df.sparkSession, folder)
-    t.apply(None, baskets(df, keys, item).withColumn("item", F.col("item").cast("string")))
+    t = PairTable(df.sparkSession, folder, least=least, lift=lift)
+    t.apply(None, staged(baskets(df, keys, item).withColumn("item", F.col("item").cast("string")), "baskets"))
     return t

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pytest
+
 from loomspan.llm import terms, together
 
 SCHEMA = "a bigint, s int, item string, k0 string, n bigint, sign int"
@@ -48,6 +50,41 @@ def test_together(spark, tmp_path):
     assert again.n == 0 and again.pairs().count() == 0 and again.items().count() == 0
 
 
+@pytest.mark.parametrize("least,lift", [(3, 0.0), (1, 4.0), (3, 4.0)])
+def test_only_pairs_that_can_count(spark, tmp_path, least, lift):
+    folder = f"file://{tmp_path}/t"
+
+    def check_those(t, data):
+        pairs, items, n = brute(data)
+        good = lambda c, a, b: c >= least and c * n >= lift * items[a] * items[b]
+        got = {(r["a"], r["b"]): r["c"] for r in t.scores(least).collect() if good(r["c"], r["a"], r["b"])}
+        assert got == {p: c for p, c in pairs.items() if good(c, *p)}
+
+    one = data_of(11, 120)
+    t = together.together(spark.createDataFrame(one, SCHEMA), ["a", "s"], "item", folder, least, lift)
+    check_those(t, one)
+    rng = random.Random(12)
+    now = one
+    for step in range(3):  # items become eligible, or cease to be
+        gone = {rng.randrange(15) for _ in range(4)}
+        added = [(50 + step, s, i, "x", 1, 1) for s in range(3) for i in rng.sample(["a", "b", "q", "w", "z"], 3)]
+        then = [r for r in now if r[0] not in gone] + added
+        old = together.baskets(spark.createDataFrame([r for r in now if r[0] in gone] or now[:0], SCHEMA), ["a", "s"], "item")
+        new = together.baskets(spark.createDataFrame(added, SCHEMA), ["a", "s"], "item")
+        t = together.PairTable(spark, folder)
+        t.apply(old, new, together.baskets(spark.createDataFrame(then, SCHEMA), ["a", "s"], "item"))
+        check_those(t, then)
+        now = then
+
+
+def test_eligible_items_need_all_baskets(spark):
+    df = spark.createDataFrame([(1, 1, "a", "", 1, 1), (1, 1, "b", "", 1, 1)], SCHEMA)
+    t = together.together(df, ["a", "s"], "item", least=2)
+    assert t.pairs().count() == 0
+    with pytest.raises(ValueError):
+        t.apply(None, together.baskets(df.replace(1, 2, ["a"]), ["a", "s"], "item"))
+
+
 def test_no_baskets(spark):
     t = together.together(spark.createDataFrame([], SCHEMA), ["a", "s"], "item")
     assert t.scores().count() == 0 and t.n == 0
