@@ -7,7 +7,9 @@ histograms that are refined round by round until the ranks resolve.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +56,9 @@ def heavy_keys(df: DataFrame, key: str, share: float, bins: int = 1 << 16) -> Da
     counts = df.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy().agg(F.sum("n").alias("total"), F.collect_list(F.struct("bin", "n")).alias("b"))  # at most bins + 1 counters
     total = F.coalesce(F.col("total"), F.lit(0))
-    top = F.filter("b", lambda x: x["bin"].isNotNull() & (x["n"] >= F.ceil(total * share)))
+    top = F.filter("b", lambda x: x["bin"].isNotNull() & (x["n"] >= F.floor(total * share)))
     row = counts.select(total.alias("total"), F.transform(top, lambda x: x["bin"]).alias("bins")).first()
-    least = row["total"] * share
+    least = math.ceil(row["total"] * Decimal(repr(float(share))))  # 7 of 100 is 7 %, which in floating numbers it isn't
     return df.where(bin_of.isin(row["bins"] or [-1])).groupBy(text.alias("key_text")).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= F.lit(least))
 
 

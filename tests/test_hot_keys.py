@@ -24,6 +24,8 @@ def test_totals_and_heavy_keys(spark):
     for share in (0.01, 0.04, 0.2, 1.0):
         heavy = {r["key_text"]: r["n_rows"] for r in hot_keys.heavy_keys(df, "k", share, bins=8).collect()}
         assert heavy == {k: n for k, (n, *_) in want.items() if n >= share * len(data)}
+    even = spark.createDataFrame([("a" if i < 7 else f"k{i}", 1.0, "", "") for i in range(100)], SCHEMA)
+    assert rows(hot_keys.heavy_keys(even, "k", 0.07)) == [("a", 7)]
     with pytest.raises(ValueError):
         hot_keys.heavy_keys(df, "k", 0)
 
