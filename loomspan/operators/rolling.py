@@ -38,7 +38,7 @@ def daily_amounts(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> Da
     arises (NaN counts as 0 too).  Rows without ``ts`` belong to no day and are
     passed over.  The sum is exact to ``SCALE`` digits after the point.
     """
-    day = F.unix_date(F.col(ts).cast("timestamp").cast("date")).alias("day_no")
+    day = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000).cast("int").alias("day_no")
     v = F.col(value).cast("double")
     amount = F.coalesce(F.when(~F.isnan(v), v), F.lit(0.0)).cast(f"decimal(26,{SCALE})").alias("amount")
     ends = F.explode(F.array_distinct(F.array(*[F.col(k).cast("bigint") for k in keys]))).alias("node")
