@@ -23,6 +23,12 @@ def publishing_date(text: Column, crawltime: Column) -> Column:
     return F.coalesce(day, second, fine, crawltime)
 
 
+def social_date(text: Column) -> Column:
+    """A timestamp from ``Wed Oct 10 20:19:24 +0000 2018``, or null."""
+    shape = r"^\w{3} (\w{3} \d{2} \d{2}:\d{2}:\d{2} [+-]\d{4} \d{4})$"
+    return F.when(text.rlike(shape), F.try_to_timestamp(F.regexp_extract(text, shape, 1), F.lit("MMM dd HH:mm:ss xx yyyy")))
+
+
 _MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m}
 _NOW = ("present", "ongoing", "now")
 _DAYS = tuple(d.lower() for d in calendar.day_name)

@@ -75,3 +75,14 @@ def page(documents: DataFrame, ts: int, doc_id: int | None, direction: str, size
     back = direction in ("prev", "le")
     order = [F.desc("ts"), F.desc("doc_id")] if back else [F.col("ts"), F.col("doc_id")]
     return documents.where(keyset(ts, doc_id, direction)).orderBy(*order).limit(size)
+
+
+def pages(documents: DataFrame, ts: int = 0, doc_id: int | None = None, size: int = 256, back: bool = False):
+    """Pages of documents one after the other, as lists of (ts, doc_id); each page is a bounded top-k from where the last one ended."""
+    direction = "le" if back else "ge"
+    while True:
+        rows = [(r["ts"], r["doc_id"]) for r in page(documents, ts, doc_id, direction, size).collect()]  # at most 4096 rows
+        if not rows:
+            return
+        yield rows
+        (ts, doc_id), direction = rows[-1], "prev" if back else "next"

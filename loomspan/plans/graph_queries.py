@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import ids
 from loomspan.functions.dates import publishing_date
 from loomspan.operators import graph as g
 from loomspan.operators import lookup, metrics, timeline, traversal
 from loomspan.plans import dashboards
 from loomspan.plans.rollup import Rollup
 from loomspan.plans.runtime import new_path, staged
-from loomspan.sources import cooccurrence, news
+from loomspan.sources import cooccurrence, filters, news
 from loomspan.sources.tables import table
 from loomspan.streaming import streams
 from loomspan.temporal import TemporalGraph
@@ -325,6 +326,17 @@ def documents_page(spark, folder):
     return lookup.page(documents(spark, folder), AT, 100, "next").select("doc_id", "ts")
 
 
+@query("""SELECT o_orderkey AS doc_id, epoch_ms(o_orderdate) AS ts FROM orders WHERE (epoch_ms(o_orderdate) > 850000000000 AND epoch_ms(o_orderdate) <= 860000000000) OR o_orderkey < 20""")
+def documents_by_filter(spark, folder):
+    q = {"$or": [{"time": {"$gt": 850_000_000_000, "$lte": 860_000_000_000}}, {"id": {"$lt": 20}}]}
+    return documents(spark, folder).where(filters.condition(q, {"time": "ts", "id": "doc_id"})).select("doc_id", "ts")
+
+
+@query("SELECT o_orderkey AS doc_id, lower(lpad(to_hex(o_custkey), 8, '0') || lpad(to_hex(o_orderkey), 16, '0')) AS ext_id FROM orders")
+def object_ids(spark, folder):
+    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), ids.oid_text(F.col("o_custkey"), F.col("o_orderkey")).alias("ext_id"))
+
+
 # ---- one graph -----------------------------------------------------------------------
 @query(BASE + "SELECT CAST(count(*) AS BIGINT) AS num_edges, round(sum(weight), 6) AS total, (SELECT count(*) FROM deg) AS num_nodes FROM g")
 def graph_counts(spark, folder):

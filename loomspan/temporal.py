@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import graph as g
 from loomspan.operators import lookup, metrics, timeline, traversal
+from loomspan.plans.numbering import numbered
 from loomspan.sources import cooccurrence, textfiles
 
 EDGES = "doc_id bigint, ts bigint, source bigint, target bigint, weight double"
@@ -311,6 +312,25 @@ class TemporalGraph:
         n = self.nodes.groupBy(pk.alias("_k")).agg(F.min_by(F.struct("node", "attrs"), "node").alias("n")).select("n.*")
         return replace(self, nodes=n, primary_key=names)
 
+    def get_or_create(self, rows: DataFrame) -> TemporalGraph:
+        """With a node for each primary key in ``rows`` (attrs) that has none yet; the others keep theirs.
+
+        New nodes get the next free numbers in the order of their keys; of
+        several rows for a key one is taken.  Attributes that are missing are
+        part of the key as such.
+        """
+        if not self.primary_key:
+            raise ValueError("set a primary key first")
+        key = F.to_json(F.array(*[F.try_element_at("attrs", F.lit(k)) for k in self.primary_key]))
+        have = self.nodes if self.nodes is not None else rows.sparkSession.createDataFrame([], "node bigint, attrs map<string,string>")
+        known = have.select(key.alias("_k"))
+        entries = F.array_sort(F.map_entries("attrs"))
+        fresh = rows.select(key.alias("_k"), entries.alias("e")).join(known, "_k", "left_anti").groupBy("_k").agg(F.min("e").alias("e"))
+        last = have.agg(F.max("node")).first()[0]  # one number
+        free = 0 if last is None else last + 1
+        made = numbered(fresh.withColumn("_one", F.lit(0)), [F.col("_k")], "_one", "number").select((F.col("number") + free).alias("node"), F.map_from_entries("e").alias("attrs"))
+        return replace(self, nodes=have.select("node", "attrs").unionByName(made))
+
     def find_nodes(self, **attrs: str) -> DataFrame:
         n = self.nodes
         for k, v in attrs.items():

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.functions.dates import free_text_range, publishing_date
-from loomspan.sources import codec, cooccurrence, news, textfiles, webpages
+from loomspan.functions import ids
+from loomspan.functions.dates import free_text_range, publishing_date, social_date
+from loomspan.sources import codec, cooccurrence, filters, news, textfiles, webpages
 from loomspan.temporal import TemporalGraph
 from tests.helpers import near, rows
 
@@ -169,3 +170,31 @@ def test_web_pages(spark):
     assert out.count() == 4
     wiki = spark.createDataFrame([("/wiki/War", WIKI), ("/wiki/Sub", "<p>")], "url string, html string")
     assert rows(webpages.section_dates(out, wiki, "id")) == [(1, "First news.", "War", "2019-05-01", "NOW"), (1, "Second", "War", "2019-05-01", "NOW")]
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([(i, 10 * i) for i in range(6)], "doc_id int, ts int")
+    names = {"id": "doc_id", "time": "ts"}
+    pick = lambda q: [r[0] for r in df.where(filters.condition(q, names)).orderBy("doc_id").collect()]
+    assert pick({"id": 3}) == [3] and pick({"time": {"$gt": 10, "$lte": 30}, "id": {"$lt": 3}}) == [2] and pick({}) == list(range(6))
+    assert pick({"$or": [{"time": {"$gte": 40}}, {"id": 0, "time": 0}]}) == [0, 4, 5]
+    for bad in ({"id": {"$in": [1]}}, {"$and": []}, {"$or": []}, {"id": {}}):
+        with pytest.raises(NotImplementedError):
+            filters.condition(bad)
+    assert [r[0] for r in df.orderBy(*filters.order({"time": -1, "id": 1}, names)).limit(2).collect()] == [5, 4]
+    with pytest.raises(NotImplementedError):
+        filters.order({"id": 0})
+
+
+def test_object_ids(spark):
+    cases = [(0, 0, "0" * 24), (255, 16, "000000ff" + "0" * 14 + "10"), (2**32 - 1, -1, "f" * 24), (2**32, 0, None), (-1, 0, None), (None, 1, None)]
+    df = spark.createDataFrame(cases, "h bigint, l bigint, t string")
+    assert df.where(~ids.oid_text(F.col("h"), F.col("l")).eqNullSafe(F.col("t"))).count() == 0
+    back = df.where("t is not null").select("h", "l", ids.oid_parts(F.col("t")).alias("p"))
+    assert back.where("p.high <> h or p.low <> l").count() == 0
+    assert spark.createDataFrame([("xyz",), (None,), ("0" * 23,)], "t string").where(ids.oid_parts(F.col("t")).isNotNull()).count() == 0
+
+
+def test_social_date(spark):
+    df = spark.createDataFrame([("Wed Oct 10 20:19:24 +0200 2018",), ("10 Oct 2018",), (None,)], "t string")
+    assert [r[0] for r in df.select(social_date(F.col("t")).cast("string")).collect()] == ["2018-10-10 18:19:24", None, None]

@@ -99,6 +99,7 @@ def test_lookup(spark):
     n = {r["doc_id"]: (r["prev_doc"], r["next_doc"]) for r in lookup.neighbours_in_time(t.documents).collect()}
     assert n == {0: (None, 1), 1: (0, 2), 2: (1, 3), 3: (2, None)}
     assert one(lookup.page(t.documents, 200, 1, "next", 5)) == [200, 300] and one(lookup.page(t.documents, 200, 2, "prev", 5)) == [200, 100]
+    assert list(lookup.pages(t.documents, size=3)) == [[(100, 0), (200, 1), (200, 2)], [(300, 3)]] and list(lookup.pages(t.documents, 250, size=2, back=True)) == [[(200, 2), (200, 1)], [(100, 0)]]
     assert one(lookup.page(t.documents, 200, None, "prev", 5)) == [200, 200, 100] and one(lookup.page(t.documents, 200, None, "ge", 1)) == [200]
 
 
@@ -120,6 +121,13 @@ def test_container(spark):
     for bad in ({"text": "Z"}, {"": "1"}, {"a;b": "1"}):
         with pytest.raises(ValueError):
             k.with_attributes(0, **bad)
+    more = spark.createDataFrame([({"text": "A", "x": "1"},), ({"text": "N"},), ({"text": "N", "x": "2"},), ({"y": "1"},), ({"text": "M"},)], "attrs map<string,string>")
+    grown = k.get_or_create(more)
+    assert rows(grown.nodes.select("node", F.col("attrs")["text"])) == [(0, "A"), (2, None), (3, "M"), (4, "N")] and grown.find_nodes(text="A", x="1").count() == 0
+    first = TemporalGraph(a.documents, a.edges, primary_key=("text",)).get_or_create(more.limit(1))
+    assert rows(first.nodes.select("node")) == [(0,)] and rows(first.get_or_create(more).nodes.select("node", F.col("attrs")["text"])) == [(0, "A"), (1, None), (2, "M"), (3, "N")]
+    with pytest.raises(ValueError):
+        t.get_or_create(more)
     assert t.with_nodes(spark.createDataFrame([(0, {"text": "Q"})], "node bigint, attrs map<string,string>")).find_nodes(text="Q").count() == 0
     assert t.without_nodes(spark.createDataFrame([(0,)], "node bigint")).nodes.count() == 2
 
