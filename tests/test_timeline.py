@@ -125,7 +125,7 @@ def test_container(spark):
     grown = k.get_or_create(more)
     assert rows(grown.nodes.select("node", F.col("attrs")["text"])) == [(0, "A"), (2, None), (3, "M"), (4, "N")] and grown.find_nodes(text="A", x="1").count() == 0
     first = TemporalGraph(a.documents, a.edges, primary_key=("text",)).get_or_create(more.limit(1))
-    assert rows(first.nodes.select("node")) == [(0,)] and rows(first.get_or_create(more).nodes.select("node", F.col("attrs")["text"])) == [(0, "A"), (1, None), (2, "M"), (3, "N")]
+    assert rows(first.nodes.select("node")) == [(0,)] and rows(first.get_or_create(more).nodes.select("node", F.col("attrs")["text"])) == [(0, "A"), (1, "M"), (2, "N"), (3, None)]
     with pytest.raises(ValueError):
         t.get_or_create(more)
     assert t.with_nodes(spark.createDataFrame([(0, {"text": "Q"})], "node bigint, attrs map<string,string>")).find_nodes(text="Q").count() == 0
