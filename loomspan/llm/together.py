@@ -118,6 +118,7 @@ class PairTable:
         """
         if old is None and new is None:
             return
+        old, new = (None if d is None else staged(d, "baskets") for d in (old, new))  # read several times below
         if every is None and self.version == 0:
             every = new
         pairs, items, size = deltas(old, new)
@@ -164,5 +165,5 @@ class PairTable:
 def together(df: DataFrame, keys: Sequence[str], item: str, folder: str | None = None, least: int = 1, lift: float = 0.0) -> PairTable:
     """The pair table of all baskets of ``df``; items are compared as text, in byte order."""
     t = PairTable(df.sparkSession, folder, least=least, lift=lift)
-    t.apply(None, staged(baskets(df, keys, item).withColumn("item", F.col("item").cast("string")), "baskets"))
+    t.apply(None, baskets(df, keys, item).withColumn("item", F.col("item").cast("string")))
     return t
