@@ -177,7 +177,7 @@ def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int
     s = seeds.where("source <> target") if seeds is not None else top_edges(plain, num_seeds, truncate)
     # Ties can make any number of seeds, so they are numbered without one big task and no join is told to broadcast them.
     first = F.col("rank") if "rank" in s.columns else -F.col("weight")
-    ranked = staged(numbered(s.withColumn("_first", first.cast("double")), [F.col("source"), F.col("target")], "_first", "ord").select("source", "target", "weight", "ord"), "seeds")
+    ranked = staged(numbered(s.withColumn("_first", first), [F.col("_first"), F.col("source"), F.col("target")], "ord").select("source", "target", "weight", "ord"), "seeds")
     s = ranked.select("source", "target", "weight")
     ends = ranked.select("ord", F.explode(F.array("source", "target")).alias("node"))
     touch = both_directions(plain).join(ends.select(F.col("node").alias("source")).distinct(), "source", "left_semi")

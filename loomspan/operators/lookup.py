@@ -42,7 +42,7 @@ def neighbours_in_time(documents: DataFrame) -> DataFrame:
     Buckets that follow each other in time are worked on apart; only the first
     and last document of each is passed on to its neighbours.
     """
-    b = bucketed(documents.select("doc_id", "ts"), "ts")
+    b = bucketed(documents.select("doc_id", "ts"), "ts", "doc_id")
     w = Window.partitionBy("_bucket").orderBy("ts", "doc_id")
     inside = b.withColumns({"prev_doc": F.lag("doc_id").over(w), "next_doc": F.lead("doc_id").over(w)})
     ends = b.groupBy("_bucket").agg(F.min_by("doc_id", F.struct("ts", "doc_id")).alias("first"), F.max_by("doc_id", F.struct("ts", "doc_id")).alias("last"))  # a row per bucket

@@ -119,7 +119,7 @@ def pareto(values: DataFrame, keys: list[str], a: str, b: str, max_a: bool = Tru
     if max_fronts is None:
         done = points.join(_fronts(points.select("x", "y").distinct()), ["x", "y"]).select(*keys, "front")
         return done.select(*keys, (F.pow(F.lit(float(base)), F.col("front") - 1) if base else F.col("front").cast("double")).alias("weight"))
-    left = staged(bucketed(points, "x"), "points")
+    left = bucketed(points, "x")
     done, front = None, 0
     while front < max_fronts and not left.isEmpty():
         front += 1
@@ -145,7 +145,7 @@ STRETCH = 2_000_000
 def _fronts(points: DataFrame) -> DataFrame:
     """(x, y, front) of different points, less being better."""
     n = points.count()
-    cut = staged(bucketed(points, "x", max(1, n // STRETCH)), "stretches")
+    cut = bucketed(points, "x", buckets=max(1, n // STRETCH))
     best: list[float] = []  # the least y of each front so far: never falls from one front to the next
     done = None
     for row in cut.select("_bucket").distinct().orderBy("_bucket").toLocalIterator():

@@ -51,7 +51,7 @@ def paths(g: DataFrame, roots: DataFrame, directed: bool = False, weighted: bool
 def visit_order(ways: DataFrame, weighted: bool = False) -> DataFrame:
     """``paths`` of one root with ``pos``, the order of a search: by distance, then parent, then node."""
     first = "weight" if weighted else "count"
-    return numbered(ways, [F.col("parent").asc_nulls_first(), F.col("node")], first, "pos")
+    return numbered(ways, [F.col(first), F.col("parent").asc_nulls_first(), F.col("node")], "pos")
 
 
 def distance(g: DataFrame, source: int, target: int, directed: bool = False, weighted: bool = False) -> float:
@@ -101,7 +101,7 @@ def components(g: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         )
         low = hooks.select("x.node", "x.low").groupBy("node").agg(F.min("low").alias("low"))
         labels = staged(labels.join(low, "node").select("node", F.col("low").alias("label"), (F.col("low") < F.col("label")).alias("moved")), "labels")
-    ids = numbered(labels.select("label").distinct(), [F.col("label")], "label", "component")
+    ids = numbered(labels.select("label").distinct(), [F.col("label")], "component")
     return labels.join(ids, "label").select("node", "component")
 
 

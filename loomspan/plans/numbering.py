@@ -1,7 +1,8 @@
 """Order over a whole table without bringing it into one task.
 
 Rows are put into buckets that follow each other in the order; what a bucket
-needs to know of those before it is one row per bucket.
+needs to know of those before it is one row per bucket.  There are as many
+buckets as Spark makes partitions, fewer on small tables.
 """
 
 from __future__ import annotations
@@ -11,23 +12,21 @@ from pyspark.sql import functions as F
 
 from loomspan.plans.runtime import staged
 
-BUCKETS = 256
 
+def bucketed(df: DataFrame, *order: Column | str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
+    """The table, written down, with a bucket number that doesn't fall along ``order``.
 
-def bucketed(df: DataFrame, key: str, buckets: int = BUCKETS, out: str = "_bucket") -> DataFrame:
-    """Add a bucket number that doesn't fall as ``key`` (a number) grows; nulls are in the first."""
-    bounds = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    bounds = sorted(set(bounds or []))
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    at = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + F.when(b < F.col(key), 1).otherwise(0))
-    return df.withColumn(out, F.coalesce(at, F.lit(0)))
+    Rows that are equal in all of ``order`` share a bucket, nulls are in the
+    first; a value of the first column that many rows have is split by the next.
+    """
+    ranged = df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
+    return staged(ranged.withColumn(out, F.spark_partition_id()), "ordered")
 
 
-def numbered(df: DataFrame, order: list[Column], key: str, out: str = "number") -> DataFrame:
-    """Add 0, 1, 2 ... in the order of ``key`` (a number), then of ``order``."""
-    b = staged(bucketed(df, key), "ordered")
-    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # at most BUCKETS rows
+def numbered(df: DataFrame, order: list[Column], out: str = "number") -> DataFrame:
+    """Add 0, 1, 2 ... in the order of ``order``."""
+    b = bucketed(df, *order)
+    sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # a row per bucket
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(key), *order))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return b.join(F.broadcast(before), "_bucket").withColumn(out, (F.col("_before") + place - 1).cast("bigint")).drop("_bucket", "_before")

@@ -33,11 +33,11 @@ def occurrences_of(df: DataFrame, doc_id: str, sentence: str, entity: str) -> Da
 def dense_entities(df: DataFrame, attributes: list[str], order: list[str]) -> DataFrame:
     """(node, attributes ...): a number from 0 for each distinct value of the attributes, in the order first seen.
 
-    ``order`` says what comes first; its first column must be a number.  A
-    missing attribute is a value like others.
+    ``order`` are the columns that say what comes first.  A missing attribute
+    is a value like others.
     """
-    first = df.groupBy(*attributes).agg(F.min(F.struct(*order)).alias("first")).withColumn("_key", F.col(f"first.{order[0]}").cast("bigint"))
-    return numbered(first, [F.col("first"), *[F.col(a) for a in attributes]], "_key", "node").select("node", *attributes)
+    first = df.groupBy(*attributes).agg(F.min(F.struct(*order)).alias("first"))
+    return numbered(first, [*[F.col(f"first.{o}") for o in order], *[F.col(a) for a in attributes]], "node").select("node", *attributes)
 
 
 def doc_nodes(documents: DataFrame, occurrences: DataFrame) -> DataFrame:

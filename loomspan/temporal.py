@@ -328,7 +328,7 @@ class TemporalGraph:
         fresh = rows.select(key.alias("_k"), entries.alias("e")).join(known, "_k", "left_anti").groupBy("_k").agg(F.min("e").alias("e"))
         last = have.agg(F.max("node")).first()[0]  # one number
         free = 0 if last is None else last + 1
-        made = numbered(fresh.withColumn("_one", F.lit(0)), [F.col("_k")], "_one", "number").select((F.col("number") + free).alias("node"), F.map_from_entries("e").alias("attrs"))
+        made = numbered(fresh, [F.col("_k")]).select((F.col("number") + free).alias("node"), F.map_from_entries("e").alias("attrs"))
         return replace(self, nodes=have.select("node", "attrs").unionByName(made))
 
     def find_nodes(self, **attrs: str) -> DataFrame:
