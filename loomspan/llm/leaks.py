@@ -31,8 +31,13 @@ SEED, LONG_SEED = 2, 8
 TELLING = 1 / 200
 #: Cost of a word that doesn't fit, against 1 for one that does; and the most of them in a passage, as a share of its words.
 MISS, MOST_MISSES = 1.5, 0.25
+#: The share of misses that a passage may have if one of them is its first or last word.
+UNCONFIRMED = 1 / 8
 #: Words put in or left out that an alignment follows.
 BAND = 8
+#: Misfits in a row over which an alignment's end moves outward, and the steps in doc and item that this gives.
+GAP = 2
+STEPS = [(di, dj) for di in range(1, GAP + 2) for dj in range(1, GAP + 2)]
 #: Characters of evaluation text in a block; words of training text in a shard.
 BLOCK_CHARS, SHARD_WORDS = 1_000_000, 2_000_000
 
@@ -126,38 +131,88 @@ def longest_matches(words: np.ndarray, array: np.ndarray, queries: np.ndarray) -
     return best
 
 
-def align(doc: list[str], item: list[str], shift: int, telling: set[str]) -> tuple[int, float, float]:
+def align(doc: list[str], item: list[str], shift: int, telling: set[str]) -> list[tuple[int, float, float]]:
     """(words of the item covered, share of its telling words found, misses per word) of the best local alignment near a diagonal.
 
-    ``shift`` is the place in doc less the place in item of the seed.
+    ``shift`` is the place in doc less the place in item of the seed.  The first
+    is the alignment itself; those after it reach further, see ``outward``.
     """
-    best, end = (0.0, 0, 0, 0), -1
+    best, end = (0.0, 0, 0, 0, 0), (-1, -1)
     above: dict[int, tuple] = {}
     for j in range(len(item)):
         row: dict[int, tuple] = {}
         for i in range(max(0, j + shift - BAND), min(len(doc), j + shift + BAND + 1)):
             same = doc[i] == item[j] or near(doc[i], item[j])
-            # score, start in item, telling words found, misses (negated)
+            # score, start in item, telling words found, misses (negated), start in doc
             a = above.get(i - 1)
             options = []
             if same:
                 hit = 1 if item[j] in telling else 0
-                options.append((a[0] + 1, a[1], a[2] + hit, a[3]) if a and a[0] > 0 else (1.0, j, hit, 0))
+                options.append((a[0] + 1, a[1], a[2] + hit, a[3], a[4]) if a and a[0] > 0 else (1.0, j, hit, 0, i))
             elif a and a[0] > MISS:
-                options.append((a[0] - MISS, a[1], a[2], a[3] - 1))
+                options.append((a[0] - MISS, a[1], a[2], a[3] - 1, a[4]))
             for b in (above.get(i), row.get(i - 1)):
                 if b and b[0] > MISS:
-                    options.append((b[0] - MISS, b[1], b[2], b[3] - 1))
+                    options.append((b[0] - MISS, b[1], b[2], b[3] - 1, b[4]))
             if options:
                 row[i] = x = max(options)
                 if same and x[0] > best[0]:
-                    best, end = x, j
+                    best, end = x, (i, j)
         above = row
-    if end < 0:
-        return 0, 0.0, 0.0
-    span = item[best[1] : end + 1]
-    there = sum(w in telling for w in span)
-    return len(span), best[2] / there if there else 1.0, -best[3] / len(span)
+    if end[1] < 0:
+        return []
+    return outward(doc, item, (best[4], best[1]), end, best[2], -best[3], telling)
+
+
+def outward(doc: list[str], item: list[str], start: tuple, end: tuple, hits: int, misses: int, telling: set[str]) -> list[tuple[int, float, float]]:
+    """The alignment from ``start`` to ``end`` (places in doc and item), and what it becomes as its ends move outward.
+
+    A score cuts off a misfit that few matches follow, though the passage goes
+    on there.  So each end moves over up to GAP misfits to further matches, as
+    long as MOST_MISSES allows.  Last, the word next to an end may stand for
+    one that was replaced; nothing beyond confirms it, so then no more than
+    UNCONFIRMED of all words may be misses.
+    """
+    ends = {-1: start, 1: end}
+    out = []
+
+    def note() -> None:
+        span = item[ends[-1][1] : ends[1][1] + 1]
+        there = sum(w in telling for w in span)
+        out.append((len(span), hits / there if there else 1.0, misses / len(span)))
+
+    def fits(i: int, j: int) -> bool:
+        return 0 <= i < len(doc) and 0 <= j < len(item) and (doc[i] == item[j] or near(doc[i], item[j]))
+
+    note()
+    for step in (-1, 1):
+        while True:
+            i, j = ends[step]
+            ways = []
+            for di, dj in STEPS:
+                n = 0
+                while fits(i + step * (di + n), j + step * (dj + n)):
+                    n += 1
+                if n:
+                    missed = max(di, dj) - 1
+                    ways.append((n - MISS * missed, -missed, n, di + n - 1, dj + n - 1))
+            if not ways:
+                break
+            _, missed, n, di, dj = max(ways)
+            size = ends[1][1] - ends[-1][1] + 1 + dj
+            if misses - missed > MOST_MISSES * size:
+                break
+            misses -= missed
+            ends[step] = i + step * di, j + step * dj
+            hits += sum(item[ends[step][1] - step * k] in telling for k in range(n))
+            note()
+    for step in (-1, 1):
+        i, j = ends[step][0] + step, ends[step][1] + step
+        if 0 <= i < len(doc) and 0 <= j < len(item) and misses + 1 <= UNCONFIRMED * (ends[1][1] - ends[-1][1] + 2):
+            misses += 1
+            ends[step] = i, j
+            note()
+    return out
 
 
 class Items:
@@ -239,9 +294,9 @@ def _search(items: Items, docs: list[tuple]) -> list[tuple]:
         best = (0, 0.0, 0.0)
         for k in sorted(diagonals):
             lo = k * (BAND // 2)
-            got = align(doc, w, lo + BAND // 4, items.telling)
-            if got[0] >= WORDS and got[1] >= TELLING_SHARE and got[2] <= MOST_MISSES:
-                best = max(best, got)
+            for got in align(doc, w, lo + BAND // 4, items.telling):
+                if got[0] >= WORDS and got[1] >= TELLING_SHARE and got[2] <= MOST_MISSES:
+                    best = max(best, got)
         if best[0] >= WORDS:
             found.append((docs[d][0], items.owner[t], best[0], best[1]))
     return found

@@ -65,3 +65,34 @@ def test_shards_give_the_same(monkeypatch):
     whole = {x[:2] for s in lk._shards(iter([b]), "id", "text") for x in lk._search(items, s)}
     monkeypatch.setattr(lk, "SHARD_WORDS", 30)
     assert {x[:2] for s in lk._shards(iter([b]), "id", "text") for x in lk._search(items, s)} == whole
+
+
+def found_in(texts, item):
+    items = lk.Items([(1, item, None), *[tuple(r) for r in ITEMS[1:3]]])
+    docs = [(k, lk.plain_words(t)) for k, t in enumerate(texts)]
+    return {d for d, *_ in lk._search(items, docs)}
+
+
+def test_a_misfit_at_each_place_of_a_short_passage():
+    words = P.split()[:12]
+    for item in (P, " ".join(words)):
+        texts = []
+        for k in range(12):
+            texts.append(["he", "said", *words[:k], "qqqq", *words[k + 1 :], "so", "then"])  # replaced
+            texts.append(["he", "said", *words[:k], "qqqq", *words[k:], "so", "then"])  # put in
+        assert found_in([" ".join(t) for t in texts], item) == set(range(24))
+    words = P.split()[:13]
+    texts = [" ".join(["said", *words[:k], *words[k + 1 :], "so"]) for k in range(13)]  # missing
+    assert found_in(texts, " ".join(words)) == set(range(13))
+
+
+def test_misfits_near_the_ends_of_longer_passages():
+    words = P.split()[:16]
+    for bad in ((2, 4), (11, 13), (1, 14), (1, 4), (11, 14), (1, 2)):
+        assert found_in([" ".join("qqqq" if k in bad else w for k, w in enumerate(words))], " ".join(words)) == {0}
+
+
+def test_shorter_quotations_stay_out():
+    words = P.split()
+    texts = [" ".join(["qqqq", "zzzz", *words[a : a + n], "xxxx", "vvvv"]) for n in (8, 9, 10) for a in range(len(words) - n + 1)]
+    assert found_in(texts, P) == set()
