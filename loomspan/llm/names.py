@@ -10,11 +10,13 @@ enough; spellings that lead to the same end are one entity.
 Candidates come from an equi-join on the rarer words of a name, each with all
 its forms that lack one letter, so every pair with at most one typing error in
 such a word meets.  Words in more than ``GENERIC`` spellings (given names, legal
-forms, very common surnames) are no keys by themselves.  Names told apart by
-such a word only meet on it together with another word: whole or with a letter
-left out, as the nickname or full form it stands for, or cut to its first letter
-against the short forms with that letter.  So nothing grows with the square of a
-word's rows, and no pair is lost.
+forms, very common surnames) are no keys by themselves.  Names with such a word,
+or with one that may be a misspelling of it, meet on it together with another
+word: whole or with a letter left out, as the nickname or full form it stands
+for, or as the beginning, end or first letter that a short form has.  A person's
+two parts do so in both orders.  So nothing grows with the square of a word's
+rows.  Lost are only firms that have no rare word in common, a common word
+misspelt, and one cut word in place of several of which the first is common.
 """
 
 from __future__ import annotations
@@ -224,13 +226,16 @@ def _firm(v: dict, c: dict, rare: frozenset) -> float | None:
             return None
         total += NO_FORM
     left = list(c["words"])
-    rest, anchored, typos, cuts = [], False, 0, False
+    rest, anchored, typos, cuts, same = [], False, 0, False, 0
     for i, w in enumerate(v["words"]):
         if w in left:
             left.remove(w)
             anchored |= w in rare and len(w) >= 4
+            same += len(w) >= 4
         else:
             rest.append(i)
+    # Names of common words only are told apart by two of them together.
+    anchored |= same >= 2 and not rare & {*v["words"], *c["words"]}
     for i in list(rest):
         w = v["words"][i]
         ways = []
@@ -257,7 +262,7 @@ def _firm(v: dict, c: dict, rare: frozenset) -> float | None:
         left = []
     if rest or left:  # a blank may be put in the wrong place
         a, b = "".join(v["words"]), "".join(c["words"])
-        anchor = bool(set(v["words"]) & set(c["words"]) & rare)
+        anchor = bool(set(v["words"]) & set(c["words"]) & rare) or (same >= 2 and a == b)
         return TYPO + (0.0 if v["form"] == c["form"] else NO_FORM) if anchor and len(b) >= 8 and one_edit(a, b) else None
     if not anchored or typos > 1:
         return None
@@ -309,31 +314,69 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["unit", "kind", "key"]).drop_duplicates()
 
 
-def _common_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(unit, kind, word, other, short): a common word a name hangs on, with each of its other words."""
+def _near_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, w, key): words that may be misspellings of each other share a key."""
+    for b in batches:
+        rows = []
+        for kind, w in zip(b.kind, b.w):
+            keys = {w} | (_without_a_letter(w) if len(w) >= 5 else set())
+            if kind == "person" and len(w) >= 6 and w[-1] == "s":
+                keys |= _without_a_letter(w[:-1])
+            elif kind != "person" and len(w) >= 6:
+                keys.add(f"{w[:5]}-")
+            rows += [(kind, w, k) for k in keys]
+        yield pd.DataFrame(rows, columns=["kind", "w", "key"])
+
+
+def _other_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(unit, kind, w, other, nick, short, letters): a word of a name, with each word by which names that share it are told apart.
+
+    Of a person these are surname and given name, in both orders if they may be
+    swapped.  Of others they are the rare words besides w, or all words if there
+    are none.  ``letters`` are first letters of what a short form may stand for.
+    """
     for b in batches:
         rows = []
         for unit, kind, name, rare, bag in zip(b.unit, b.kind, b["name"], b.rare, b.bag):
-            common = set(bag) - set(rare)
             if kind == "person":
                 p = person(name)
-                if not p or p["surname"] not in common:
+                if not p:
                     continue
-                rows.append((unit, kind, p["surname"], "".join(p["given"]), p["initials"] or p["cut"] or len("".join(p["given"])) <= 5))
-            elif not len(rare):
-                own = words(name)
-                rows += [(unit, kind, g, o, len(o) <= 5) for g in common for o in set(own) - {g}]
-        yield pd.DataFrame(rows, columns=["unit", "kind", "word", "other", "short"])
+                given = "".join(p["given"])
+                rows.append((unit, kind, p["surname"], given, p["nick"], p["initials"] or len(given) < 3, given[:1]))
+                if p["plain"] and not p["initials"]:
+                    rows.append((unit, kind, given, p["surname"], p["nick"], len(p["surname"]) < 3, p["surname"][:1]))
+                continue
+            f = firm(name, kind == "place")
+            cut, caps = ({f["words"][i] for i in f[k]} for k in ("cut", "caps"))
+            for w in bag:
+                others = set(rare) - {w} or {*words(name), *f["words"]} - {w}
+                if not set(f["words"]) - {w}:
+                    others.add("")
+                rows += [(unit, kind, w, o, "", len(o) <= 5 or o in cut, o if o in caps else o[:1]) for o in others]
+        yield pd.DataFrame(rows, columns=["unit", "kind", "w", "other", "nick", "short", "letters"])
 
 
 def _pair_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(unit, kind, key, side): keys of a common word and another; names meet on equal sides, or on side 1 (short) and 2 (full)."""
     for b in batches:
-        rows = []
-        for unit, kind, w, o in zip(b.unit, b.kind, b.word, b.other):
-            rows.append((unit, kind, f"{w}|{o}"))
-            if len(o) >= 4:
-                rows += [(unit, kind, f"{w}|{k}") for k in _without_a_letter(o)]
-        yield pd.DataFrame(rows, columns=["unit", "kind", "key"]).drop_duplicates()
+        rows = set()
+        for unit, kind, w, t, o, nick, short, letters in zip(b.unit, b.kind, b.w, b.word, b.other, b.nick, b.short, b.letters):
+            rows |= {(unit, kind, f"{t}|{x}", 0) for x in {o, nick or o}}
+            if kind == "person":
+                if len(o) >= 4 and w == t:  # of two misspelt words nothing is taken
+                    rows |= {(unit, kind, f"{t}|{k}", 0) for k in _without_a_letter(o)}
+                if 4 <= len(o) <= 5:
+                    rows.add((unit, kind, f"{t}|{o[:3]}-", 1))
+                rows |= {(unit, kind, f"{t}|{o[:3]}-", 2), *((unit, kind, f"{t}|{o[i:]}", 2) for i in range(1, len(o) - 3))}
+                rows |= {(unit, kind, f"{t}|{x[0]}.", 2) for x in (o, nick) if x}
+            elif o:
+                rows.add((unit, kind, f"{t}|{o[0]}.", 2))
+            if short:
+                rows |= {(unit, kind, f"{t}|{x}.", 1) for x in letters}
+            if len(o) >= 3:
+                rows |= {(unit, kind, f"{t}|{o}", 1), *((unit, kind, f"{t}|{o[:i]}", 2) for i in range(3, len(o)))}
+        yield pd.DataFrame(list(rows), columns=["unit", "kind", "key", "side"])
 
 
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -419,22 +462,26 @@ def variant_entities(nodes: DataFrame, mentions: DataFrame, alias: DataFrame, ge
     nick = staged(nicknames(givens, alias), "nicknames")
     key = "unit bigint, kind string, key string"
     keys = units.where("kind <> 'other'").select("unit", "kind", "rare", "bag").mapInPandas(_keys, key)
-    hung = units.where("kind <> 'other'").select("unit", "kind", "name", "rare", "bag").mapInPandas(_common_words, "unit bigint, kind string, word string, other string, short boolean")
-    hung = staged(hung, "common")
-    by_letter = not hung.isEmpty()  # there are names told apart by a common word only
-    if by_letter:
-        keys = keys.unionByName(hung.mapInPandas(_pair_keys, key))
-        keys = keys.unionByName(hung.join(nick, F.col("other") == F.col("s")).select("unit", "kind", F.concat_ws("|", "word", "f").alias("key")))
+    # A name also hangs on the common words that its own may be misspellings of.
+    common = counts.where(F.col("n") > generic).select("kind", "w")
+    near = common.mapInPandas(_near_keys, "kind string, w string, key string").withColumnRenamed("w", "word")
+    told = units.where("kind <> 'other'").select("unit", "kind", "name", "rare", "bag").mapInPandas(_other_words, "unit bigint, kind string, w string, other string, nick string, short boolean, letters string")
+    own = told.select("kind", "w").distinct().mapInPandas(_near_keys, "kind string, w string, key string")
+    hung = staged(told.join(own.join(near, ["kind", "key"]).select("kind", "w", "word").distinct(), ["kind", "w"]), "common")
+    by_pair = not hung.isEmpty()  # there are common words
     join_on = (F.col("x.kind") == F.col("y.kind")) & (F.col("x.key") == F.col("y.key"))
+    if by_pair:
+        met = staged(hung.mapInPandas(_pair_keys, f"{key}, side int"), "met")
+        keys = keys.unionByName(met.where("side = 0").select("unit", "kind", "key"))
+        keys = keys.unionByName(hung.join(nick, F.col("other") == F.col("s")).select("unit", "kind", F.concat_ws("|", "word", "f").alias("key")))
     pairs = keys.alias("x").join(keys.alias("y"), join_on & (F.col("x.unit") < F.col("y.unit"))).select(F.col("x.unit").alias("unit_a"), F.col("y.unit").alias("unit_b"))
-    if by_letter:
-        letter = hung.where("other <> ''").select("unit", "kind", F.concat_ws("|", "word", F.substring("other", 1, 1)).alias("key"), "short").distinct()
-        cut = letter.where("short").alias("x").join(letter.alias("y"), join_on & (F.col("x.unit") != F.col("y.unit")))
-        pairs = pairs.unionByName(cut.select(F.least("x.unit", "y.unit").alias("unit_a"), F.greatest("x.unit", "y.unit").alias("unit_b")))
+    if by_pair:
+        short = met.where("side = 1").alias("x").join(met.where("side = 2").alias("y"), join_on & (F.col("x.unit") != F.col("y.unit")))
+        pairs = pairs.unionByName(short.select(F.least("x.unit", "y.unit").alias("unit_a"), F.greatest("x.unit", "y.unit").alias("unit_b")))
     pairs = pairs.distinct()
     side = lambda s: units.select(*[F.col(k).alias(f"{k}_{s}") for k in ("unit", "name", "freq", "rare")], *([F.col("kind")] if s == "a" else []))
-    own = lambda s: givens.select(F.col("unit").alias(f"unit_{s}"), F.col("given").alias(f"given_{s}"))
-    wide = pairs.join(side("a"), "unit_a").join(side("b"), "unit_b").join(own("a"), "unit_a", "left").join(own("b"), "unit_b", "left")
+    given = lambda s: givens.select(F.col("unit").alias(f"unit_{s}"), F.col("given").alias(f"given_{s}"))
+    wide = pairs.join(side("a"), "unit_a").join(side("b"), "unit_b").join(given("a"), "unit_a", "left").join(given("b"), "unit_b", "left")
     wide = wide.join(nick.withColumn("nick", F.lit(True)), (F.col("given_a") == F.col("s")) & (F.col("given_b") == F.col("f")), "left").withColumn("nick", F.coalesce("nick", F.lit(False)))
     scored = wide.select("kind", "unit_a", "name_a", "freq_a", "rare_a", "unit_b", "name_b", "freq_b", "rare_b", "nick").mapInPandas(_score, "unit bigint, parent bigint, weight double")
     best = scored.groupBy("unit").agg(F.max(F.struct("weight", F.negative("parent").alias("p"))).alias("b")).select("unit", F.negative("b.p").alias("parent"))

@@ -73,3 +73,27 @@ def test_a_very_common_surname(spark):
         for k, e in got.items():
             groups.setdefault(e, set()).add(k)
         assert sorted(map(sorted, groups.values())) == [[0, 100, 101], [1], [2, 102], [3, 104], [4, 103], [5], [6], [7, 106], [105]]
+
+
+def grouped(spark, nodes, alias=(), generic=n.GENERIC, often=()):
+    seen = spark.createDataFrame([(*x[1:],) for x in nodes if x[0] in often for _ in range(9)], "entity_name string, entity_type string")
+    df = spark.createDataFrame(nodes, "node bigint, entity_name string, entity_type string")
+    alias = spark.createDataFrame(list(alias), "formal_name string, short_name string")
+    groups = {}
+    for r in n.variant_entities(df, seen, alias, generic).collect():
+        groups.setdefault(r["entity"], set()).add(r["node"])
+    return sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_results_do_not_depend_on_what_is_common(spark):
+    syllables = ["fra", "wo", "nur", "til", "ke", "dri", "bam", "sou"]
+    fill = ["".join(syllables[(i // 8**k) % 8] for k in range(3)).capitalize() for i in range(8)]
+    nodes = [(200 + i, f"Hildegard {x}", "PER") for i, x in enumerate(fill)] + [(300 + i, f"{g} Müller", "PER") for i, g in enumerate(["Xenia", "Octavia", "Guadalupe", "Ulrich", "Egon"])]
+    nodes += [(1, "Hildegard Müller", "PER"), (2, "Hildegard Mülller", "PER"), (3, "Müller Hildegard", "PER"), (4, "Hildegard Müllers", "PER"), (5, "Müller Hildegrad", "PER")]
+    nodes += [(10, "Johannes Müller", "PER"), (11, "Johann Müller", "PER"), (12, "Magdalena Müller", "PER"), (13, "Lena Müller", "PER"), (14, 'Wilhelmina "Bobby" Müller', "PER"), (15, "B. Müller", "PER")]
+    for i, (x, y) in enumerate([("Austrian", "Water"), ("Austrian", "Finance"), ("Baltic", "Water"), ("Baltic", "Finance")]):
+        nodes += [(400 + 9 * i + k, f"{x} {y} {z}", "ORG") for k, z in enumerate(["Services AG", "Logistics AG", "Services", "Logistics"])]
+    nodes += [(450, "Austrian Watre Services AG", "ORG"), (451, "Services Baltic Finance AG", "ORG")]
+    want = [[1, 2, 3, 4, 5], [10, 11], [12, 13], [14, 15], [400, 402, 450], [401, 403], [409, 411], [410, 412], [418, 420], [419, 421], [427, 429, 451], [428, 430]]
+    for generic in (3, 64):
+        assert grouped(spark, nodes, generic=generic, often=(1, 10, 12, 14)) == want, generic
