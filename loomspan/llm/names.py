@@ -288,6 +288,20 @@ def completeness(kind: str, name: str) -> int:
     return 2 - bool(f["cut"] or (f["caps"] and not name.isupper() and any(len(f["words"][i]) <= 3 for i in f["caps"]))) - (kind == "org" and not f["form"])
 
 
+def _words_told_by(kind: str, name: str) -> list[str]:
+    """Words that may be keys: surname and given name of a person, whatever their length; else words of four letters or more."""
+    if kind == "person":
+        p = person(name)
+        return sorted({p["surname"], *([] if p["initials"] else ["".join(p["given"])])}) if p else []
+    return sorted({w for w in words(name) if len(w) >= 4})
+
+
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        b["bag"] = [_words_told_by(k, x) for k, x in zip(b.kind, b["name"])]
+        yield b[["unit", "kind", "name", "freq", "bag"]]
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         kinds = [kind_of(t) for t in b.entity_type]
@@ -305,12 +319,14 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for unit, kind, rare, bag in zip(b.unit, b.kind, b.rare, b.bag):
-            if len(rare) == 0:
+            if len(rare) == 0 and kind != "person" and len(bag):
                 rows.append((unit, kind, "=" + " ".join(sorted(bag))))
             for w in rare:
                 rows.append((unit, kind, w))
                 if len(w) >= 5:
                     rows += [(unit, kind, k) for k in _without_a_letter(w)]
+                if kind == "person" and len(w) >= 6 and w[-1] == "s":
+                    rows += [(unit, kind, k) for k in _without_a_letter(w[:-1])]
         yield pd.DataFrame(rows, columns=["unit", "kind", "key"]).drop_duplicates()
 
 
@@ -452,8 +468,7 @@ def variant_entities(nodes: DataFrame, mentions: DataFrame, alias: DataFrame, ge
     # A unit is a spelling; its id is the least of its nodes, and it shows its most frequent writing.
     member = parsed.groupBy("kind", "norm").agg(F.min("node").alias("unit"), F.sum("freq").alias("freq"), F.max_by("entity_name", F.struct("freq", "entity_name")).alias("name"))
     member = staged(member, "spellings")
-    bag = F.filter(F.array_distinct(F.split("norm", " ")), lambda w: F.length(w) >= 4)
-    units = member.select("unit", "kind", "name", "freq", bag.alias("bag"))
+    units = staged(member.select("unit", "kind", "name", "freq").mapInPandas(_bags, "unit bigint, kind string, name string, freq bigint, bag array<string>"), "bags")
     counts = units.select("kind", F.explode("bag").alias("w")).groupBy("kind", "w").agg(F.count(F.lit(1)).alias("n"))
     rare = units.select("unit", "kind", F.explode("bag").alias("w")).join(counts.where(F.col("n") <= generic), ["kind", "w"]).groupBy("unit").agg(F.sort_array(F.collect_list("w")).alias("rare"))
     units = staged(units.join(rare, "unit", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>"))), "units")

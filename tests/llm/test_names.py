@@ -97,3 +97,11 @@ def test_results_do_not_depend_on_what_is_common(spark):
     want = [[1, 2, 3, 4, 5], [10, 11], [12, 13], [14, 15], [400, 402, 450], [401, 403], [409, 411], [410, 412], [418, 420], [419, 421], [427, 429, 451], [428, 430]]
     for generic in (3, 64):
         assert grouped(spark, nodes, generic=generic, often=(1, 10, 12, 14)) == want, generic
+
+
+def test_short_surnames(spark):
+    nodes = [(1, "Jong Kim", "PER"), (2, "J. Kim", "PER"), (3, "Magdalena Ott", "PER"), (4, "Mag. Ott", "PER"), (5, "William Lee", "PER"), (6, "Bill Lee", "PER"), (7, "Lee William", "PER"), (8, "Xenia Kim", "PER"), (9, "Ed Ott", "PER"), (10, "Ott, Ed", "PER"), (11, "E. Ott", "PER"), (12, "Kim", "PER"), (13, "Lee", "PER")]
+    for generic in (1, 64):
+        assert grouped(spark, nodes, [("William", "Bill")], generic, often=(1, 3, 5, 9)) == [[1, 2], [3, 4], [5, 6, 7], [9, 10, 11]]
+    filler = [(20, "Foo of Bar AG", "ORG"), (21, "Foo of Baz AG", "ORG")]
+    assert grouped(spark, filler) == []
