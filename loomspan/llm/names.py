@@ -27,13 +27,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.plans.runtime import staged
 
 #: A word in more spellings of its kind than this is no key by itself.
 GENERIC = 64
+#: Given names of a surname up to which sharing it counts in full; and the share of its surnames that a nickname has in common with its full form.
+FEW, SHARED = 12, 0.6
 
 # Kinds of entity by type label.
 KINDS = {"PER": "person", "PERSON": "person", "ORG": "org", "ORGANISATION": "org", "ORGANIZATION": "org", "LOC": "place", "GPE": "place", "LOCATION": "place"}
@@ -425,21 +427,27 @@ def nicknames(givens: DataFrame, alias: DataFrame) -> DataFrame:
 
     From the alias table, from names that show the nickname in quotes, and from
     pairs of given names that share surnames far more often than relatives do:
-    in at least two surnames, and half of those that have the rarer one.
+    in at least two surnames, and SHARED of those that have the rarer one.  A
+    surname with k given names counts FEW / k, or 1 if that is less.
     """
     table = alias.select(F.col("short_name").alias("s"), F.col("formal_name").alias("f")).where("s is not null and f is not null")
     table = table.select(*[_folded(k).alias(k) for k in ("s", "f")])
     quoted = givens.where("nick <> '' and given <> ''").select(F.col("nick").alias("s"), F.col("given").alias("f"))
     g = givens.where("given <> ''").select("given", "surname").distinct()
-    n = g.groupBy("given").agg(F.count(F.lit(1)).alias("n"))
-    # Surnames with many given names say nothing about nicknames and are left out.
-    few = g.groupBy("surname").agg(F.count(F.lit(1)).alias("k")).where("k between 2 and 12")
-    h = g.join(few, "surname").select("given", "surname")
-    both = h.withColumnRenamed("given", "s").join(h.withColumnRenamed("given", "f"), "surname").where("s <> f").groupBy("s", "f").agg(F.count(F.lit(1)).alias("both"))
-    seen = both.join(n.withColumnRenamed("given", "s").withColumnRenamed("n", "ns"), "s").join(n.withColumnRenamed("given", "f").withColumnRenamed("n", "nf"), "f")
     known = table.unionByName(quoted).distinct()
-    short = known.select("s").distinct()
-    learnt = seen.where("both >= 2 and both >= 0.6 * ns and ns < nf").select("s", "f").join(short, "s", "left_anti")
+    # Every surname counts, one with more than FEW given names less, as two of them often share it by chance.
+    k = g.groupBy("surname").agg(F.count(F.lit(1)).alias("k"))
+    g = staged(g.join(k, "surname").withColumn("w", F.least(F.lit(1.0), FEW / F.col("k"))), "surnames")
+    n = g.groupBy("given").agg(F.sum("w").alias("n"))
+    # What shares SHARED of a name's surnames by weight is found in those that come first and make up more than the rest;
+    # these are the ones with fewest given names.  The others are only looked at for the pairs this leaves.
+    s = g.join(n.where("n >= 2"), "given").join(known.select(F.col("s").alias("given")).distinct(), "given", "left_anti")
+    w = Window.partitionBy("given").orderBy("k", "surname").rowsBetween(Window.unboundedPreceding, 0)
+    first = s.withColumn("upto", F.sum("w").over(w)).where(F.col("upto") - F.col("w") <= (1 - SHARED) * F.col("n") + 1e-9)
+    f = g.join(n, "given").select(F.col("given").alias("f"), "surname", F.col("n").alias("nf"))
+    met = first.withColumnRenamed("given", "s").join(f, "surname").where("s <> f and n < nf").select("s", "f").distinct()
+    both = met.join(s.select(F.col("given").alias("s"), "surname", "w", "n"), "s").join(f.select("f", "surname"), ["f", "surname"]).groupBy("s", "f").agg(F.sum("w").alias("both"), F.first("n").alias("n"))
+    learnt = both.where((F.col("both") >= 2 - 1e-9) & (F.col("both") >= SHARED * F.col("n") - 1e-9)).select("s", "f")
     pairs = known.unionByName(learnt)
     siblings = pairs.join(pairs.withColumnRenamed("s", "t"), "f").where("s <> t").select("s", F.col("t").alias("f"))
     pairs = pairs.unionByName(siblings)

@@ -105,3 +105,14 @@ def test_short_surnames(spark):
         assert grouped(spark, nodes, [("William", "Bill")], generic, often=(1, 3, 5, 9)) == [[1, 2], [3, 4], [5, 6, 7], [9, 10, 11]]
     filler = [(20, "Foo of Bar AG", "ORG"), (21, "Foo of Baz AG", "ORG")]
     assert grouped(spark, filler) == []
+
+
+def test_nicknames_are_learnt_from_surnames_of_any_size(spark):
+    own = lambda i, m: [(f"g{i}x{j}", f"s{i}") for j in range(m)]
+    for size, surnames in ((1, 3), (9, 3), (22, 6), (58, 12)):
+        pairs = [x for i in range(surnames) for x in [("magdalena", f"s{i}"), ("leni", f"s{i}"), *own(i, size)]] + [("magdalena", "alone")]
+        pairs += [(g, f"t{i}") for i in range(3) for g in ("xenia", f"h{i}")] + [("xenia", "s0"), ("once", "s0"), ("once", "s1")]
+        givens = spark.createDataFrame([(k, g, s, "") for k, (g, s) in enumerate(pairs)], "unit bigint, given string, surname string, nick string")
+        got = {tuple(r) for r in n.nicknames(givens, spark.createDataFrame([], "formal_name string, short_name string")).collect()}
+        assert ("leni", "magdalena") in got and ("magdalena", "leni") in got, size
+        assert not any("xenia" in x for x in got)
