@@ -47,3 +47,21 @@ def test_query(spark, data, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["source", "target", "weight"]
     assert set(CORE) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_graph_queries_reach_beyond_january(spark, data, duck):
+    pairs = duck.execute("""SELECT DISTINCT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
+        AND abs(a.l_linenumber - b.l_linenumber) <= 5 JOIN orders ON o_orderkey = a.l_orderkey""").fetchall()
+    low = {n: n for p in pairs for n in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    number = {m: i for i, m in enumerate(sorted(set(low.values())))}
+    got = {r["node"]: r["component"] for r in CORE["connected_components_whole"](spark, data).collect()}
+    assert got == {n: number[m] for n, m in low.items()}
+    january = {r["node"] for r in CORE["connected_components"](spark, data).collect()}  # still in its own range
+    assert january < set(got)
