@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators import graph as g
-from loomspan.operators import metrics, timeline, traversal
+from loomspan.operators import metrics, timeline
 from loomspan.plans.runtime import staged
 from loomspan.temporal import TemporalGraph
 
 STEPS = 9
 
 
+def width_of(ts_min: int, ts_max: int) -> int:
+    return max(1, (ts_max - ts_min) // 3)
+
+
 def windows_of(ts_min: int, ts_max: int, steps: int = STEPS) -> list[tuple[int, int, int]]:
-    return timeline.hopping(ts_min, ts_max, max(1, (ts_max - ts_min) // 3), steps)
+    return timeline.hopping(ts_min, ts_max, width_of(ts_min, ts_max), steps)
 
 
 def normalized_samples(sampled: DataFrame) -> DataFrame:
@@ -54,8 +58,11 @@ def subgraph(t: TemporalGraph, kind: str, ts_min: int, ts_max: int, steps: int =
     return g.sparse_subgraph(score, score.join(seeds.select(*g.EDGE, (-F.col("weight")).alias("rank")), g.EDGE)), seeds
 
 
-def node_sizes(t: TemporalGraph, kind: str, ts_min: int, ts_max: int, steps: int = STEPS, iterations: int = 20) -> DataFrame:
-    """(node, weight, colour), by kind; degrees, weights, anomalies and eigenvectors on a logarithmic scale."""
+def node_sizes(t: TemporalGraph, kind: str, ts_min: int, ts_max: int, steps: int = STEPS, tolerance: float = 1e-3) -> DataFrame:
+    """(node, weight, colour), by kind; degrees, weights, anomalies and eigenvectors on a logarithmic scale.
+
+    The eigenvectors of windows each start from the one before and end when a step moves them by ``tolerance`` or less.
+    """
     one = {
         "in_degrees": dict(incoming=True), "out_degrees": {}, "in_weights": dict(incoming=True, weighted=True), "out_weights": dict(weighted=True),
     }
@@ -65,11 +72,11 @@ def node_sizes(t: TemporalGraph, kind: str, ts_min: int, ts_max: int, steps: int
         if kind in one:
             v = g.degrees(s.df, t.directed, **one[kind])
         elif kind == "eigenvector":
-            v = s.power_iteration(tolerance=1e-3)[0].df
+            v = s.power_iteration(tolerance=tolerance)[0].df
         else:
             v = g.anomalies(s.df, t.directed, weighted=kind == "weight_anomalies")
         return v.select("node", F.when(F.col("weight") > 0, F.greatest(F.ln("weight") + 10, F.lit(1.0))).otherwise(1.0).alias("weight"), grey)
-    v = staged(traversal.power_steps(timeline.sample_graphs(t.edges, windows_of(ts_min, ts_max, steps)), iterations, ["step"], t.directed), "eigenvectors")
+    v = staged(t.sample_eigenvectors(ts_min, ts_max, width_of(ts_min, ts_max), steps, tolerance), "eigenvectors")
     if kind == "stable_nodes":
         return metrics.stability_pareto(v, g.NODE, steps).select("node", (-F.col("weight")).alias("weight"), grey)
     if kind == "trend":

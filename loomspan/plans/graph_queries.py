@@ -719,6 +719,12 @@ def dashboard_stable_nodes(spark, folder):
     return dashboards.node_sizes(_dashboard(spark, folder), "stable_nodes", *YEAR)
 
 
+@query()
+def dashboard_trend_converged(spark, folder):
+    """Trend of each node's place in the eigenvectors of nine windows, and its colour."""
+    return dashboards.node_sizes(_dashboard(spark, folder), "trend", *YEAR)
+
+
 @query()
 def dashboard_network_set(spark, folder):
     """JSON rows of a whole dashboard."""

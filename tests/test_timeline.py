@@ -190,3 +190,11 @@ def test_streams(spark, tmp_path):
     streams.run_to_table(streams.tumbling_sums(read(), 1000), f"{tmp_path}/d", f"{tmp_path}/cd")
     streams.run_to_table(streams.hopping_sums(read(), 2000, 1000), f"{tmp_path}/e", f"{tmp_path}/ce")
     assert spark.read.parquet(f"{tmp_path}/d").columns == ["window_start", "source", "target", "weight"]
+
+
+def test_node_sizes_take_converged_eigenvectors(spark):
+    from loomspan.plans import dashboards
+
+    t = TemporalGraph.from_graphs(spark, [(10, {(0, 0): 1.0, (1, 1): 0.9}), (290, {(0, 0): 0.5, (1, 1): 1.0})])  # 0.9 ** 20 is 0.12
+    got = {r["node"]: (r["weight"], r["colour"]) for r in dashboards.node_sizes(t, "trend", 0, 300, steps=2).collect()}
+    assert got[1][0] > 0.97 and got[0][0] > 0.97 and (got[0][1], got[1][1]) == ("red", "green")
