@@ -8,21 +8,25 @@ number seen, are taken up as well, and none is taken up twice.
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.plans.runtime import shared_dir
+from loomspan.plans.commits import CommitLog
+from loomspan.plans.runtime import shared_dir, staged
 
 #: Numbers in one block.  Intervals are cut at block borders, so that blocks are
 #: worked on apart from each other and no task holds more than one at a time.
 BLOCK = 1 << 16
+#: Longest spans of processed numbers that are pushed into the scan of a source, to skip what lies in them.
+SPANS = 16
+#: Outputs that a commit lists itself; earlier ones are in the commits it points to.
+LISTED = 64
 
 
 def _block(seq):
-    return F.floor(seq / BLOCK).cast("bigint")
+    return F.shiftright(seq.cast("bigint"), 16)
 
 
 def intervals(numbers: DataFrame, seq: str = "seq") -> DataFrame:
@@ -63,34 +67,32 @@ def subtract(rows: DataFrame, seq: str, done: DataFrame) -> DataFrame:
     return open_.select("payload.*")
 
 
-def changed_rows(rows: DataFrame, taken: DataFrame, seq: str, key: str, version: str, content: str) -> DataFrame:
-    """(seq): the latest row of each key that is not yet taken over, or was with another content.
+def spans(done: DataFrame, most: int = SPANS) -> list[list[int]]:
+    """The longest stretches of numbers without a gap, at most ``most``: a hint for scans, which changes no result.
 
-    ``taken`` holds (key, version) pairs taken over by runs that succeeded.
-    Their numbers are turned into disjoint intervals, the gaps between them are
-    the rows to look at, and of these a row remains if it is the latest of its
-    key (greatest version, then smallest number) and its content is another
-    than that of the last version taken over.  Rows without a key or version
-    are no version of anything and are passed over; a null content equals a
-    null content only; a taken version that is not in ``rows`` is another
-    content.  Repeated deliveries of a version count once.
-
-    Contents are compared by SHA-256.  All versions of a key are brought to one
-    row per version and then one per key by aggregates that merge before the
-    shuffle, so a key with any number of versions is no burden.
+    Full blocks that follow each other are joined within 1024 blocks where they
+    lie; only these stretches, the longest 4096 of them, reach the driver.
     """
-    mark = F.coalesce(F.unhex(F.sha2(F.col(content), 256)), F.lit(bytearray(b"none")))
-    r = rows.where(F.col(key).isNotNull() & F.col(version).isNotNull()).select(F.col(key).alias("key"), F.col(version).alias("version"), F.col(seq).alias("seq"), mark.alias("mark"), F.lit(False).alias("taken"))
-    t = taken.where(F.col(key).isNotNull() & F.col(version).isNotNull()).select(F.col(key).alias("key"), F.col(version).alias("version"), F.lit(None).cast(rows.schema[seq].dataType).alias("seq"), F.lit(None).cast("binary").alias("mark"), F.lit(True).alias("taken"))
-    versions = r.unionByName(t).groupBy("key", "version").agg(F.min(F.when(F.col("seq").isNotNull(), F.struct("seq", "mark"))).alias("first"), F.max("taken").alias("taken"))
-    versions = versions.select("key", "version", F.col("first.seq").alias("seq"), F.col("first.mark").alias("mark"), "taken")
-    done = intervals(versions.where(F.col("taken")))
-    newest = F.max(F.when(F.col("seq").isNotNull(), F.struct("version", "seq", "mark")))
-    last_taken = F.max(F.when(F.col("taken"), F.struct("version", "seq", "mark")))
-    per_key = versions.groupBy("key").agg(newest.alias("new"), last_taken.alias("old")).where(F.col("new").isNotNull())
-    changed = F.col("old").isNull() | F.col("old.seq").isNull() | (F.col("old.mark") != F.col("new.mark"))
-    latest = per_key.select(F.col("new.seq").alias(seq), changed.alias("changed"))
-    return subtract(latest, seq, done).where(F.col("changed")).select(seq)
+    full = done.where((F.col("lo") == F.col("block") * BLOCK) & (F.col("hi") == F.col("lo") + BLOCK - 1)).select("block", F.floor(F.col("block") / 1024).alias("part"))
+    runs = full.withColumn("island", F.col("block") - F.row_number().over(Window.partitionBy("part").orderBy("block")))
+    runs = runs.groupBy("part", "island").agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    got = sorted((r["first"], r["last"]) for r in runs.orderBy(F.desc(F.col("last") - F.col("first")), "first").limit(4096).collect())
+    out: list[list[int]] = []
+    for first, last in got:
+        if out and out[-1][1] + 1 == first:
+            out[-1][1] = last
+        else:
+            out.append([first, last])
+    longest = sorted(out, key=lambda x: x[0] - x[1])[:most]
+    return sorted([a * BLOCK, b * BLOCK + BLOCK - 1] for a, b in longest)
+
+
+def outside(seq: Column, known: list[list[int]]) -> Column:
+    """Whether a number lies in none of these spans; plain comparisons, which reach the scan."""
+    keep = F.lit(True)
+    for lo, hi in known:
+        keep = keep & ((seq < lo) | (seq > hi))
+    return keep
 
 
 class Ledger:
@@ -98,62 +100,130 @@ class Ledger:
 
     ``run`` first fixes the numbers it takes (intervals in the folder), then
     writes their output, and last puts down one small commit file that names
-    both; until that file is there neither is seen.  A run that fails anywhere
-    leaves the ledger as it was, and the next run takes the same numbers again.
-    Two runs at the same time can't both commit: the second finds the commit
-    file of its number taken, and fails.
+    both; until that file is there neither is seen.  A run that fails anywhere,
+    while the commit is written too, leaves the ledger as it was, and the next
+    run takes the same numbers again.  Two runs at the same time can't both
+    commit: the second finds its number taken, and fails.
+
+    Only the last commit is read to begin with, by the file system; it holds the
+    longest spans without a gap, so that a scan skips what is in them.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = (folder or f"{shared_dir(spark)}/ledger").rstrip("/")
+        self.log = CommitLog(spark, f"{self.folder}/commits")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def commits(self) -> int:
+        """Number of commits that count."""
+        last = self.log.last()[1]
+        return 0 if last is None else last["count"]
 
-    def commits(self) -> list[dict]:
-        """Commits in order; one line each, never the numbers themselves."""
-        fs, p = self._fs(f"{self.folder}/commits")
-        if not fs.exists(p):
-            return []
-        names = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
-        return [json.loads(self.spark.read.text(n).first()[0]) for n in names]
+    def _done(self, last: dict | None) -> DataFrame:
+        if last is None:
+            return self.spark.createDataFrame([], "block bigint, lo bigint, hi bigint")
+        return self.spark.read.schema("block bigint, lo bigint, hi bigint").parquet(last["intervals"])
 
     def done(self) -> DataFrame:
         """All processed intervals."""
-        c = self.commits()
-        if not c:
-            return self.spark.createDataFrame([], "block bigint, lo bigint, hi bigint")
-        return self.spark.read.parquet(c[-1]["intervals"])
+        return self._done(self.log.last()[1])
 
     def output(self) -> DataFrame | None:
         """The output of all committed runs."""
-        c = [x["output"] for x in self.commits()]
+        c, last = [], self.log.last()[1]
+        while last is not None:
+            c += last["outputs"]
+            last = None if last["earlier"] is None else self.log.read(last["earlier"])
         return self.spark.read.parquet(*c) if c else None
 
+    def _commit(self, number: int, last: dict | None, merged: DataFrame, path: str, output: str | None) -> None:
+        merged.write.parquet(path)
+        outputs, earlier, count = ([], None, 0) if last is None else (last["outputs"], last["earlier"], last["count"])
+        if len(outputs) >= LISTED:
+            outputs, earlier = [], last["number"]
+        known = spans(self.spark.read.schema(merged.schema).parquet(path))
+        self.log.put(number, {"number": number, "count": count + 1, "intervals": path, "outputs": [*outputs, *([output] if output else [])], "earlier": earlier, "spans": known})
+
+    def adopt(self, numbers: DataFrame, seq: str = "seq") -> None:
+        """Commit numbers that were processed elsewhere, without output."""
+        number, last = self.log.last()
+        self._commit(number, last, merge(self._done(last), intervals(numbers, seq)), f"{self.folder}/intervals/{uuid.uuid4().hex[:12]}", None)
+
     def run(self, source: DataFrame, seq: str, process) -> int:
-        """Process the numbers of ``source`` that are not in the ledger; the number of rows taken.
+        """Process the numbers of ``source`` that are not in the ledger; how many numbers were taken.
 
         ``process`` maps a DataFrame of the rows to one of the output.  Rows of
         one number are taken together; rows without a number are passed over.
+        Rows that arrive after the numbers are fixed wait for the next run.
         """
-        commits, run = self.commits(), uuid.uuid4().hex[:12]
-        done = self.done()
+        (number, last), run = self.log.last(), uuid.uuid4().hex[:12]
+        done, known = self._done(last), [] if last is None else last["spans"]
         taken, merged, out = (f"{self.folder}/{x}/{run}" for x in ("taken", "intervals", "output"))
-        intervals(subtract(source.select(F.col(seq).alias("seq")), "seq", done)).write.parquet(taken)
-        new = self.spark.read.parquet(taken)
-        if new.isEmpty():
+        ahead = source.where(outside(F.col(seq), known))  # the rest is processed for certain
+        near = done.where(outside(F.col("lo"), known))  # a span is made of whole blocks, so an interval is in it or not
+        intervals(subtract(ahead.select(F.col(seq).alias("seq")), "seq", near)).write.parquet(taken)
+        new = self.spark.read.schema(done.schema).parquet(taken)
+        size, first, end = new.agg(F.sum(F.col("hi") - F.col("lo") + 1), F.min("lo"), F.max("hi")).first()
+        if not size:
             return 0
-        # Rows that arrive from now on are not in ``taken`` and wait for the next run.
-        w = Window.partitionBy("_block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-        rows = source.where(F.col(seq).isNotNull()).select(F.col(seq).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_hi"), F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("_row"))
-        marks = new.select(F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.col("hi").alias("_hi"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
-        mine = rows.unionByName(marks).withColumn("_block", _block(F.col("_at"))).withColumn("_upto", F.max("_hi").over(w))
-        process(mine.where((F.col("_kind") == 1) & (F.col("_upto") >= F.col("_at"))).select("_row.*")).write.parquet(out)
-        merge(done, new).write.parquet(merged)
-        fs, target = self._fs(f"{self.folder}/commits/{len(commits):09d}.json")
-        stream = fs.create(target, False)  # fails if another run has committed meanwhile
-        stream.write(bytearray(json.dumps({"intervals": merged, "output": out}).encode()))
-        stream.close()
-        return new.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0]
+        process(within(ahead.where((F.col(seq) >= first) & (F.col(seq) <= end)), seq, new)).write.parquet(out)
+        self._commit(number, last, merge(done, new), merged, out)
+        return size
+
+
+def within(rows: DataFrame, seq: str, chosen: DataFrame) -> DataFrame:
+    """The rows whose number lies in one of the intervals ``chosen``, with their columns unchanged.
+
+    Rows of other blocks are dropped before anything is sorted; the rest is
+    sorted with the interval starts of its block, as in ``subtract``.
+    """
+    payload = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    r = rows.where(F.col(seq).isNotNull()).select(F.col(seq).cast("bigint").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("hi"), payload.alias("payload")).withColumn("block", _block(F.col("at")))
+    r = r.join(chosen.select("block").distinct(), "block", "left_semi")
+    d = chosen.select(F.col("lo").alias("at"), F.lit(0).alias("kind"), "hi", F.lit(None).cast(r.schema["payload"].dataType).alias("payload"), "block")
+    w = Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = r.select("at", "kind", "hi", "payload", "block").unionByName(d).withColumn("upto", F.max("hi").over(w))
+    return both.where((F.col("kind") == 1) & (F.col("upto") >= F.col("at"))).select("payload.*")
+
+
+def changed_rows(rows: DataFrame, taken: DataFrame, seq: str, key: str, version: str, content: str, ledger: Ledger) -> DataFrame:
+    """(seq): the latest row of each key that is not yet taken over, or was with another content.
+
+    ``taken`` holds (key, version) pairs taken over by runs that succeeded.  The
+    numbers of these rows are put into ``ledger`` as processed intervals; the
+    gaps between them, wherever they lie, are the rows to look at, and the
+    ledger commits them with the result.  Of the rows in the gaps one remains
+    per key if it is the latest (greatest version, then smallest number), later
+    than the version last taken over, and its content is another than that
+    version's.  A version last taken over that is not in ``rows`` is another
+    content: its key counts as not taken, so that its latest row remains.
+
+    Rows without a key, version or number are no version of anything and are passed
+    over; a null content equals a null content only; repeated deliveries of a
+    version count once, by the smallest number.  Contents are compared by
+    SHA-256, only for rows in the gaps and versions last taken over.  All
+    aggregates merge before the shuffle, so a key with any number of versions is
+    no burden.
+    """
+    k, v = F.col("_key"), F.col("_version")
+    named = lambda df, *more: df.where(F.col(key).isNotNull() & F.col(version).isNotNull()).select(F.col(key).alias("_key"), F.col(version).alias("_version"), *more)
+    own = [F.col(seq).alias("_seq"), F.col(content).alias("_content")]
+    took = staged(named(taken).distinct(), "taken")
+    last = took.groupBy("_key").agg(F.max(v).alias("_version"))
+    mark = F.coalesce(F.unhex(F.sha2(F.col("_content").cast("string"), 256)), F.lit(bytearray(b"none")))
+    # The rows of versions that were taken over; those taken over last with their contents.
+    rows = rows.where(F.col(seq).isNotNull())
+    there = named(rows, *own).join(took.withColumn("_taken", F.lit(True)), ["_key", "_version"], "left_semi").join(last.withColumnRenamed("_version", "_last"), "_key")
+    there = staged(there.select("_key", "_seq", F.when(v == F.col("_last"), F.struct(F.col("_seq").alias("at"), mark.alias("mark"))).alias("old")), "there")
+    old = staged(there.groupBy("_key").agg(F.min("old").alias("old")).where("old is not null").join(last, "_key").select("_key", "_version", F.col("old.mark").alias("mark")), "last-taken")
+    ledger.adopt(there.join(old.select("_key"), "_key", "left_semi").select(F.col("_seq").alias("seq")))
+
+    def process(new: DataFrame) -> DataFrame:
+        best = named(new, *own).groupBy("_key").agg(F.max(F.struct(v, F.negative(F.col("_seq").cast("bigint")).alias("less"), mark.alias("mark"))).alias("new"))
+        both = best.join(old.select("_key", F.col("_version").alias("_last"), F.col("mark").alias("was")), "_key", "left")
+        kept = both.where(F.col("_last").isNull() | ((F.col("new._version") > F.col("_last")) & (F.col("new.mark") != F.col("was"))))
+        return kept.select(F.negative("new.less").cast(rows.schema[seq].dataType).alias(seq))
+
+    ledger.run(rows.select(*dict.fromkeys([seq, key, version, content])), seq, process)
+    out = ledger.output()
+    return rows.select(seq).limit(0) if out is None else out

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.instants import instant_parts, parts_to_utc_millis
 from loomspan.operators import hot_keys, increments, rolling
+from loomspan.plans.runtime import new_path
 from loomspan.sources.tables import table
 
 EPOCH = dt.date(1970, 1, 1)
@@ -92,7 +94,29 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     extract = table(spark, folder, "article_extract")
     runs = table(spark, folder, "pipeline_run").where(F.col("run_status") == "succeeded").select("run_id").distinct()
     taken = table(spark, folder, "article_processed").join(runs, "run_id", "left_semi").select("url", "extracttime")
-    return increments.changed_rows(extract, taken, "extract_id", "url", "extracttime", "body").select("extract_id")
+    ledger = increments.Ledger(spark, new_path(spark, "ledger"))
+    return increments.changed_rows(extract, taken, "extract_id", "url", "extracttime", "body", ledger).select("extract_id")
+
+
+def p7_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Which run of a ledger takes each article, and what a run that fails leaves behind.
+
+    The first run finds the articles extracted before the first half of the
+    pipeline's runs had started; the second finds all and fails when its rows
+    are made; the third finds all; the fourth finds nothing new.
+    """
+    extract = table(spark, folder, "article_extract").select("extract_id", "extracttime")
+    half = table(spark, folder, "pipeline_run").select("started_at", F.ntile(2).over(Window.orderBy("run_id")).alias("half")).where("half = 1").agg(F.max("started_at")).first()[0]  # a row per run of the pipeline
+    ledger = increments.Ledger(spark, new_path(spark, "ledger"))
+    numbered = lambda n: lambda d: d.select("extract_id", F.lit(n).alias("run_no"))
+    ledger.run(extract.where(F.col("extracttime") < F.lit(half)), "extract_id", numbered(1))
+    try:
+        ledger.run(extract, "extract_id", lambda d: d.select("extract_id", F.raise_error(F.lit("the machine is lost")).cast("int").alias("run_no")))
+    except PySparkException:
+        pass
+    ledger.run(extract, "extract_id", numbered(3))
+    ledger.run(extract, "extract_id", numbered(4))
+    return ledger.output().select("extract_id", "run_no")
 
 
 P7_SQL = """
@@ -102,6 +126,10 @@ taken AS (SELECT o.url, min_by(struct_pack(b := e.body), e.extract_id) AS s FROM
 SELECT l.extract_id FROM last l LEFT JOIN taken t ON t.url = l.url
 WHERE t.url IS NULL OR (t.s).b IS DISTINCT FROM l.body
 """
+P7_RUNS = """
+WITH h AS (SELECT max(started_at) AS t FROM (SELECT started_at, ntile(2) OVER (ORDER BY run_id) AS half FROM pipeline_run) WHERE half = 1)
+SELECT extract_id, CASE WHEN extracttime < h.t THEN 1 ELSE 3 END AS run_no FROM article_extract, h
+"""
 P4_PART = """SELECT '{f}' AS field_name, CAST({f} AS VARCHAR) AS key_text, count(*) AS n_rows, count({v}) AS n_values,
   round(CAST(coalesce(sum(CAST({v} AS DECIMAL(26,12))), 0) AS DOUBLE), 6) AS total FROM {t} WHERE {f} IS NOT NULL GROUP BY 2"""
 P4_FOUND = """SELECT '{f}' AS field_name, CAST({f} AS VARCHAR) AS key_text FROM {t} WHERE {f} IS NOT NULL
@@ -109,7 +137,7 @@ P4_FOUND = """SELECT '{f}' AS field_name, CAST({f} AS VARCHAR) AS key_text FROM
 
 QUERIES = {"p1_found": p1_found, "p1_trailing_totals": p1_trailing_totals,
     "p4_found": p4_found, "p4_key_totals": p4_key_totals, "p4_key_quantiles": p4_key_quantiles,
-    "p6_found": p6_found, "p7_found": p7_found,
+    "p6_found": p6_found, "p7_found": p7_found, "p7_runs": p7_runs,
 }
 ORACLES = {
     "p1_found": P1_BASE + "SELECT node, day_no FROM tot WHERE t7 = 0 AND t30 > 0",
@@ -122,4 +150,5 @@ ORACLES = {
         SELECT CAST(edge_from AS VARCHAR) AS key_text, p.prob, edge_value AS quantile FROM r, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE))) p(prob)
         WHERE i = greatest(1, CAST(ceil(p.prob * n) AS BIGINT))""",
     "p7_found": P7_SQL,
+    "p7_runs": P7_RUNS,
 }
