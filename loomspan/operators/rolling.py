@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Fractional digits of the fixed-point sums.  Floating sums would leave a rest
 #: of about 1e-17 where an amount is added and taken off, and never be zero.
 SCALE = 12
+#: Amounts of a row that fixed point can hold: with these, 10 ** 7 rows of a node and period can't overflow it.
+MOST = 1e18
 
 
 def latest_rows(df: DataFrame, key: str, order: str, keep: Sequence[str]) -> DataFrame:
@@ -36,11 +38,14 @@ def daily_amounts(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> Da
     A row counts once for each different non-null value among its ``keys``
     columns.  A null ``value`` counts as 0; a null or NaN-valued amount never
     arises (NaN counts as 0 too).  Rows without ``ts`` belong to no day and are
-    passed over.  The sum is exact to ``SCALE`` digits after the point.
+    passed over.  The sum is exact to ``SCALE`` digits after the point.  An
+    infinite amount counts as 0 like NaN; a finite one above MOST in size raises
+    an error that names it, as no exact total could hold it.
     """
     day = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000).cast("int").alias("day_no")
     v = F.col(value).cast("double")
-    amount = F.coalesce(F.when(~F.isnan(v), v), F.lit(0.0)).cast(f"decimal(26,{SCALE})").alias("amount")
+    fits = F.when(F.abs(v) <= MOST, v.cast(f"decimal(38,{SCALE})")).otherwise(F.raise_error(F.concat(F.lit("an amount is too large for exact totals: "), v.cast("string"))))
+    amount = F.coalesce(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), fits), F.lit(0).cast(f"decimal(38,{SCALE})")).alias("amount")
     ends = F.explode(F.array_distinct(F.array(*[F.col(k).cast("bigint") for k in keys]))).alias("node")
     flat = df.where(F.col(ts).isNotNull()).select(ends, day, amount).where(F.col("node").isNotNull())
     return flat.groupBy("node", "day_no").agg(F.sum("amount").cast(f"decimal(38,{SCALE})").alias("amount"))

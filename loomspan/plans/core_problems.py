@@ -67,7 +67,7 @@ def p4_key_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_key_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Median and 90 % quantile of edge_value of every edge_from."""
-    return hot_keys.key_quantiles(table(spark, folder, "edge"), "edge_from", "edge_value", [0.5, 0.9], hot_rows=5000)
+    return hot_keys.key_quantiles(table(spark, folder, "edge"), "edge_from", "edge_value", [0.5, 0.9])
 
 
 # ---- p6: timestamps in mixed writings ----------------------------------------

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import rolling
@@ -67,3 +68,12 @@ def test_latest_row_ties(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (1, 5, 2.0), (1, None, 9.0)], "k bigint, o bigint, v double")
     assert rows(rolling.latest_rows(df, "k", "o", ["v"])) == [(2.0,)]
     assert rolling.spread(spark.createDataFrame([(1, 3, 5, "a")], "node bigint, run_from int, run_to int, t string")).agg(F.count("*")).first()[0] == 3
+
+
+def test_large_amounts(spark):
+    data = [(1, 1, None, 1e15, T0, T0, "", ""), (2, 1, None, 0.125, T0, T0, "", ""), (3, 1, None, float("inf"), T0, T0, "", ""), (4, 1, None, float("nan"), T0, T0, "", "")]
+    df = spark.createDataFrame(data, EDGE)
+    got = rows(rolling.trailing_totals(df, ["edge_from", "edge_to"], "edge_ts", "edge_value", [1], D0, D0 + 1), "node", "day_no", "total_1")
+    assert got == [(1, D0, 1e15 + 0.125), (1, D0 + 1, 0.0)]
+    with pytest.raises(Exception, match="too large"):
+        rolling.daily_amounts(spark.createDataFrame([(1, 1, None, 1e300, T0, T0, "", "")], EDGE), ["edge_from"], "edge_ts", "edge_value").collect()
