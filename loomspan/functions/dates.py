@@ -1,26 +1,43 @@
-"""Dates of the news pipeline and dates written as free text."""
+"""Dates of the news pipeline and dates written as free text, inside whole-stage codegen.
+
+Each kind of text is read by one expression with named groups; what it captures
+is then put together by rules on the captured parts.
+"""
 
 from __future__ import annotations
 
 import calendar
-import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SEP = "\u0001"
+
+
+def _captured(text: Column, pattern: str, groups: Sequence[str]) -> Column:
+    """Array of the groups of a text that matches as a whole (after an empty entry), else of one entry."""
+    return F.split(F.regexp_replace(text, F.lit(f"(?s)^(?:{pattern})$"), F.lit(_SEP + _SEP.join(f"${{{g}}}" for g in groups))), _SEP)
+
+
+# ---- dates of articles ----------------------------------------------------------
+_ARTICLE = r"(?<y>\d{4})-(?<m>\d\d)-(?<d>\d\d)(?:T(?<h>\d\d):(?<mi>\d\d):(?<s>\d\d(?:\.\d{1,6})?)(?:(?<z>Z)|(?<oh>[+-]\d\d):?(?<om>\d\d)(?:\[[^\]]*\])?))?"
+
 
 def publishing_date(text: Column, crawltime: Column) -> Column:
     """A timestamp from ``yyyy-MM-dd`` or an ISO time with offset (a zone name in brackets may follow), else ``crawltime``.
 
-    A date alone is its midnight in the session's zone.
+    A date alone is its midnight in the session's zone.  Dates and times that
+    don't exist are read as ``crawltime`` too.
     """
-    t = F.regexp_replace(F.regexp_replace(text, r"Z$", "+0000"), r"([-+]\d{2}):?(\d{2})(?:\[.*\])?$", "$1$2")
-    day = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")))
-    second = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[-+]\d{4}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssxx")))
-    pad = F.regexp_replace(t, r"\.(\d{1,6})", ".$1000000")
-    pad = F.regexp_replace(pad, r"\.(\d{6})\d*", ".$1")
-    fine = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}[-+]\d{4}$"), F.try_to_timestamp(pad, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx")))
-    return F.coalesce(day, second, fine, crawltime)
+    names = ["y", "m", "d", "h", "mi", "s", "oh", "om", "z"]
+    p = _captured(text, _ARTICLE, names)
+    part = {n: F.get(p, F.lit(i + 1)) for i, n in enumerate(names)}
+    whole = lambda n: F.coalesce(F.nullif(part[n], F.lit("")), F.lit("0")).cast("int")
+    zone = F.when(part["h"] == "", F.current_timezone()).when(part["z"] == "Z", F.lit("+00:00")).otherwise(F.concat(part["oh"], F.lit(":"), part["om"]))
+    second = F.coalesce(F.nullif(part["s"], F.lit("")), F.lit("0")).cast("decimal(8,6)")
+    made = F.try_make_timestamp(whole("y"), whole("m"), whole("d"), whole("h"), whole("mi"), second, zone)
+    return F.coalesce(F.when(F.size(p) > 1, made), crawltime)
 
 
 def social_date(text: Column) -> Column:
@@ -29,116 +46,74 @@ def social_date(text: Column) -> Column:
     return F.when(text.rlike(shape), F.try_to_timestamp(F.regexp_extract(text, shape, 1), F.lit("MMM dd HH:mm:ss xx yyyy")))
 
 
-_MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m}
-_NOW = ("present", "ongoing", "now")
-_DAYS = tuple(d.lower() for d in calendar.day_name)
-
-
-def _tokens(part: str) -> list | None:
-    """A date's words as ('d', 5), ('m', 4), ('y', 2015) or ('now', 0); None if there is another word."""
-    out = []
-    words = part.split()
-    if len(words) > 1 and (words[0] in _DAYS or re.fullmatch(r"[0-5]?\d:[0-5]\d", words[0])):
-        words = words[1:]
-        if not any(w in _MONTHS for w in words) or not any(re.fullmatch(r"\d{1,2}", w) for w in words):
-            return None  # a weekday or hour stands before whole dates only
-    for w in words:
-        if w in _MONTHS:
-            out.append(("m", _MONTHS[w]))
-        elif w in _NOW:
-            out.append(("now", 0))
-        elif re.fullmatch(r"[12]\d{3}", w):
-            out.append(("y", int(w)))
-        elif re.fullmatch(r"0?[1-9]|[12]\d|3[01]", w):
-            out.append(("d", int(w)))
-        else:
-            return None
-    return out
-
-
-_SHAPES = {"dmy", "dm", "mdy", "md", "my", "m", "y"}
-
-
-def _fields(part: str, ago: bool = True) -> dict | None:
-    """{'y', 'm', 'd'} of one date, or {'now'}; None if it isn't one."""
-    m = re.fullmatch(r"(.*\b[12]\d{3})\s*;\s+\d+\s+(?:days|months|years)\s+ago", part) if ago else None
-    tokens = _tokens(m[1] if m else part)
-    if not tokens:
-        return None
-    shape = "".join(k for k, _ in tokens)
-    if shape == "now":
-        return {"now": True}
-    if shape not in _SHAPES or (m and shape not in ("dmy", "mdy")):
-        return None
-    return dict(tokens)
-
-
-def _iso(y: int, m: int, d: int) -> str:
-    return f"{y:04d}-{m:02d}-{d:02d}"
-
-
-def _first(f: dict) -> str:
-    return _iso(f["y"], f.get("m", 1), f.get("d", 1))
+# ---- ranges of days in free text ------------------------------------------------------
+# Words for an end that hasn't come.
+NOW = ("present", "ongoing", "now")
+_MONTH, _WEEKDAY = ("|".join(x.lower() for x in names if x) for names in (calendar.month_name, calendar.day_name))
+_DAY = r"0?[1-9]|[12]\d|3[01]"
+# One end of a range: a day may come before or after the month, a weekday or hour before a whole date, an age after it.
+_END = (
+    rf"(?:(?<now{{k}}>{'|'.join(NOW)})|(?:(?<pre{{k}}>{_WEEKDAY}|[0-5]?\d:[0-5]\d)\s+)?(?:(?<a{{k}}>{_DAY})\b\s*)?(?:(?<m{{k}}>{_MONTH})\b\s*)?"
+    rf"(?:(?<b{{k}}>{_DAY})\b\s*)?(?:(?<y{{k}}>[12]\d{{{{3}}}})\b\s*)?(?<ago{{k}}>;\s+\d+\s+(?:days|months|years)\s+ago)?)"
+)
+_RANGE = _END.format(k="1") + r"\s*(?:(?<dash>-)\s*" + _END.format(k="2") + ")?"
+_PARTS = ["dash", *[f"{n}{k}" for k in "12" for n in ("now", "pre", "a", "m", "b", "y", "ago")]]
 
 
-def _last(f: dict) -> str:
-    m = f.get("m", 12)
-    return _iso(f["y"], m, f.get("d") or calendar.monthrange(f["y"], m)[1])
+def _cleaned(text: Column) -> Column:
+    """Lower case, one kind of dash, no commas and brackets; the first line, with those after it as long as lines end in a dash."""
+    t = F.lower(F.trim(F.regexp_replace(F.translate(text, "\u00a0–—,", " -- "), r"\([^)]*\)", "")))
+    t = F.regexp_replace(t, r"^total:", "")
+    t = F.regexp_replace(t, r"(?s)^((?:[^\n]*-\s*\n)*[^\n]*).*$", "$1")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def free_text_range(text: str | None, ref_date: str | None = None) -> list[str] | None:
-    """[first, last] day of a date or range written as text, or None; the last is 'NOW' if it goes on.
+def free_text_range(text: Column, ref_date: Column) -> Column:
+    """[first, last] day of a date or range written as text, or null; the last is 'NOW' if it goes on.
 
     What is in brackets is left aside, and so are further lines unless a line
     ends in a dash.  A year missing at the start is that of the end; missing
-    altogether it is that of ``ref_date``.
+    altogether it is that of ``ref_date`` (yyyy-MM-dd).  A month or year alone
+    stands for all its days.  Days that don't exist make no range.
     """
-    if text is None:
-        return None
-    t = re.sub(r"\([^)]*\)", "", text.replace("\xa0", " ")).strip().lower()
-    t = re.sub("[–—]", "-", t).replace(",", " ").removeprefix("total:")
-    taken = ""
-    for line in t.split("\n"):
-        taken += line
-        if not taken.strip().endswith("-"):
-            break
-    t = taken.strip()
-    ref = int(ref_date[:4]) if ref_date and re.fullmatch(r"\d{4}-\d{2}-\d{2}", ref_date) else None
-
-    halves = t.split("-")
-    if len(halves) == 2:
-        a, b = (_fields(h.strip()) for h in halves)
-        if a and b and "now" not in a:
-            year = a.get("y") or (b.get("y") if "now" not in b else -1) or ref
-            if year and year > 0:
-                a = {**a, "y": year}
-                if "now" in b:
-                    return [_first(a), "NOW"]
-                b = {**b, "y": b.get("y") or (ref if "y" not in _fields(halves[0].strip()) else None)}
-                if b["y"]:
-                    return [_first(a), _last(b)]
-        # One month with two days: "1 - 12 november 2016" or "april 21 - 22 2016".
-        a, b = (_tokens(h.strip()) or [] for h in halves)
-        shape = "".join(k for k, _ in a) + "-" + "".join(k for k, _ in b)
-        if shape in ("d-dmy", "d-dm", "md-dy", "md-d"):
-            f, g = dict(a), dict(b)
-            year, month = g.get("y") or ref, f.get("m") or g.get("m")
-            if year:
-                return [_iso(year, month, f["d"]), _iso(year, month, g["d"])]
-        return None
-    f = _fields(t)
-    if not f or "now" in f:
-        return None
-    f = {**f, "y": f.get("y") or ref}
-    return [_first(f), _last(f)] if f["y"] else None
-
-
-def free_text_range_column(text: Column, ref_date: Column) -> Column:
-    """``free_text_range`` as a column, over Arrow batches."""
-    import pandas as pd
-
-    @F.pandas_udf("array<string>")
-    def parse(t: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([free_text_range(a, b) for a, b in zip(t, r)])
-
-    return parse(text, ref_date)
+    p = _captured(_cleaned(text), _RANGE, _PARTS)
+    got = {n: F.nullif(F.get(p, F.lit(i + 1)), F.lit("")) for i, n in enumerate(_PARTS)}
+    month_no = F.create_map(*[F.lit(x) for i, m in enumerate(calendar.month_name) if m for x in (m.lower(), i)])
+    has = lambda n: got[n].isNotNull()
+    ref = F.when(ref_date.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(ref_date, 1, 4).cast("int"))
+
+    def end(k: str) -> dict[str, Column]:
+        day, month, year = F.coalesce(got[f"a{k}"], got[f"b{k}"]).cast("int"), F.try_element_at(month_no, got[f"m{k}"]), got[f"y{k}"].cast("int")
+        both = has(f"a{k}") & has(f"b{k}")
+        dated = has(f"m{k}") & ~both & (~has(f"pre{k}") | day.isNotNull()) & (~has(f"ago{k}") | (day.isNotNull() & has(f"y{k}")))
+        only_year = has(f"y{k}") & ~has(f"m{k}") & day.isNull() & ~has(f"pre{k}") & ~has(f"ago{k}")
+        # A day with no month, as one side of two days of a month: before a dash, or after it with or without a year.
+        bare = day.isNotNull() & ~both & ~has(f"m{k}") & ~has(f"pre{k}") & ~has(f"ago{k}")
+        return {"d": day, "m": month, "y": year, "now": has(f"now{k}"), "whole": (dated | only_year) & ~has(f"now{k}"), "bare": bare, "plain": ~has(f"pre{k}") & ~has(f"ago{k}")}
+
+    def iso(y: Column, m: Column, d: Column) -> Column:
+        return F.date_format(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
+
+    def first(y: Column, x: dict) -> Column:
+        return iso(y, F.coalesce(x["m"], F.lit(1)), F.coalesce(x["d"], F.lit(1)))
+
+    def last(y: Column, x: dict) -> Column:
+        m = F.coalesce(x["m"], F.lit(12))
+        length = F.dayofmonth(F.last_day(F.try_to_timestamp(F.format_string("%04d-%02d-01", y, m), F.lit("yyyy-MM-dd")).cast("date")))
+        return iso(y, m, F.coalesce(x["d"], length))
+
+    a, b = end("1"), end("2")
+    own = F.coalesce(a["y"], ref)
+    since = F.when(b["now"], a["y"]).otherwise(F.coalesce(a["y"], b["y"], ref))
+    until = F.coalesce(b["y"], F.when(a["y"].isNull(), ref))
+    shared = F.coalesce(b["y"], ref)
+    left_bare = a["bare"] & a["y"].isNull() & b["whole"] & b["plain"] & b["d"].isNotNull()
+    right_bare = a["whole"] & a["plain"] & a["d"].isNotNull() & has("b1") & a["y"].isNull() & b["bare"]
+    pair = (
+        F.when(~has("dash") & a["whole"], F.array(first(own, a), last(own, a)))
+        .when(has("dash") & a["whole"] & b["now"], F.array(first(since, a), F.lit("NOW")))
+        .when(has("dash") & a["whole"] & b["whole"], F.array(first(since, a), last(until, b)))
+        .when(has("dash") & left_bare, F.array(iso(shared, b["m"], a["d"]), iso(shared, b["m"], b["d"])))
+        .when(has("dash") & right_bare, F.array(iso(shared, a["m"], a["d"]), iso(shared, a["m"], b["d"])))
+    )
+    return F.when((F.size(p) > 1) & F.forall(pair, lambda x: x.isNotNull()), pair)

@@ -31,7 +31,7 @@ FORWARD_NAMES = ["cest", "bst", "west", "eest", "msd", "edt", "cdt", "mdt", "pdt
 STANDARD_NAMES = ["cet", "wet", "eet", "msk", "est", "cst", "mst", "pst", "ast", "nst", "ist", "jst", "kst", "brt", "aest", "acst", "awst", "nzst", "sast", "pkt", "sgt", "hkt"]
 
 _CLOCK = r"(?<h{i}>\d{{1,2}})[:hH](?<mi{i}>\d\d)(?::(?<s{i}>\d\d)(?:[.,](?<f{i}>\d{{1,9}}))?)?"
-_ZONE = r"(?:\s*(?:(?<o{i}>[+-]\d\d(?::?\d\d)?)|(?<a{i}>[A-Za-z]{{1,5}}))(?:\s*\[[\w/+-]+\])?)?"
+_ZONE = r"(?:\s*(?:(?:[Uu][Tt][Cc]|[Gg][Mm][Tt])?(?<o{i}>[+-]\d{{1,2}}(?::?\d\d)?)|(?<a{i}>[A-Za-z]{{1,5}}))(?:\s*\[[\w/+-]+\])?)?"
 _HALF = r"(?:\s*(?<p{i}>[AaPp]\.?[Mm]\.?))?(?:\s+Uhr)?"
 _BRANCHES = [
     r"(?<y{i}>\d{{4}})-(?<m{i}>\d\d)-(?<d{i}>\d\d)(?:(?:[Tt]|\s+)" + _CLOCK + _ZONE + ")?",
@@ -40,7 +40,7 @@ _BRANCHES = [
     r"(?<n1{i}>\d{{1,2}})[./-](?<n2{i}>\d{{1,2}})[./-](?<y{i}>\d{{4}})(?:,?\s+" + _CLOCK + _HALF + _ZONE + ")?",
     r"(?:\p{{L}}{{2,12}}\.?,?\s+)?(?<d{i}>\d{{1,2}})(?:\.|st|nd|rd|th|er|º)?\s+(?:de\s+)?(?<w{i}>\p{{L}}{{3,12}})\.?,?\s+(?:de\s+)?(?<y{i}>\d{{4}})(?:,?\s+(?:(?:à|um|at|om|alle|a las)\s+)?" + _CLOCK + _HALF + _ZONE + ")?",
     r"(?<w{i}>\p{{L}}{{3,12}})\.?\s+(?<d{i}>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?<y{i}>\d{{4}})(?:,?\s+(?:at\s+)?" + _CLOCK + _HALF + _ZONE + ")?",
-    r"(?<e{i}>\d{{10}}|\d{{13}}|\d{{16}}|\d{{19}})",
+    r"(?<e{i}>-?\d{{9,19}})(?:[.,](?<f{i}>\d{{1,9}}))?",
 ]
 _PARTS = ("y", "m", "d", "w", "n1", "n2", "h", "mi", "s", "f", "o", "a", "p", "e")
 _LETTER = "ABCDEFGH"
@@ -69,6 +69,12 @@ def parts_to_utc_millis(df: DataFrame, parts: str, zone: str, order: str, out: s
     offset before the change.  Finer digits than milliseconds are cut off.
     Null, empty and over-long texts, impossible dates and words name no instant.
 
+    A whole number of 9 digits or more counts from 1970, back from it if
+    negative: seconds below 10 ** 11 in size, else milliseconds below 10 ** 14,
+    microseconds below 10 ** 17, and nanoseconds.  (So seconds are known from
+    1973 to 5138, and milliseconds outside of those years' namesakes, 1966 to
+    1973.)  Only seconds may have a fraction.  A shorter number is no instant.
+
     The steps are projections of their own, so that each value is worked out
     once and the generated code stays small.
     """
@@ -85,13 +91,14 @@ def parts_to_utc_millis(df: DataFrame, parts: str, zone: str, order: str, out: s
     # A higher-order function ends a stage of generated code: the JVM never compiles methods above 8000 bytes.
     d = df.withColumn(parts, F.transform(F.col(parts), lambda x: F.trim(x)))
     d = step(d, od=F.regexp_replace(p["o"], "[^0-9]", ""))
+    d = step(d, od=F.when(F.length("_i_od") % 2 == 1, F.concat(F.lit("0"), F.col("_i_od"))).otherwise(F.col("_i_od")))  # +2 and +530
     d = step(
         d,
         y=num("y"), m=num("m"), d=num("d"), n1=num("n1"), n2=num("n2"), w=F.when(p["w"] != "", F.try_element_at(month_of, F.lower(p["w"]))),
         mf=F.coalesce(F.col(order), F.lit("dmy")) == "mdy", half=F.lower(F.substring(p["p"], 1, 1)), h=F.coalesce(num("h"), F.lit(0)),
         mi=F.coalesce(num("mi"), F.lit(0)), s=F.coalesce(num("s"), F.lit(0)),
         f=F.when(p["f"] == "", 0).otherwise(F.substring(F.rpad(p["f"], 3, "0"), 1, 3).cast("int")),
-        o=p["o"], a=F.lower(p["a"]), e=p["e"],
+        o=p["o"], a=F.lower(p["a"]), e=p["e"], es=F.when(p["e"] != "", F.ltrim(p["e"], F.lit("-")).try_cast("bigint")), ef=p["f"] != "",
     )
     d = step(
         d,
@@ -120,8 +127,11 @@ def parts_to_utc_millis(df: DataFrame, parts: str, zone: str, order: str, out: s
     local = F.when(c("a").isin(STANDARD_NAMES) & twice, c("early") + 3_600_000).otherwise(c("early"))
     known = (c("a") == "") | c("a").isin(*FORWARD_NAMES, *STANDARD_NAMES)
     dated = F.when(c("o") != "", c("wall") - c("offset") * 60_000).when(c("in_utc"), c("wall")).when(known, local)
-    # Counts of seconds, or of milli-, micro- or nanoseconds, by their length.
-    counted = F.when(F.length(c("e")) == 10, c("e").cast("bigint") * 1000).otherwise(F.substring(c("e"), 1, 13).cast("bigint"))
+    # Counts of seconds, or of milli-, micro- or nanoseconds, by their size; what doesn't fit 64 bits is none.
+    size, sign = c("es"), F.when(F.startswith(c("e"), F.lit("-")), -1).otherwise(1)
+    whole_ms = F.when(size < 10**11, size * 1000 + c("f").cast("bigint")).when(c("ef"), None).when(size < 10**14, size)
+    whole_ms = whole_ms.when(size < 10**17, F.expr("_i_es div 1000")).otherwise(F.expr("_i_es div 1000000"))
+    counted = whole_ms * sign
     return d.select(*df.columns, F.when((F.size(parts) > 1) & (c("row") >= 0), F.when(c("e") != "", counted).otherwise(dated)).alias(out))
 
 

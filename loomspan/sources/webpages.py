@@ -101,13 +101,13 @@ def events_of(html: str | None) -> list[dict]:
     return out
 
 
-def infobox_dates(html: str | None, ref_date: str | None = None) -> list[str] | None:
-    """First and last day in the date row of a page's info box."""
+def infobox_date_text(html: str | None) -> str | None:
+    """Text of the date row of a page's info box, lines kept."""
     for box in (x for x in _walk(_Tree(html or "").root) if x[0] == "table" and "infobox" in (x[1].get("class") or "").split()):
         for row in (x for x in _walk(box) if x[0] == "tr"):
             cells = [x for x in _walk(row) if x[0] in ("th", "td")]
             if len(cells) == 2 and _text(cells[0]).strip().lower() == "date":
-                return free_text_range(_text(cells[1], skip=("sup",), line_breaks=True), ref_date)
+                return _text(cells[1], skip=("sup",), line_breaks=True)
     return None
 
 
@@ -129,20 +129,18 @@ def events(pages: DataFrame, key: str, html: str) -> DataFrame:
 def section_dates(events_df: DataFrame, wiki: DataFrame, key: str) -> DataFrame:
     """(key, text, section, first, last): the dates of the pages that an event's headings link to.
 
-    ``wiki`` has url and html; each linked page is parsed once for each day it
-    is linked from.
+    ``wiki`` has url and html; each linked page is parsed once.
     """
     from pyspark.sql import functions as F
 
     links = events_df.select(key, "text", "date", F.explode("section_urls").alias("section", "url"))
-    need = links.select("url", "date").distinct().join(wiki, "url")
+    need = wiki.select("url", "html").join(links.select("url").distinct(), "url", "left_semi")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(u, d, infobox_dates(h, d)) for u, d, h in zip(b.url, b.date, b.html)]
-            yield pd.DataFrame([(u, d, r[0], r[1]) for u, d, r in found if r], columns=["url", "date", "first", "last"])
-
-    dates = need.select("url", "date", "html").mapInPandas(parse, "url string, date string, first string, last string")
-    return links.join(dates, ["url", "date"]).select(key, "text", "section", "first", "last")
-
+            yield pd.DataFrame({"url": b.url, "when": [infobox_date_text(h) for h in b.html]})
 
+    dates = need.mapInPandas(parse, "url string, when string").where("when is not null")
+    days = free_text_range(F.col("when"), F.col("date"))
+    found = links.join(dates, "url").select(key, "text", "section", days.alias("days")).where("days is not null")
+    return found.select(key, "text", "section", F.col("days")[0].alias("first"), F.col("days")[1].alias("last"))

@@ -34,8 +34,12 @@ CASES = [
     ("2023-10-29 02:30:00 CET", BERLIN, "dmy", wall(BERLIN, 2023, 10, 29, 2, 30, fold=1)),
     ("2023-03-26 02:30:00", BERLIN, "dmy", wall("UTC", 2023, 3, 26, 1, 30)), ("03/12/2023 02:30 AM", NY, "mdy", wall("UTC", 2023, 3, 12, 7, 30)),
     ("2024-02-29", "UTC", "dmy", wall("UTC", 2024, 2, 29)),
+    # Counts of any length from nine digits on, back from 1970, and with a fraction; offsets after a name.
+    ("915148800", BERLIN, "dmy", 915148800000), ("946684799000", BERLIN, "dmy", 946684799000), ("-315619200", BERLIN, "dmy", -315619200000), ("1683021600.1239", BERLIN, "dmy", 1683021600123), ("-946684799001", BERLIN, "dmy", -946684799001),
+    ("99999999999", BERLIN, "dmy", 99999999999000), ("100000000000", BERLIN, "dmy", 100000000000), ("1683021600123456789", BERLIN, "dmy", 1683021600123), ("167253575012345", BERLIN, "dmy", 167253575012), ("9223372036854775807", BERLIN, "dmy", 9223372036854),
+    ("2023-05-01 10:00:00 GMT+2", NY, "dmy", wall("UTC", 2023, 5, 1, 8)), ("2023-05-01 10:00:00 UTC+02:00", NY, "dmy", wall("UTC", 2023, 5, 1, 8)), ("2023-05-01T10:00:00-530", NY, "dmy", wall("UTC", 2023, 5, 1, 15, 30)),
 ]
-NONE = ["", None, "--", "n/a", "yesterday", "gestern, 14 Uhr", "TBD", "2023-02-30", "2023-02-29", "2023-13-05T10:00:00Z", "31.11.2023 08:15", "0000-00-00 00:00:00", "2023-05-Invalid", "2023-05-01T24:00:00Z", "2023-05-01T10:60:00Z", "2023-05-01T10:00:00+19:00", "01/02/2023 13:05 PM", "5 Foo 2023", "2023-05-01 10:00:00 XYZ", "9" * 5000, "2023-05-01" * 3000]
+NONE = ["", None, "--", "n/a", "yesterday", "gestern, 14 Uhr", "TBD", "2023-02-30", "2023-02-29", "2023-13-05T10:00:00Z", "31.11.2023 08:15", "0000-00-00 00:00:00", "2023-05-Invalid", "2023-05-01T24:00:00Z", "2023-05-01T10:60:00Z", "2023-05-01T10:00:00+19:00", "01/02/2023 13:05 PM", "5 Foo 2023", "2023-05-01 10:00:00 XYZ", "9" * 5000, "9999999999999999999", "12345678", "0", "-1", "1683021600123.5", "-", "1683021600.", "2023-05-01" * 3000]
 
 
 def test_cases(spark):
