@@ -7,13 +7,14 @@ up with zeros unless a metric looks at single values in order.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.plans.numbering import bucketed
-from loomspan.plans.runtime import staged
+from loomspan.plans.runtime import new_path, staged
 
 
 def dense(sampled: DataFrame, keys: list[str], steps: int) -> DataFrame:
@@ -99,94 +100,131 @@ def entropy_2d(sampled: DataFrame, keys: list[str], steps: int, bins: int = 50)
     return _entropy(d.where("next is not null"), keys, [], ["weight", "next"], bins)
 
 
-def pareto(values: DataFrame, keys: list[str], a: str, b: str, max_a: bool = True, max_b: bool = True, base: float = 0.0, max_fronts: int | None = None) -> DataFrame:
-    """(keys ..., weight): number of the Pareto front, from 1, of two values; with a base, base ** (front - 1).
+def _weights(done: DataFrame, keys: list[str], base: float) -> DataFrame:
+    """(keys ..., weight) of (keys ..., front)."""
+    return done.select(*keys, (F.pow(F.lit(float(base)), F.col("front") - 1) if base else F.col("front").cast("double")).alias("weight"))
+
 
-    Equal points share a front.  ``max_fronts`` leaves out what is behind so
-    many fronts; then front after front is peeled off: a point is on the front
-    if its b beats the best b of all points with a better a, and that of its own
-    a, a running minimum in the order of a, worked out bucket by bucket.
+def pareto(values: DataFrame, keys: list[str], a: str, b: str, max_a: bool = True, max_b: bool = True, base: float = 0.0) -> DataFrame:
+    """(keys ..., weight): number of the Pareto front, from 1, of two values; with a base, base ** (front - 1).
 
-    Without it the number of fronts may be large, and each different point is
-    looked at once, in the order of a: its front follows the last of those whose
-    best b so far isn't worse.  The state is one number per front, handed from
-    one stretch of points to the next; a stretch is streamed in sorted order.
+    Every key with both values gets its front, however many there are.  Equal
+    points share a front; null values have none.
     """
-    x = (-F.col(a) if max_a else F.col(a)).alias("x")
-    y = (-F.col(b) if max_b else F.col(b)).alias("y")
-    points = values.select(*keys, x.cast("double"), y.cast("double")).where("x is not null and y is not null")
-    points = staged(points.toDF(*keys, "x", "y"), "points")
-    if max_fronts is None:
-        done = points.join(_fronts(points.select("x", "y").distinct()), ["x", "y"]).select(*keys, "front")
-        return done.select(*keys, (F.pow(F.lit(float(base)), F.col("front") - 1) if base else F.col("front").cast("double")).alias("weight"))
-    left = bucketed(points, "x")
-    done, front = None, 0
-    while front < max_fronts and not left.isEmpty():
-        front += 1
-        own = left.groupBy("_bucket", "x").agg(F.min("y").alias("best"))
-        tops = own.groupBy("_bucket").agg(F.min("best").alias("top"))  # a row per bucket
-        w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        tops = tops.select("_bucket", F.min("top").over(w).alias("before"))
-        inside = F.min("best").over(Window.partitionBy("_bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-        limit = own.select("_bucket", "x", "best", inside.alias("inside")).join(F.broadcast(tops), "_bucket").select("_bucket", "x", "best", F.least("inside", "before").alias("limit"))
-        split = staged(left.join(limit, ["_bucket", "x"]).withColumn("on", (F.col("y") == F.col("best")) & (F.col("limit").isNull() | (F.col("y") < F.col("limit")))), "fronts")
-        here = split.where("on").select(*keys, F.lit(front).alias("front"))
-        done = here if done is None else done.unionByName(here)
-        left = split.where("not on").select(*keys, "x", "y", "_bucket")
-    if done is None:
-        return values.select(*keys, F.lit(0.0).alias("weight")).limit(0)
-    return done.select(*keys, (F.pow(F.lit(float(base)), F.col("front") - 1) if base else F.col("front").cast("double")).alias("weight"))
+    x = (-F.col(a) if max_a else F.col(a)).cast("double").alias("x")
+    y = (-F.col(b) if max_b else F.col(b)).cast("double").alias("y")
+    points = staged(values.select(*keys, x, y).where("x is not null and y is not null"), "points")
+    return _weights(points.join(_fronts(points.select("x", "y").distinct()), ["x", "y"]), keys, base)
 
 
-#: Points of one stretch, about.
-STRETCH = 2_000_000
+#: Points of one cell of the grid, about.
+CELL = 1_000_000
 
 
 def _fronts(points: DataFrame) -> DataFrame:
-    """(x, y, front) of different points, less being better."""
+    """(x, y, front) of different points, less being better.
+
+    The front of a point is one more than the last front below and left of it.
+    The plane is cut into a grid, about evenly along both axes.  What a cell
+    needs of the others is at its left and lower edge: the last front up to each
+    height, and up to each place, as steps.  So the cells of a diagonal are
+    independent of each other: each round works on one, all its cells at once,
+    and hands the steps at the right and upper edges on to the next.  A cell is
+    streamed in the order of x with one number per front that passes through it.
+    There are as many rounds as cells along both sides: about 2 sqrt(n / CELL).
+    """
     n = points.count()
-    cut = bucketed(points, "x", buckets=max(1, n // STRETCH))
-    best: list[float] = []  # the least y of each front so far: never falls from one front to the next
-    done = None
-    for row in cut.select("_bucket").distinct().orderBy("_bucket").toLocalIterator():
-
-        def assign(batches, start=tuple(best)):
-            tops = list(start)
-            for batch in batches:
-                front = []
-                for v in batch.y.tolist():
-                    k = bisect_right(tops, v)
-                    if k == len(tops):
-                        tops.append(v)
-                    else:
-                        tops[k] = v
-                    front.append(k + 1)
-                yield batch[["x", "y"]].assign(front=front)
-
-        part = cut.where(F.col("_bucket") == row[0]).coalesce(1).sortWithinPartitions("x", "y").select("x", "y").mapInPandas(assign, "x double, y double, front int")
-        part = staged(part, "fronts")
-        for front, top in part.groupBy("front").agg(F.min("y")).orderBy("front").toLocalIterator():
-            if front > len(best):
-                best.append(top)
-            else:
-                best[front - 1] = min(best[front - 1], top)
+    side = max(1, math.ceil(math.sqrt(n / CELL)))
+    cells = bucketed(points, "x", buckets=side, out="i")
+    cells = bucketed(cells, "y", buckets=side, out="j") if side > 1 else cells.withColumn("j", F.lit(0))
+    flat = "i int, j int, kind int, x double, y double, front int"
+    rows = cells.select("i", "j", F.lit(1).alias("kind"), "x", "y", F.lit(0).alias("front"), (F.col("i") + F.col("j")).alias("round"))
+    path = new_path(points.sparkSession, "grid")
+    rows.write.partitionBy("round").parquet(path)
+    rows = points.sparkSession.read.schema(flat + ", round int").parquet(path)
+    edges, done = None, None
+    for k in range(2 * side - 1):
+        mine = rows.where(F.col("round") == k).drop("round")
+        if edges is not None:
+            mine = mine.unionByName(edges)
+        # Left steps come first, then lower steps and points along x, a step before the points of its place.
+        order = [F.col("kind") != LEFT, F.when(F.col("kind") != LEFT, F.col("x")), F.col("kind") == POINT, "y", "front"]
+        placed = (mine.repartition("i", "j") if side > 1 else mine.coalesce(1)).sortWithinPartitions("i", "j", *order)
+        out = staged(placed.mapInPandas(_cell_fronts, flat), "fronts")
+        part = out.where(F.col("kind") == POINT).select("x", "y", "front")
         done = part if done is None else done.unionByName(part)
-    return done if done is not None else points.select("x", "y", F.lit(0).alias("front")).limit(0)
+        edges = out.where(F.col("kind") != POINT).where((F.col("i") < side) & (F.col("j") < side))
+    return done
+
+
+#: Rows of a cell: a step of its left edge (y, front), a point, a step of its lower edge (x, front).
+LEFT, POINT, LOWER = 0, 1, 2
+
+
+def _cell_fronts(batches):
+    """Points of cells with their fronts, and the steps of the right and upper edges as those of the next cells."""
+    import pandas as pd
+
+    cell, tops, level, seen = None, [], 0, 0  # tops[f - 1]: least y of front f in the cell, or from its left edge; fronts up to level cover all of it
+
+    def right() -> list[tuple]:
+        i, j = cell
+        steps = [(i + 1, j, LEFT, None, float("-inf"), level)] if level else []
+        return steps + [(i + 1, j, LEFT, None, y, f + 1) for f, y in enumerate(tops) if f >= level]
+
+    names = ["i", "j", "kind", "x", "y", "front"]
+    for b in batches:
+        out = []
+        for i, j, kind, x, y, front in zip(*(b[c].tolist() for c in names)):
+            if cell != (i, j):
+                if cell is not None:
+                    out += right()
+                cell, tops, level, seen = (i, j), [], 0, 0
+            if kind == LEFT:
+                # Steps come by height; a front is at or below the first step that reaches it.
+                tops += [y] * (front - len(tops))
+                if y == float("-inf"):
+                    level = max(level, front)
+                continue
+            if kind == LOWER:
+                if front > level:
+                    level = front
+                    tops[: len(tops)] = [float("-inf")] * min(level, len(tops)) + tops[level:]
+                    tops += [float("-inf")] * (level - len(tops))
+                if level > seen:
+                    seen = level
+                    out.append((i, j + 1, LOWER, x, None, seen))
+                continue
+            f = bisect_right(tops, y)
+            if f == len(tops):
+                tops.append(y)
+            else:
+                tops[f] = y
+            out.append((i, j, POINT, x, y, f + 1))
+            if f + 1 > seen:
+                seen = f + 1
+                out.append((i, j + 1, LOWER, x, None, seen))
+        yield pd.DataFrame(out, columns=names)
+    if cell is not None:
+        yield pd.DataFrame(right(), columns=names)
 
 
 def pareto_many(values: DataFrame, keys: list[str], dims: dict[str, bool], base: float = 0.0, block: int = 5000) -> DataFrame:
     """As ``pareto`` for any number of values; ``dims`` says of each whether more is better.
 
-    For each front, every task first keeps only points no other point of its
-    own batch beats; these are then held against each other in blocks of
-    ``block`` points that are sent to all tasks.
+    Front after front is peeled off.  Points that are equal are one.  The rest
+    are put in the order of the sum of their values, which no point beaten by
+    another comes before: so points are held against blocks of ``block`` points
+    in that order, block by block, by all tasks; of a block only points that no
+    point before has beaten are sent, and what is beaten is dropped at once.
     """
     import numpy as np
 
     names = list(dims)
     signed = [(-F.col(c) if up else F.col(c)).cast("double").alias(f"_d{i}") for i, (c, up) in enumerate(dims.items())]
     d = [f"_d{i}" for i in range(len(names))]
-    left = staged(values.select(*keys, *signed).dropna(subset=d), "points")
+    every = staged(values.select(*keys, *signed).dropna(subset=d), "points")
+    left = bucketed(every.select(*d).distinct().withColumn("_sum", sum((F.col(c) for c in d), F.lit(0.0))), "_sum", *d)
     schema = left.schema
 
     def beaten(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -196,46 +234,39 @@ def pareto_many(values: DataFrame, keys: list[str], dims: dict[str, bool], base:
             out[k : k + 256] = ((q[None] <= c).all(axis=2) & (q[None] < c).any(axis=2)).any(axis=1)
         return out
 
-    def local(batches):
-        for b in batches:
-            p = b[d].to_numpy(float)
-            yield b[~beaten(p, p)] if len(p) <= block else b[~beaten(p, p[np.argsort(p.sum(axis=1), kind="stable")[:block]])]
-
     done, front = None, 0
     while not left.isEmpty():
         front += 1
-        best = staged(left.mapInPandas(local, schema), "candidates")
-        for q in _blocks(best.select(*d).distinct(), block):
+        candidates, here = left, None
+        while True:
+            first = candidates.orderBy("_sum", *d).limit(block).select(*d).collect()  # at most ``block`` rows
+            if not first:
+                break
+            q = np.array([tuple(r) for r in first], dtype=float)
+            q = q[~beaten(q, q)]
+
             def against(batches, q=q):
                 for b in batches:
-                    yield b[~beaten(b[d].to_numpy(float), q)] if len(b) else b
-
-            best = staged(best.mapInPandas(against, schema), "candidates")
-        here = best.select(*keys).distinct()
-        mine = here.withColumn("front", F.lit(front))
-        done = mine if done is None else done.unionByName(mine)
-        left = staged(left.join(here, keys, "left_anti"), "points")
+                    p = b[d].to_numpy(float)
+                    own = (p[:, None, :] == q[None]).all(axis=2).any(axis=1) if len(p) else np.zeros(0, bool)
+                    keep = ~beaten(p, q) if len(p) else np.zeros(0, bool)
+                    yield b[keep].assign(_on=own[keep])
+
+            split = staged(candidates.mapInPandas(against, schema.simpleString()[7:-1].replace(":", " ") + ", _on boolean"), "candidates")
+            mine = split.where("_on").select(*d)
+            here = mine if here is None else here.unionByName(mine)
+            candidates = split.where("not _on").drop("_on")
+        part = staged(here.withColumn("front", F.lit(front)), "front")
+        done = part if done is None else done.unionByName(part)
+        left = staged(left.join(part.select(*d), d, "left_anti"), "left")
     if done is None:
         return values.select(*keys, F.lit(0.0).alias("weight")).limit(0)
-    return done.select(*keys, (F.pow(F.lit(float(base)), F.col("front") - 1) if base else F.col("front").cast("double")).alias("weight"))
-
-
-def _blocks(df: DataFrame, size: int):
-    import numpy as np
-
-    rows = []
-    for r in df.toLocalIterator():
-        rows.append(tuple(r))
-        if len(rows) == size:
-            yield np.array(rows, dtype=float)
-            rows = []
-    if rows:
-        yield np.array(rows, dtype=float)
+    return _weights(every.join(done, d), keys, base)
 
 
-def stability_pareto(sampled: DataFrame, keys: list[str], steps: int, base: float = 0.0, max_fronts: int | None = None) -> DataFrame:
+def stability_pareto(sampled: DataFrame, keys: list[str], steps: int, base: float = 0.0) -> DataFrame:
     """Pareto fronts of a high mean and a low deviation."""
     m = _moments(sampled, keys, steps).select(*keys, "mean", F.sqrt(F.col("squares") / (steps - 1)).alias("dev"))
     # Values that differ by rounding only are the same.
     m = m.select(*keys, F.round("mean", 9).alias("mean"), F.round("dev", 9).alias("dev"))
-    return pareto(m, keys, "mean", "dev", True, False, base, max_fronts)
+    return pareto(m, keys, "mean", "dev", True, False, base)

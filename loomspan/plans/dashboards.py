@@ -53,8 +53,7 @@ def subgraph(t: TemporalGraph, kind: str, ts_min: int, ts_max: int, steps: int =
     dev = metrics.deviation(s, g.EDGE, steps).withColumnRenamed("weight", "dev")
     score = staged(t.topics(ts_min, ts_max).df, "topics")
     both = score.withColumnRenamed("weight", "topic").join(dev, g.EDGE, "left").select(*g.EDGE, F.round("topic", 9).alias("topic"), F.round(F.coalesce("dev", F.lit(0.0)), 12).alias("dev"))
-    # Eight fronts hold at least eight edges, and the last of the eight heaviest is in one of them.
-    seeds = staged(g.top_edges(metrics.pareto(both, g.EDGE, "topic", "dev", True, False, 0.5, max_fronts=8), 8), "seeds")
+    seeds = staged(g.top_edges(metrics.pareto(both, g.EDGE, "topic", "dev", True, False, 0.5), 8), "seeds")
     return g.sparse_subgraph(score, score.join(seeds.select(*g.EDGE, (-F.col("weight")).alias("rank")), g.EDGE)), seeds
 
 

@@ -412,8 +412,8 @@ class TemporalGraph:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def stable_edges(self, sampled: DataFrame, steps: int, base: float = 0.5, max_fronts: int | None = None) -> Graph:
-        return self._graph(metrics.stability_pareto(sampled, g.EDGE, steps, base, max_fronts))
+    def stable_edges(self, sampled: DataFrame, steps: int, base: float = 0.5) -> Graph:
+        return self._graph(metrics.stability_pareto(sampled, g.EDGE, steps, base))
 
     def lookup_ge(self, ts: float = 0) -> DataFrame:
         return lookup.at_or_after(self.documents, ts)
