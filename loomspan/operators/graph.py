@@ -152,15 +152,17 @@ def within(g: DataFrame, chosen: DataFrame) -> DataFrame:
 def top_edges(g: DataFrame, k: int, truncate: bool = False) -> DataFrame:
     """The k heaviest edges, and all that tie with the last unless ``truncate``.
 
-    The k-th weight is found by a bounded top-k, not by ranking the whole graph.
+    The k-th weight is found by a bounded top-k, not by ranking the whole graph;
+    for the ties the graph is written down, so that it is worked out once.
     """
     if k <= 0:
         return g.limit(0)
-    first = g.orderBy(F.desc("weight"), "source", "target").limit(k)
+    heaviest = [F.desc("weight"), F.col("source"), F.col("target")]
     if truncate:
-        return first
-    least = first.agg(F.min("weight")).first()[0]  # one number
-    return g.where(F.col("weight") >= F.lit(least)) if least is not None else first
+        return g.orderBy(*heaviest).limit(k)
+    g = staged(g.select("source", "target", "weight"), "graph")
+    least = g.orderBy(*heaviest).limit(k).agg(F.min("weight")).first()[0]  # one number
+    return g.where(F.col("weight") >= F.lit(least)) if least is not None else g.limit(0)
 
 
 def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int = 8, num_neighbors: int = 3, truncate: bool = False) -> DataFrame:

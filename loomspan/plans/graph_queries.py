@@ -56,7 +56,7 @@ def mentions(spark: SparkSession, folder: str, entity: str = "l_suppkey") -> Dat
 
 
 def network(spark: SparkSession, folder: str, how: str = "sum", normalize: bool = False, entity: str = "l_suppkey", directed: bool = False) -> TemporalGraph:
-    return TemporalGraph.from_mentions(documents(spark, folder), mentions(spark, folder, entity), 5, how, normalize, directed)
+    return TemporalGraph.from_tables(table(spark, folder, "orders"), "o_orderkey", "o_orderdate", mentions(spark, folder, entity), max_distance=5, how=how, normalize=normalize, directed=directed)
 
 
 #: Range of the graph on which the operators for a single graph run; () is all time, see ``_whole``.

@@ -13,6 +13,21 @@ def as_milliseconds(c: Column) -> Column:
     return F.unix_millis(c.cast("timestamp"))
 
 
+def in_time(df: DataFrame, time: str, lo: int, hi: int) -> DataFrame:
+    """Rows with the raw ``time`` in a range of milliseconds, by a comparison of the column itself, which reaches the scan."""
+    kind = df.schema[time].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        at = lambda ms: F.timestamp_millis(F.lit(ms)).cast(kind)
+        return df.where((F.col(time) >= at(lo)) & (F.col(time) < at(hi + 1)))
+    if kind == "date":
+        return df.where((F.col(time) >= F.timestamp_millis(F.lit(lo)).cast("date")) & (F.col(time) <= F.timestamp_millis(F.lit(hi)).cast("date")))
+    return df.where((F.col(time) >= lo) & (F.col(time) <= hi))
+
+
+#: Times that a timestamp can hold, in milliseconds: the year 9999 and no later.
+LAST_TIME = 253_402_300_799_999
+
+
 def documents_of(df: DataFrame, doc_id: str, time: str, ext_id: str | None = None, **equal: object) -> DataFrame:
     """(doc_id, ts, ext_id): rows with an id and a time from 0 on; ``equal`` are filters that reach the scan."""
     for k, v in equal.items():
@@ -41,9 +56,13 @@ def dense_entities(df: DataFrame, attributes: list[str], order: list[str]) -> Da
 
 
 def doc_nodes(documents: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(doc_id, ts, node, freq): how often each document mentions each entity."""
-    n = occurrences.groupBy("doc_id", F.col("ent").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("freq"))
-    return n.join(documents.select("doc_id", "ts"), "doc_id").select("doc_id", "ts", "node", "freq")
+    """(doc_id, ts, node, freq): how often each document mentions each entity; mentions of other documents are dropped first."""
+    n = occurrences.join(documents.select("doc_id", "ts"), "doc_id")
+    return n.groupBy("doc_id", "ts", F.col("ent").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("freq"))
+
+
+#: Mentions of a part of a document, about, where the distance is not limited.
+PART = 4096
 
 
 def cooccurrences(documents: DataFrame, occurrences: DataFrame, max_distance: int | None = None, how: str = "sum", normalize: bool = False, directed: bool = False) -> DataFrame:
@@ -55,27 +74,43 @@ def cooccurrences(documents: DataFrame, occurrences: DataFrame, max_distance: in
     sentence from the lesser entity.  Repeated mentions in a sentence are
     counted first and multiplied, not paired.
 
-    A band join: a later mention is sent to its own band of sentences and the
-    one before, so pairs in reach meet on (document, band), and a long document
-    is spread over many tasks.
+    Mentions of other documents are dropped first.  Then a band join: each
+    mention is sent to its own band of sentences and the one before, so pairs in
+    reach meet on (document, band), and a long document is spread over many
+    tasks.  Both sides are the same rows, told apart by a condition on both, so
+    that they are read and shuffled once.  Without a limit a document's mentions
+    are cut into parts, and each pair of parts is a key.
     """
     if how not in ("sum", "max"):
         raise ValueError("how is 'sum' or 'max'")
-    m = occurrences.groupBy("doc_id", "sen", "ent").agg(F.count(F.lit(1)).alias("m"))
-    m = m.join(documents.select("doc_id", "ts"), "doc_id")
-    band = F.expr(f"sen div {int(max_distance) + 1}") if max_distance is not None else F.lit(0).cast("bigint")
-    x = m.select("doc_id", "ts", band.alias("band"), F.col("sen").alias("s1"), F.col("ent").alias("e1"), F.col("m").alias("m1"))
-    reach = F.explode(F.array(band, band - 1)) if max_distance is not None else band
-    y = m.select("doc_id", reach.alias("band"), F.col("sen").alias("s2"), F.col("ent").alias("e2"), F.col("m").alias("m2"))
-    gap = F.col("s2") - F.col("s1")
-    cond = (F.col("e1") != F.col("e2")) & ((gap > 0) | ((gap == 0) & (F.col("e1") < F.col("e2"))))
+    known = occurrences.join(documents.select("doc_id", "ts"), "doc_id")
+    m = known.groupBy("doc_id", "ts", "sen", "ent").agg(F.count(F.lit(1)).alias("m"))
+    x, y = F.col("x.sen"), F.col("y.sen")
+    gap = y - x
     if max_distance is not None:
-        cond = cond & (gap <= max_distance)
-    p = x.join(y, ["doc_id", "band"]).where(cond)
-    ends = (F.col("e1"), F.col("e2")) if directed else (F.least("e1", "e2"), F.greatest("e1", "e2"))
+        band = F.expr(f"sen div {int(max_distance) + 1}")
+        sides = m.select("*", F.posexplode(F.array(band, band - 1)).alias("off", "band")).where("band >= 0")  # sentences count from 0
+        left, right, on = sides.alias("x"), sides.alias("y"), ["doc_id", "band"]
+        # x is in its own band (off 0), y in its own or the one before; ``reach`` is null for other pairs of rows.
+        reach = F.when(F.col("x.off") * 2 + F.col("y.off") < 2, gap)
+        cond = reach.between(0, int(max_distance))
+    else:
+        parts = m.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        m = m.join(parts, "doc_id").withColumn("part", F.pmod(F.xxhash64("sen", "ent"), F.col("parts")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        left = m.select("doc_id", "ts", "sen", "ent", "m", F.col("part").alias("px"), every.alias("py")).alias("x")
+        right = m.select("doc_id", "ts", "sen", "ent", "m", every.alias("px"), F.col("part").alias("py")).alias("y")
+        on, cond = ["doc_id", "px", "py"], gap >= 0
+    same = F.lit(True)
+    for k in on:
+        same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    e1, e2 = F.col("x.ent"), F.col("y.ent")
+    p = left.join(right, same & cond & (e1 != e2) & ((gap > 0) | (e1 < e2)))
+    ends = (e1, e2) if directed else (F.least(e1, e2), F.greatest(e1, e2))
     w = F.exp(-gap.cast("double"))
-    agg = F.sum(w * F.col("m1") * F.col("m2")) if how == "sum" else F.max(w)
-    e = p.groupBy("doc_id", "ts", ends[0].alias("source"), ends[1].alias("target")).agg(agg.alias("weight"))
+    agg = F.sum(w * F.col("x.m") * F.col("y.m")) if how == "sum" else F.max(F.when(F.col("x.m") + F.col("y.m") > 0, w))
+    # The time is the same on both sides; taking it from both keeps the sides alike.
+    e = p.groupBy(F.col("x.doc_id").alias("doc_id"), F.greatest("x.ts", "y.ts").alias("ts"), ends[0].alias("source"), ends[1].alias("target")).agg(agg.alias("weight"))
     if normalize:
         t = e.groupBy("doc_id").agg(F.sum("weight").alias("_t"))
         e = e.join(t, "doc_id").select("doc_id", "ts", "source", "target", F.coalesce(F.try_divide("weight", "_t"), F.lit(0.0)).alias("weight"))

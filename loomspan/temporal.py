@@ -236,7 +236,11 @@ class Graph:
 
 @dataclass(frozen=True)
 class TemporalGraph:
-    """Snapshots in time: ``documents``, their ``edges``, and if known ``doc_nodes`` and ``nodes`` (node, attrs)."""
+    """Snapshots in time: ``documents``, their ``edges``, and if known ``doc_nodes`` and ``nodes`` (node, attrs).
+
+    ``restrict`` gives the same object for a range of time only, where the range
+    can be taken to the source; without it ranges filter the edges.
+    """
 
     documents: DataFrame
     edges: DataFrame
@@ -245,6 +249,7 @@ class TemporalGraph:
     directed: bool = False
     positive: bool = False
     primary_key: tuple[str, ...] = ()
+    restrict: Callable[[int, int], TemporalGraph] | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, nodes: str | None = None, directed: bool = False, positive: bool = False, key: str = "text", check_order: bool = False) -> TemporalGraph:
@@ -258,6 +263,22 @@ class TemporalGraph:
         edges = cooccurrence.cooccurrences(documents, occurrences, max_distance, how, normalize, directed)
         return cls(documents, edges, cooccurrence.doc_nodes(documents, occurrences), nodes, directed, positive)
 
+    @classmethod
+    def from_tables(cls, documents: DataFrame, doc_id: str, time: str, occurrences: DataFrame, ext_id: str | None = None, **kw) -> TemporalGraph:
+        """From a table of documents as stored, and (doc_id, sen, ent); ranges of time reach the scan of the documents."""
+
+        def of(df: DataFrame) -> TemporalGraph:
+            return cls.from_mentions(cooccurrence.documents_of(df, doc_id, time, ext_id), occurrences, **kw)
+
+        return replace(of(documents), restrict=lambda lo, hi: of(cooccurrence.in_time(documents, time, lo, hi)))
+
+    def within_time(self, ts_min=None, ts_max=None) -> TemporalGraph:
+        """The same for a range of time, as far as the source can tell; what is outside may still be there."""
+        lo, hi = timeline.bounds(ts_min, ts_max)
+        if self.restrict is None or (lo, hi) == (0, timeline.INT64) or hi > cooccurrence.LAST_TIME:
+            return self
+        return replace(self.restrict(lo, hi), nodes=self.nodes, primary_key=self.primary_key)
+
     @classmethod
     def from_graphs(cls, spark: SparkSession, snapshots: list[tuple[int, dict[tuple[int, int], float]]], directed: bool = False, positive: bool = False) -> TemporalGraph:
         """From (ts, edges) pairs, empty ones too; ValueError for a time below 0."""
@@ -275,13 +296,13 @@ class TemporalGraph:
         if not same.isEmpty():
             raise ValueError("a document is linked already")
         n = self.doc_nodes.unionByName(other.doc_nodes) if self.doc_nodes is not None and other.doc_nodes is not None else None
-        return replace(self, documents=self.documents.unionByName(other.documents), edges=self.edges.unionByName(other.edges), doc_nodes=n)
+        return replace(self, documents=self.documents.unionByName(other.documents), edges=self.edges.unionByName(other.edges), doc_nodes=n, restrict=None)
 
     def unlink(self, doc_ids: DataFrame) -> TemporalGraph:
         """Without the documents of (doc_id)."""
         gone = doc_ids.select("doc_id").distinct()
         drop = lambda df: None if df is None else df.join(gone, "doc_id", "left_anti")
-        return replace(self, documents=drop(self.documents), edges=drop(self.edges), doc_nodes=drop(self.doc_nodes))
+        return replace(self, documents=drop(self.documents), edges=drop(self.edges), doc_nodes=drop(self.doc_nodes), restrict=None)
 
     def with_nodes(self, rows: DataFrame, first_wins: bool = True) -> TemporalGraph:
         """With more nodes (node, attrs); of several rows for a node the first (or the last) is kept."""
@@ -358,26 +379,28 @@ class TemporalGraph:
         return Graph(df, self.directed, self.positive)
 
     def sum_edges(self, ts_min=None, ts_max=None, eps: float = 0.0) -> Graph:
-        return self._graph(timeline.sum_edges(self.edges, ts_min, ts_max, eps, self.positive))
+        return self._graph(timeline.sum_edges(self.within_time(ts_min, ts_max).edges, ts_min, ts_max, eps, self.positive))
 
     def sum_edges_exp(self, ts_min, ts_max, beta: float | None = None, log_beta: float | None = None, weight: float = 1.0, eps: float = 0.0) -> Graph:
         log_beta = math.log(beta) if log_beta is None else log_beta
-        return self._graph(timeline.sum_edges_exp(self.edges, ts_min, ts_max, weight, log_beta, eps, self.positive))
+        return self._graph(timeline.sum_edges_exp(self.within_time(ts_min, ts_max).edges, ts_min, ts_max, weight, log_beta, eps, self.positive))
 
     def sum_edges_exp_norm(self, ts_min, ts_max, beta: float | None = None, log_beta: float | None = None, eps: float = 0.0) -> Graph:
-        return self._graph(timeline.sum_edges_exp_norm(self.edges, ts_min, ts_max, beta, log_beta, eps=eps, positive=self.positive))
+        return self._graph(timeline.sum_edges_exp_norm(self.within_time(ts_min, ts_max).edges, ts_min, ts_max, beta, log_beta, eps=eps, positive=self.positive))
 
     def count_edges(self, ts_min=None, ts_max=None) -> Graph:
-        return self._graph(timeline.count_edges(self.edges, ts_min, ts_max))
+        return self._graph(timeline.count_edges(self.within_time(ts_min, ts_max).edges, ts_min, ts_max))
 
     def sum_nodes(self, ts_min=None, ts_max=None) -> Vector:
-        return Vector(timeline.sum_nodes(self.edges, self.doc_nodes, ts_min, ts_max))
+        t = self.within_time(ts_min, ts_max)
+        return Vector(timeline.sum_nodes(t.edges, t.doc_nodes, ts_min, ts_max))
 
     def count_nodes(self, ts_min=None, ts_max=None) -> Vector:
-        return Vector(timeline.count_nodes(self.edges, self.doc_nodes, ts_min, ts_max))
+        t = self.within_time(ts_min, ts_max)
+        return Vector(timeline.count_nodes(t.edges, t.doc_nodes, ts_min, ts_max))
 
     def count_graphs(self, ts_min=None, ts_max=None) -> int:
-        return timeline.count_graphs(self.documents, ts_min, ts_max).first()[0]
+        return timeline.count_graphs(self.within_time(ts_min, ts_max).documents, ts_min, ts_max).first()[0]
 
     def data_bounds(self) -> tuple[int, int]:
         r = self.documents.agg(F.min("ts"), F.max("ts")).first()
@@ -387,7 +410,8 @@ class TemporalGraph:
         if (step is not None or windows is not None) and (ts_min is None or ts_max is None):
             lo, hi = self.data_bounds()
             ts_min, ts_max = lo if ts_min is None else ts_min, hi if ts_max is None else ts_max
-        return self._graph(timeline.topics(self.edges, self.doc_nodes, ts_min, ts_max, step, offset, windows))
+        t = self.within_time(ts_min, ts_max)
+        return self._graph(timeline.topics(t.edges, t.doc_nodes, ts_min, ts_max, step, offset, windows))
 
     def extract(self, weight: Callable[[Column], Column]) -> Graph:
         return self._graph(timeline.extract(self.edges, weight))
@@ -397,10 +421,12 @@ class TemporalGraph:
         at = start or (lambda ts: timeline.window_start(ts, step, offset))
         e = timeline.compress(self.edges, at)
         docs = self.documents.select(at(F.col("ts")).alias("ts")).distinct().select(F.col("ts").alias("doc_id"), "ts", F.lit(None).cast("string").alias("ext_id"))
-        return replace(self, documents=docs, edges=e.select(F.col("ts").alias("doc_id"), "ts", "source", "target", "weight"), doc_nodes=None)
+        return replace(self, documents=docs, edges=e.select(F.col("ts").alias("doc_id"), "ts", "source", "target", "weight"), doc_nodes=None, restrict=None)
 
     def sample_graphs(self, ts_min: int, ts_max: int, width: int, steps: int = 9, method: str = "sum_edges") -> DataFrame:
-        return timeline.sample_graphs(self.edges, timeline.hopping(ts_min, ts_max, width, steps), method, self.doc_nodes)
+        hops = timeline.hopping(ts_min, ts_max, width, steps)
+        t = self.within_time(min(h[1] for h in hops), max(h[2] for h in hops)) if all(h[1] >= 0 for h in hops) else self
+        return timeline.sample_graphs(t.edges, hops, method, t.doc_nodes)
 
     def sample_eigenvectors(self, ts_min: int, ts_max: int, width: int, steps: int = 9, tolerance: float | None = None, iterations: int = 100) -> DataFrame:
         """(step, node, weight): each window's eigenvector, started from the one before."""
