@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +58,9 @@ def network(spark: SparkSession, folder: str, how: str = "sum", normalize: bool
     return TemporalGraph.from_tables(table(spark, folder, "orders"), "o_orderkey", "o_orderdate", mentions(spark, folder, entity), max_distance=5, how=how, normalize=normalize, directed=directed)
 
 
-#: Range of the graph on which the operators for a single graph run; () is all time, see ``_whole``.
-_range: ContextVar[tuple] = ContextVar("range", default=JAN)
-
-
-def january(spark: SparkSession, folder: str) -> DataFrame:
-    return network(spark, folder).sum_edges(*_range.get()).df
+def whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph of all time, on which the operators for a single graph run."""
+    return network(spark, folder).sum_edges().df
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
@@ -77,7 +73,7 @@ d AS (SELECT o_orderkey AS doc, epoch_ms(o_orderdate) AS ts FROM orders),
 e AS (SELECT a.doc, d.ts, a.ent AS source, b.ent AS target, {agg}(exp(CAST(-abs(a.sen - b.sen) AS DOUBLE))) AS weight
   FROM o a JOIN o b ON a.doc = b.doc AND a.ent < b.ent AND abs(a.sen - b.sen) <= 5 JOIN d ON d.doc = a.doc GROUP BY a.doc, d.ts, a.ent, b.ent),
 n AS (SELECT o.doc, d.ts, o.ent AS node, count(*) AS freq FROM o JOIN d ON d.doc = o.doc GROUP BY ALL),
-g AS (SELECT source, target, sum(weight) AS weight FROM e WHERE ts BETWEEN {JAN[0]} AND {JAN[1]} GROUP BY 1, 2),
+g AS (SELECT source, target, sum(weight) AS weight FROM e GROUP BY 1, 2),
 b AS (SELECT source, target, weight FROM g UNION ALL SELECT target, source, weight FROM g WHERE source <> target),
 deg AS (SELECT source AS node, count(*) AS dg, sum(weight) AS ow FROM b GROUP BY 1)
 """
@@ -213,13 +209,10 @@ def sum_edges_exp(spark, folder):
     return r6(network(spark, folder).sum_edges_exp(*JAN, log_beta=LOG_BETA).df)
 
 
-@query(BASE + f"SELECT source, target, round(sum(weight * {-math.expm1(-0.1)!r} * exp(-0.1 * ({JAN[1]} - ts) / {float(DAY)})), 6) AS weight FROM e WHERE {between(JAN)} GROUP BY 1, 2")
+@query(BASE + f"SELECT source, target, round(1e9 * sum(weight * {-math.expm1(LOG_BETA)!r} * exp({LOG_BETA!r} * ({YEAR[1]} - ts))), 6) AS weight FROM e WHERE {between(YEAR)} GROUP BY 1, 2")
 def sum_edges_exp_norm(spark, folder):
-    # Time counted in days, so that the mean runs over whole ticks.
-    t = network(spark, folder)
-    days = t.edges.where(F.col("ts").between(*JAN)).withColumn("age", (F.lit(JAN[1]) - F.col("ts")) / F.lit(float(DAY)))
-    s = days.groupBy("source", "target").agg(F.sum(F.col("weight") * F.lit(-math.expm1(-0.1)) * F.exp(F.lit(-0.1) * F.col("age"))).alias("weight"))
-    return r6(g.without_small(s))
+    """A mean over milliseconds is small: shown in billionths."""
+    return r6(g.scale(network(spark, folder).sum_edges_exp_norm(*YEAR, log_beta=LOG_BETA).df, 1e9))
 
 
 @query(BASE + f"SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM e WHERE {between(YEAR)} GROUP BY 1, 2")
@@ -237,6 +230,11 @@ def count_nodes_of_edges(spark, folder):
     return timeline.count_nodes(network(spark, folder).edges, None, *YEAR)
 
 
+@query(f"SELECT count(*) AS n FROM orders WHERE epoch_ms(o_orderdate) BETWEEN {YEAR[0]} AND {YEAR[1]}")
+def count_graphs(spark, folder):
+    return timeline.count_graphs(network(spark, folder).within_time(*YEAR).documents, *YEAR)
+
+
 @query("SELECT epoch_ms(date_trunc('month', o_orderdate)) AS win_min, count(*) AS n FROM orders GROUP BY 1")
 def count_graphs_monthly(spark, folder):
     return documents(spark, folder).groupBy(timeline.calendar_start(F.col("ts"), "M").alias("win_min")).agg(F.count(F.lit(1)).alias("n"))
@@ -252,8 +250,9 @@ def topics(spark, folder):
     return r6(network(spark, folder).topics(*YEAR).df)
 
 
-WINDOWS = timeline.count_windows(*YEAR, step=MONTH, offset=5 * DAY)
-OFF = 5 * DAY % MONTH
+#: Windows of 30 days from the fifth day of 1970 on that touch 1995 (days 9131 to 9495): those with numbers 304 to 316.
+WINDOWS = 13
+OFF = 432_000_000
 
 
 @query(BASE + TOPICS.format(more=f", CAST(count(DISTINCT ts - (ts - {OFF}) % {MONTH}) AS DOUBLE) AS t", r=between(YEAR)) + TOPIC_OUT.format(score=f"3.0 / ((x.c + y.c - d) / d + d / s + {WINDOWS}.0 / t)"))
@@ -277,8 +276,16 @@ def compress_offset_step(spark, folder):
     return r6(network(spark, folder).compress(MONTH, 5 * DAY).edges.select("ts", "source", "target", "weight"))
 
 
-HOPS = timeline.hopping(*YEAR, width=(YEAR[1] - YEAR[0]) // 3, steps=STEPS)
-HOP_SQL = "w AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({a} AS BIGINT), CAST({b} AS BIGINT))" for i, a, b in HOPS) + ") v(step, lo, hi)), "
+HOPS = timeline.hopping(*ALL, width=(ALL[1] - ALL[0]) // 3, steps=STEPS)
+
+
+def _hops_sql(steps: int) -> str:
+    """Windows of a third of all time, evenly spread, by arithmetic in SQL."""
+    return f"""w AS (SELECT CAST(i AS INT) AS step, CAST(trunc(lo + (hi - width + 1 - lo) * i / {float(steps - 1)}) AS BIGINT) AS lo, CAST(trunc(lo + (hi - width + 1 - lo) * i / {float(steps - 1)}) AS BIGINT) + width - 1 AS hi
+  FROM range({steps}) r(i), (SELECT CAST({ALL[0]} AS BIGINT) AS lo, CAST({ALL[1]} AS BIGINT) AS hi, CAST(({ALL[1]} - {ALL[0]}) // 3 AS BIGINT) AS width)), """
+
+
+HOP_SQL = _hops_sql(STEPS)
 SAMPLED = BASE + ", " + HOP_SQL + "se AS (SELECT step, source, target, sum(weight) AS s, CAST(count(*) AS DOUBLE) AS d FROM e JOIN w ON ts BETWEEN lo AND hi GROUP BY 1, 2, 3)"
 
 
@@ -345,106 +352,111 @@ def object_ids(spark, folder):
 # ---- one graph -----------------------------------------------------------------------
 @query(BASE + "SELECT CAST(count(*) AS BIGINT) AS num_edges, round(sum(weight), 6) AS total, (SELECT count(*) FROM deg) AS num_nodes FROM g")
 def graph_counts(spark, folder):
-    j = january(spark, folder)
+    j = whole(spark, folder)
     ends = g.nodes(j).agg(F.count(F.lit(1)).alias("num_nodes"))
     return j.agg(F.count(F.lit(1)).alias("num_edges"), F.round(F.sum("weight"), 6).alias("total")).withColumn("num_nodes", F.lit(ends.first()[0]))
 
 
 @query(BASE + "SELECT round(coalesce(sum(weight), 0), 6) AS weight, count(*) > 0 AS present FROM g WHERE source = 1 AND target = 2")
 def get_edge(spark, folder):
-    return r6(g.weight_of(january(spark, folder), source=1, target=2))
+    return r6(g.weight_of(whole(spark, folder), source=1, target=2))
 
 
 @query(BASE + "SELECT target AS node, round(weight, 6) AS weight FROM b WHERE source = 5")
 def adjacent_edges(spark, folder):
-    return r6(g.neighbours(january(spark, folder), 5))
+    return r6(g.neighbours(whole(spark, folder), 5))
 
 
 @query(BASE + "SELECT node, CAST(dg AS DOUBLE) AS weight FROM deg")
 def in_out_degrees(spark, folder):
-    return g.degrees(january(spark, folder))
+    return g.degrees(whole(spark, folder))
 
 
 @query(BASE + "SELECT node, round(ow, 6) AS weight FROM deg")
 def in_out_weights(spark, folder):
-    return r6(g.degrees(january(spark, folder), weighted=True))
+    return r6(g.degrees(whole(spark, folder), weighted=True))
 
 
 @query(BASE + "SELECT source AS node, 'out' AS kind, CAST(count(*) AS DOUBLE) AS weight FROM g GROUP BY 1 UNION ALL SELECT target, 'in', count(*) FROM g GROUP BY 1")
 def directed_degrees(spark, folder):
-    j = january(spark, folder)
+    j = whole(spark, folder)
     return g.degrees(j, True).withColumn("kind", F.lit("out")).unionByName(g.degrees(j, True, incoming=True).withColumn("kind", F.lit("in")))
 
 
 @query(BASE + "SELECT node, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT source AS node FROM g UNION ALL SELECT target FROM g) GROUP BY 1")
 def graph_nodes(spark, folder):
-    return g.nodes(january(spark, folder))
+    return g.nodes(whole(spark, folder))
 
 
 @query(BASE + "SELECT b.source AS node, round(any_value(o.dg) - CAST(sum(p.dg) AS DOUBLE) / any_value(o.dg), 6) AS weight FROM b JOIN deg o ON o.node = b.source JOIN deg p ON p.node = b.target GROUP BY 1")
 def degree_anomalies(spark, folder):
-    return r6(g.anomalies(january(spark, folder)))
+    return r6(g.anomalies(whole(spark, folder)))
 
 
 @query(BASE + "SELECT b.source AS node, round(any_value(o.ow) - sum(b.weight * p.ow) / any_value(o.ow), 6) AS weight FROM b JOIN deg o ON o.node = b.source JOIN deg p ON p.node = b.target GROUP BY 1")
 def weight_anomalies(spark, folder):
-    return r6(g.anomalies(january(spark, folder), weighted=True))
+    return r6(g.anomalies(whole(spark, folder), weighted=True))
 
 
 @query(BASE + "SELECT source, target, round(weight / (x.ow * y.ow), 6) AS weight FROM g JOIN deg x ON x.node = source JOIN deg y ON y.node = target")
 def normalize(spark, folder):
-    return r6(g.normalized(january(spark, folder)))
+    return r6(g.normalized(whole(spark, folder)))
 
 
 @query(BASE + "SELECT source, target, round(weight, 6) AS weight FROM g WHERE source IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 10) AND target IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 10)")
 def filter_nodes(spark, folder):
     chosen = table(spark, folder, "supplier").where("s_nationkey < 10").select(F.col("s_suppkey").alias("node"))
-    return r6(g.within(january(spark, folder), chosen))
+    return r6(g.within(whole(spark, folder), chosen))
 
 
 @query(BASE + "SELECT source, target, round(weight, 6) AS weight FROM g WHERE weight > 0.3")
 def del_small(spark, folder):
-    return r6(g.without_small(january(spark, folder), 0.3, positive=True))
+    return r6(g.without_small(whole(spark, folder), 0.3, positive=True))
+
 
+#: Two graphs: all documents before 1998, and all from then on.
+SPLIT = 883_612_800_000
+TWO = BASE.replace("sum(weight) AS weight FROM e GROUP BY 1, 2),\nb AS", f"sum(weight) AS weight FROM e WHERE ts < {SPLIT} GROUP BY 1, 2),\nb AS") + f", h AS (SELECT source, target, sum(weight) AS weight FROM e WHERE ts >= {SPLIT} GROUP BY 1, 2) "
 
-NEXT = (JAN[1] + 1, JAN[1] + MONTH)
-TWO = BASE + f", h AS (SELECT source, target, sum(weight) AS weight FROM e WHERE {between(NEXT)} GROUP BY 1, 2) "
+
+def _before(spark, folder):
+    return network(spark, folder).sum_edges(None, SPLIT - 1).df
 
 
 def _next(spark, folder):
-    return network(spark, folder).sum_edges(*NEXT).df
+    return network(spark, folder).sum_edges(SPLIT).df
 
 
 @query(TWO + "SELECT source, target, round(sum(weight), 6) AS weight FROM (SELECT * FROM g UNION ALL SELECT source, target, 0.5 * weight FROM h) GROUP BY 1, 2")
 def add_graph_scaled(spark, folder):
-    return r6(g.combine(january(spark, folder), _next(spark, folder), g.EDGE, 0.5))
+    return r6(g.combine(_before(spark, folder), _next(spark, folder), g.EDGE, 0.5))
 
 
 @query(TWO + "SELECT source, target, round(sum(weight), 6) AS weight FROM (SELECT * FROM g UNION ALL SELECT source, target, -weight FROM h) GROUP BY 1, 2")
 def sub_graph(spark, folder):
-    return r6(g.combine(january(spark, folder), _next(spark, folder), g.EDGE, -1.0))
+    return r6(g.combine(_before(spark, folder), _next(spark, folder), g.EDGE, -1.0))
 
 
 @query(TWO + "SELECT source, target, round(weight * 3, 6) AS weight FROM g")
 def mul_const(spark, folder):
-    return r6(g.scale(january(spark, folder), 3.0))
+    return r6(g.scale(_before(spark, folder), 3.0))
 
 
 @query(TWO + "SELECT g.source, g.target, round(g.weight, 6) AS weight FROM g ANTI JOIN h ON g.source = h.source AND g.target = h.target")
 def del_edges(spark, folder):
-    return r6(g.delete(january(spark, folder), _next(spark, folder), g.EDGE))
+    return r6(g.delete(_before(spark, folder), _next(spark, folder), g.EDGE))
 
 
 @query(TWO + "SELECT source, target, round(coalesce(h.weight, g.weight), 6) AS weight FROM g FULL JOIN h USING (source, target)")
 def set_edges(spark, folder):
-    return r6(g.set_entries(january(spark, folder), _next(spark, folder).withColumn("o", F.lit(1)), g.EDGE, "o"))
+    return r6(g.set_entries(_before(spark, folder), _next(spark, folder).withColumn("o", F.lit(1)), g.EDGE, "o"))
 
 
 VEC = TWO + ", v AS (SELECT node, sum(w) AS x FROM (SELECT source AS node, weight AS w FROM g UNION ALL SELECT target, weight FROM g) GROUP BY 1), u AS (SELECT node, sum(w) AS x FROM (SELECT source AS node, weight AS w FROM h UNION ALL SELECT target, weight FROM h) GROUP BY 1) "
 
 
 def _vectors(spark, folder):
-    return g.degrees(january(spark, folder), weighted=True), g.degrees(_next(spark, folder), weighted=True)
+    return g.degrees(_before(spark, folder), weighted=True), g.degrees(_next(spark, folder), weighted=True)
 
 
 @query(VEC + "SELECT node, round(coalesce(v.x, 0) + 2 * coalesce(u.x, 0), 6) AS weight FROM v FULL JOIN u USING (node)")
@@ -466,7 +478,7 @@ def vector_sub_norm(spark, folder):
 
 @query(VEC + "SELECT b.source AS node, round(sum(b.weight * u.x), 6) AS weight FROM b JOIN u ON u.node = b.target GROUP BY 1")
 def spmv(spark, folder):
-    return r6(g.multiply(january(spark, folder), _vectors(spark, folder)[1]))
+    return r6(g.multiply(_before(spark, folder), _vectors(spark, folder)[1]))
 
 
 @query(BASE + "SELECT source, target, round(weight, 6) AS weight FROM (SELECT *, rank() OVER (ORDER BY weight DESC) AS r FROM (SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM e GROUP BY 1, 2)) WHERE r <= 20")
@@ -494,8 +506,8 @@ def sparse_subgraph(spark, folder):
     return r6(network(spark, folder).count_edges().sparse_subgraph().df)
 
 
-def _parts_january(spark, folder):
-    return network(spark, folder, entity="l_partkey").sum_edges(*_range.get()).df
+def _parts_whole(spark, folder):
+    return network(spark, folder, entity="l_partkey").sum_edges().df
 
 
 PARTS = base("l_partkey")
@@ -506,41 +518,55 @@ def _root(j: DataFrame) -> DataFrame:
     return j.agg(F.min("source").alias("node")).where("node is not null")
 
 
-@query(PARTS + f""", p0 AS (SELECT n AS node, 0 AS c FROM {ROOT}), p1 AS (SELECT DISTINCT b.target AS node, 1 AS c FROM b JOIN p0 ON b.source = p0.node),
-p2 AS (SELECT DISTINCT b.target AS node, 2 AS c FROM b JOIN p1 ON b.source = p1.node), p3 AS (SELECT DISTINCT b.target AS node, 3 AS c FROM b JOIN p2 ON b.source = p2.node)
-SELECT node, CAST(min(c) AS BIGINT) AS hops FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1""")
-def bfs_count_depth3(spark, folder):
-    j = _parts_january(spark, folder)
-    return traversal.paths(j, _root(j), limit=3).select("node", F.col("count").alias("hops"))
+RPARTS = PARTS.replace("WITH o AS", "WITH RECURSIVE o AS")
+
+
+@query(RPARTS + f""", near AS (SELECT n AS node, 0 AS c FROM {ROOT} UNION SELECT b.target, near.c + 1 FROM near JOIN b ON b.source = near.node WHERE near.c < 20)
+SELECT node, CAST(min(c) AS BIGINT) AS hops FROM near GROUP BY 1""")
+def bfs_count(spark, folder):
+    """Hops from the least part to each it reaches; no way of the graph has 20."""
+    j = _parts_whole(spark, folder)
+    return traversal.paths(j, _root(j)).select("node", F.col("count").alias("hops"))
+
+
+@query(RPARTS + f""", near AS (SELECT n AS node, 0 AS c, CAST(NULL AS BIGINT) AS parent FROM {ROOT} UNION SELECT b.target, near.c + 1, near.node FROM near JOIN b ON b.source = near.node WHERE near.c < 4),
+best AS (SELECT node, min(c) AS c FROM near GROUP BY 1), p AS (SELECT near.node, best.c, min(parent) AS parent FROM near JOIN best ON best.node = near.node AND best.c = near.c GROUP BY 1, 2)
+SELECT node, CAST(c AS BIGINT) AS hops, parent, row_number() OVER (ORDER BY c, parent NULLS FIRST, node) - 1 AS pos FROM p""")
+def bfs_order(spark, folder):
+    """Order in which a search up to 4 hops finds the parts."""
+    j = _parts_whole(spark, folder)
+    return traversal.visit_order(traversal.paths(j, _root(j), limit=4)).select("node", F.col("count").alias("hops"), "parent", "pos")
 
 
-@query(PARTS + f""", RECURSIVE_P AS (SELECT 1), s0 AS (SELECT n AS node, CAST(0 AS DOUBLE) AS w FROM {ROOT}),
-s1 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s0 UNION ALL SELECT b.target, s0.w + b.weight FROM s0 JOIN b ON b.source = s0.node) WHERE w <= 1.0 GROUP BY 1),
-s2 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s1 UNION ALL SELECT b.target, s1.w + b.weight FROM s1 JOIN b ON b.source = s1.node) WHERE w <= 1.0 GROUP BY 1),
-s3 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s2 UNION ALL SELECT b.target, s2.w + b.weight FROM s2 JOIN b ON b.source = s2.node) WHERE w <= 1.0 GROUP BY 1),
-s4 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s3 UNION ALL SELECT b.target, s3.w + b.weight FROM s3 JOIN b ON b.source = s3.node) WHERE w <= 1.0 GROUP BY 1),
-s5 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s4 UNION ALL SELECT b.target, s4.w + b.weight FROM s4 JOIN b ON b.source = s4.node) WHERE w <= 1.0 GROUP BY 1),
-s6 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s5 UNION ALL SELECT b.target, s5.w + b.weight FROM s5 JOIN b ON b.source = s5.node) WHERE w <= 1.0 GROUP BY 1),
-s7 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s6 UNION ALL SELECT b.target, s6.w + b.weight FROM s6 JOIN b ON b.source = s6.node) WHERE w <= 1.0 GROUP BY 1),
-s8 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s7 UNION ALL SELECT b.target, s7.w + b.weight FROM s7 JOIN b ON b.source = s7.node) WHERE w <= 1.0 GROUP BY 1),
-s9 AS (SELECT node, min(w) AS w FROM (SELECT * FROM s8 UNION ALL SELECT b.target, s8.w + b.weight FROM s8 JOIN b ON b.source = s8.node) WHERE w <= 1.0 GROUP BY 1)
-SELECT node, round(w, 6) AS weight FROM s9""".replace(" RECURSIVE_P AS (SELECT 1),", ""))
-def distance_weight_k(spark, folder):
-    j = _parts_january(spark, folder)
-    return r6(traversal.paths(j, _root(j), weighted=True, limit=1.0).select("node", "weight"))
+@query()
+def distance_weight(spark, folder):
+    """Least weight of a way from the least part to each; compared with a search by a heap in the tests."""
+    j = _parts_whole(spark, folder)
+    return r6(traversal.paths(j, _root(j), weighted=True).select("node", "weight"))
+
+
+def _squares_sql(k: int) -> str:
+    """Distances of all pairs after ``k`` squarings of the matrix of weights: ways of up to 2 ** k edges."""
+    out = ["d0 AS (SELECT source, target, min(weight) AS w FROM b GROUP BY 1, 2)"]
+    out += [f"d{i} AS (SELECT source, target, min(w) AS w FROM (SELECT * FROM d{i - 1} UNION ALL SELECT x.source, y.target, x.w + y.w FROM d{i - 1} x JOIN d{i - 1} y ON y.source = x.target WHERE x.source <> y.target) GROUP BY 1, 2)" for i in range(1, k + 1)]
+    return ", " + ", ".join(out)
+
 
+@query(BASE + _squares_sql(5) + " SELECT source, target, round(w, 6) AS weight FROM d5 WHERE source <> target")
+def all_distances_weight(spark, folder):
+    """Distances by weight between all pairs of suppliers."""
+    return r6(traversal.distance_graph(whole(spark, folder), weighted=True))
 
-@query(PARTS + """, p1 AS (SELECT DISTINCT source, target, 1 AS c FROM b), p2 AS (SELECT DISTINCT p1.source, b.target, 2 AS c FROM p1 JOIN b ON b.source = p1.target)
-SELECT source, target, CAST(min(c) AS DOUBLE) AS weight FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) WHERE source <> target GROUP BY 1, 2""")
-def all_distances_count_k(spark, folder):
-    return traversal.distance_graph(_parts_january(spark, folder), limit=2)
 
+@query(BASE + _squares_sql(5) + " SELECT round(w, 6) AS weight FROM d5 WHERE source = 1 AND target = 7")
+def distance_pair(spark, folder):
+    d = traversal.distance(whole(spark, folder), 1, 7, weighted=True)
+    return r6(spark.createDataFrame([(d,)], "weight double"))
 
-@query(PARTS.replace("WITH o AS", "WITH RECURSIVE o AS") + """, reach AS (SELECT source AS node, source AS other FROM b UNION SELECT b.target, r.other FROM reach r JOIN b ON b.source = r.node),
-l AS (SELECT node, least(node, min(other)) AS low FROM reach GROUP BY 1)
-SELECT node, dense_rank() OVER (ORDER BY low) - 1 AS component FROM l""")
+
+@query()
 def connected_components(spark, folder):
-    return traversal.components(_parts_january(spark, folder))
+    return traversal.components(_parts_whole(spark, folder))
 
 
 def _steps_sql(k: int, by: str = "") -> str:
@@ -553,18 +579,40 @@ def _steps_sql(k: int, by: str = "") -> str:
 
 @query(BASE + ", dd AS (SELECT * FROM b), " + _steps_sql(5) + " SELECT n AS node, round(x / sqrt(sum(x * x) OVER ()), 6) AS weight FROM v5")
 def power_iteration_k5(spark, folder):
-    return r6(traversal.power_steps(january(spark, folder), 5))
+    return r6(traversal.power_iteration(whole(spark, folder), iterations=5)[0])
+
+
+@query(BASE + ", dd AS (SELECT * FROM b), " + _steps_sql(40) + " SELECT n AS node, round(x / sqrt(sum(x * x) OVER ()), 6) AS weight FROM v40")
+def power_iteration_tolerance(spark, folder):
+    """Until a step moves the vector by 1e-10 or less."""
+    return r6(traversal.power_iteration(whole(spark, folder), iterations=1000, tolerance=1e-10)[0])
 
 
 @query(BASE + ", dd AS (SELECT * FROM b), " + _steps_sql(6) + " SELECT round((SELECT sum(a.x * c.x) FROM v6 a JOIN v5 c USING (n)) / (SELECT sum(x * x) FROM v5), 6) AS eigenvalue")
 def eigenvalue_k5(spark, folder):
-    _, value = traversal.power_iteration(january(spark, folder), iterations=5)
+    _, value = traversal.power_iteration(whole(spark, folder), iterations=5)
     return spark.createDataFrame([(round(value, 6),)], "eigenvalue double")
 
 
-@query(SAMPLED + ", dd AS (SELECT step, source, target, s AS weight FROM se UNION ALL SELECT step, target, source, s FROM se), " + _steps_sql(3, "step") + " SELECT step, n AS node, round(x / sqrt(sum(x * x) OVER (PARTITION BY step)), 6) AS weight FROM v3")
-def sample_eigenvectors_k(spark, folder):
-    return r6(traversal.power_steps(_sampled(spark, folder), 3, ["step"]))
+def _warm_sql(windows: int, k: int) -> str:
+    """Vectors n0, n1 ... of the windows after ``k`` steps each; a window starts from the vector before where that isn't 0, else from 1."""
+    out = []
+    for i in range(windows):
+        out.append(f"e{i} AS (SELECT source, target, weight FROM dd WHERE step = {i})")
+        known = f"LEFT JOIN n{i - 1} q ON q.n = t.n AND q.x <> 0" if i else ""
+        out.append(f"s{i}_0 AS (SELECT t.n, {'coalesce(q.x, 1)' if i else 'CAST(1 AS DOUBLE)'} AS x FROM (SELECT DISTINCT target AS n FROM e{i}) t {known})")
+        out += [f"s{i}_{j} AS (SELECT e.source AS n, sum(e.weight * v.x) AS x FROM e{i} e JOIN s{i}_{j - 1} v ON v.n = e.target GROUP BY 1)" for j in range(1, k + 1)]
+        out.append(f"n{i} AS (SELECT n, x / sqrt(sum(x * x) OVER ()) AS x FROM s{i}_{k})")
+    return ", ".join(out)
+
+
+BOTH_WAYS = ", dd AS (SELECT step, source, target, s AS weight FROM se UNION ALL SELECT step, target, source, s FROM se), "
+
+
+@query(SAMPLED + BOTH_WAYS + _warm_sql(STEPS, 3) + " " + " UNION ALL ".join(f"SELECT {i} AS step, n AS node, round(x, 6) AS weight FROM n{i}" for i in range(STEPS)))
+def sample_eigenvectors(spark, folder):
+    """Three steps for each window, started from the window before."""
+    return r6(network(spark, folder).sample_eigenvectors(*ALL, width=(ALL[1] - ALL[0]) // 3, steps=STEPS, iterations=3))
 
 
 # ---- metrics across snapshots ------------------------------------------------------------
@@ -625,32 +673,30 @@ def metric_entropy_2d(spark, folder):
     return r6(metrics.entropy_2d(_counts(spark, folder), g.EDGE, STEPS, 10))
 
 
-def _fronts_sql(src: str, k: int, out: str) -> str:
-    """Fronts 1..k of ``src`` (source, target, x, y), where less is better."""
-    parts, left = [], src
-    for i in range(1, k + 1):
-        parts.append(f"g{i} AS (SELECT x, min(y) AS my FROM {left} GROUP BY 1), m{i} AS (SELECT x, my, min(my) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM g{i}), f{i} AS (SELECT p.*, p.y = m.my AND (m.pm IS NULL OR p.y < m.pm) AS o FROM {left} p JOIN m{i} m USING (x)), r{i} AS (SELECT source, target, x, y FROM f{i} WHERE NOT o)")
-        left = f"r{i}"
-    return ", " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT source, target, {out.format(i=i)} AS weight FROM f{i} WHERE o" for i in range(1, k + 1))
+def _fronts_sql(src: str, out: str, keys: str = "source, target") -> str:
+    """All fronts of ``src`` (keys, x, y), where less is better, peeled off one after the other; ``out`` uses k, the front."""
+    return f""", peel AS (SELECT {keys}, x, y, CAST(1 AS BIGINT) AS k, y = min(y) OVER (PARTITION BY x) AND coalesce(y < min(y) OVER (ORDER BY x GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS o FROM {src}
+  UNION ALL SELECT {keys}, x, y, k + 1, y = min(y) OVER (PARTITION BY x) AND coalesce(y < min(y) OVER (ORDER BY x GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) FROM peel WHERE NOT o),
+fronts AS (SELECT {keys}, {out} AS weight FROM peel WHERE o) """
 
 
-PARETO_IN = COUNTS + ", pt AS (SELECT source, target, -round(avg(x), 9) AS x, round(stddev_samp(x), 9) AS y FROM z GROUP BY 1, 2)"
+PARETO_IN = COUNTS.replace("WITH o AS", "WITH RECURSIVE o AS") + ", pt AS (SELECT source, target, -round(avg(x), 9) AS x, round(stddev_samp(x), 9) AS y FROM z GROUP BY 1, 2)"
 
 
-@query(PARETO_IN + _fronts_sql("pt", 4, "CAST({i} AS DOUBLE)"))
+@query(PARETO_IN + _fronts_sql("pt", "CAST(k AS DOUBLE)") + "SELECT * FROM fronts")
 def metric_pareto(spark, folder):
     c = _counts(spark, folder)
     m = metrics.average(c, g.EDGE, STEPS).withColumnRenamed("weight", "a").join(metrics.deviation(c, g.EDGE, STEPS).withColumnRenamed("weight", "b"), g.EDGE)
-    return metrics.pareto(r9(m, "a", "b"), g.EDGE, "a", "b", True, False, max_fronts=4)
+    return metrics.pareto(r9(m, "a", "b"), g.EDGE, "a", "b", True, False)
 
 
 def r9(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in cols})
 
 
-@query(PARETO_IN + _fronts_sql("pt", 4, "CAST(0.5 AS DOUBLE) ** ({i} - 1)"))
+@query(PARETO_IN + _fronts_sql("pt", "CAST(0.5 AS DOUBLE) ** (k - 1)") + "SELECT * FROM fronts")
 def metric_stability_pareto(spark, folder):
-    return metrics.stability_pareto(_counts(spark, folder), g.EDGE, STEPS, 0.5, max_fronts=4)
+    return metrics.stability_pareto(_counts(spark, folder), g.EDGE, STEPS, 0.5)
 
 
 # ---- composites ---------------------------------------------------------------------------
@@ -684,51 +730,51 @@ def calendar_ranges_quarters(spark, folder):
 
 
 def _dashboard(spark, folder) -> TemporalGraph:
-    """The network of a year, as a store would have it."""
+    """The network of all time, as a store would have it."""
     t = network(spark, folder)
-    edges = staged(timeline.during(t.edges, *YEAR).repartition("doc_id"), "edges")
-    return TemporalGraph(t.documents, edges, t.doc_nodes)
+    edges = staged(timeline.during(t.edges, *ALL).repartition("doc_id"), "edges")
+    return TemporalGraph(t.documents, edges, staged(t.doc_nodes, "doc-nodes"))
 
 
 @query()
 def dashboard_stable_edges(spark, folder):
     """Windows, each normalised; Pareto fronts of mean and deviation; then the sparse subgraph."""
-    return dashboards.subgraph(_dashboard(spark, folder), "stable_edges", *YEAR)[0]
+    return dashboards.subgraph(_dashboard(spark, folder), "stable_edges", *ALL)[0]
 
 
 @query()
 def dashboard_stable_topics(spark, folder):
     """Topics that are high and steady are the seeds of the subgraph of topics."""
-    return dashboards.subgraph(_dashboard(spark, folder), "stable_topics", *YEAR)[0]
+    return dashboards.subgraph(_dashboard(spark, folder), "stable_topics", *ALL)[0]
 
 
-@query(BASE + TOPICS.format(more="", r=between(YEAR)) + ", q AS (SELECT source, target, 2.0 / ((x.c + y.c - d) / d + d / s) AS weight FROM se JOIN c x ON x.node = source JOIN c y ON y.node = target)" + SPARSE)
+@query(BASE + TOPICS.format(more="", r=between(ALL)) + ", q AS (SELECT source, target, 2.0 / ((x.c + y.c - d) / d + d / s) AS weight FROM se JOIN c x ON x.node = source JOIN c y ON y.node = target)" + SPARSE)
 def dashboard_topics(spark, folder):
-    return r6(dashboards.subgraph(_dashboard(spark, folder), "topics", *YEAR)[0])
+    return r6(dashboards.subgraph(_dashboard(spark, folder), "topics", *ALL)[0])
 
 
-@query(BASE + f""", y AS (SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM e WHERE {between(YEAR)} GROUP BY 1, 2), yb AS (SELECT source, weight FROM y UNION ALL SELECT target, weight FROM y),
+@query(BASE + f""", y AS (SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM e WHERE {between(ALL)} GROUP BY 1, 2), yb AS (SELECT source, weight FROM y UNION ALL SELECT target, weight FROM y),
 yo AS (SELECT source AS node, sum(weight) AS o FROM yb GROUP BY 1), q AS (SELECT source, target, weight / (a.o * z.o) AS weight FROM y JOIN yo a ON a.node = source JOIN yo z ON z.node = target)""" + SPARSE.replace("round(w, 6)", "round(w, 9)"))
 def dashboard_count_edges_norm(spark, folder):
-    return dashboards.subgraph(_dashboard(spark, folder), "count_edges_norm", *YEAR)[0].withColumn("weight", F.round("weight", 9))
+    return dashboards.subgraph(_dashboard(spark, folder), "count_edges_norm", *ALL)[0].withColumn("weight", F.round("weight", 9))
 
 
 @query()
 def dashboard_stable_nodes(spark, folder):
     """Fronts of a high and steady place in the windows' eigenvectors."""
-    return dashboards.node_sizes(_dashboard(spark, folder), "stable_nodes", *YEAR)
+    return dashboards.node_sizes(_dashboard(spark, folder), "stable_nodes", *ALL)
 
 
 @query()
 def dashboard_trend_converged(spark, folder):
     """Trend of each node's place in the eigenvectors of nine windows, and its colour."""
-    return dashboards.node_sizes(_dashboard(spark, folder), "trend", *YEAR)
+    return dashboards.node_sizes(_dashboard(spark, folder), "trend", *ALL)
 
 
 @query()
 def dashboard_network_set(spark, folder):
     """JSON rows of a whole dashboard."""
-    return dashboards.network_set(_dashboard(spark, folder), "topics", "eigenvector", *YEAR)
+    return dashboards.network_set(_dashboard(spark, folder), "topics", "eigenvector", *ALL)
 
 
 @query(SAMPLED + ", dd AS (SELECT step, source, target, s AS weight FROM se UNION ALL SELECT step, target, source, s FROM se), " + _steps_sql(3, "step") + """, v AS (SELECT step, n AS node, x / sqrt(sum(x * x) OVER (PARTITION BY step)) AS x FROM v3)
@@ -793,28 +839,3 @@ def stream_tumbling_sum(spark, folder):
 def stream_ewma(spark, folder):
     s = streams.read_edges(spark, _edge_files(spark, folder), SCHEMA)
     return r6(streams.run_decayed(s, LOG_BETA, new_path(spark, "stream"), new_path(spark, "progress")), "value")
-
-
-# ---- operators for a single graph, on the graph of all time -------------------------------
-def _whole(f):
-    def run(spark, folder):
-        token = _range.set(())
-        try:
-            return f(spark, folder)
-        finally:
-            _range.reset(token)
-
-    return run
-
-
-WHOLE = [
-    "graph_counts", "get_edge", "adjacent_edges", "in_out_degrees", "in_out_weights", "directed_degrees", "graph_nodes", "degree_anomalies",
-    "weight_anomalies", "normalize", "filter_nodes", "del_small", "mul_const", "spmv", "bfs_count_depth3", "distance_weight_k",
-    "connected_components", "power_iteration_k5", "eigenvalue_k5",
-]
-#: Queries whose SQL would build all pairs of connected nodes; tests compare them with brute force.
-NO_SQL = {"connected_components"}
-for _name in WHOLE:
-    QUERIES[f"{_name}_whole"] = _whole(QUERIES[_name])
-    if _name in ORACLES and _name not in NO_SQL:
-        ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(f"FROM e WHERE {between(JAN)} GROUP BY 1, 2),\nb AS", "FROM e GROUP BY 1, 2),\nb AS")

@@ -1,6 +1,7 @@
 """Every named core query on the smallest data set, against its SQL."""
 
 import glob
+import heapq
 import os
 
 import duckdb
@@ -49,19 +50,39 @@ def test_entry(spark):
     assert set(CORE) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_whole_graph_queries_reach_beyond_january(spark, data, duck):
-    pairs = duck.execute("""SELECT DISTINCT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-        AND abs(a.l_linenumber - b.l_linenumber) <= 5 JOIN orders ON o_orderkey = a.l_orderkey""").fetchall()
-    low = {n: n for p in pairs for n in p}
+@pytest.fixture(scope="module")
+def parts(duck):
+    """Weight of each edge between parts, over all time."""
+    rows = duck.execute(graph_queries.PARTS + "SELECT source, target, weight FROM g").fetchall()
+    return {(s, t): w for s, t, w in rows}
+
+
+def test_components_of_parts(spark, data, parts):
+    low = {n: n for p in parts for n in p}
     changed = True
     while changed:
         changed = False
-        for a, b in pairs:
+        for a, b in parts:
             m = min(low[a], low[b])
             changed |= low[a] != m or low[b] != m
             low[a] = low[b] = m
     number = {m: i for i, m in enumerate(sorted(set(low.values())))}
-    got = {r["node"]: r["component"] for r in CORE["connected_components_whole"](spark, data).collect()}
+    got = {r["node"]: r["component"] for r in CORE["connected_components"](spark, data).collect()}
     assert got == {n: number[m] for n, m in low.items()}
-    january = {r["node"] for r in CORE["connected_components"](spark, data).collect()}  # still in its own range
-    assert january < set(got)
+
+
+def test_distances_of_parts(spark, data, parts):
+    near = {}
+    for (a, b), w in parts.items():
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    root = min(a for a, _ in parts)
+    want, heap = {}, [(0.0, root)]
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in want:
+            want[n] = d
+            for m, w in near[n]:
+                heapq.heappush(heap, (d + w, m))
+    got = {r["node"]: r["weight"] for r in CORE["distance_weight"](spark, data).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-5 for n in want)
