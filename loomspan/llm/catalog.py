@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import languages, leaks, mixing, names, terms, together
+from loomspan.plans.runtime import staged
 from loomspan.sources.tables import table
 
 
@@ -33,25 +34,33 @@ def _linked(t: together.PairTable) -> DataFrame:
     return t.scores(least=5).where(d("c") * d("n") >= d("n_a") * d("n_b") * 20)
 
 
+def _updated(spark: SparkSession, folder: str, least: int = 1, lift: float = 0.0) -> together.PairTable:
+    """The pair table of all sentences, after an update.
+
+    The table is first built from the rows with an entity_type; then the
+    sentences that have names only in rows without one change to their full
+    contents, by signed deltas.
+    """
+    e = table(spark, folder, "entity")
+    known = e.where("article_id is not null and sentence_index is not null and entity_name is not null")
+    cells = known.groupBy(F.col("article_id").alias("k0"), F.col("sentence_index").alias("k1"), F.col("entity_name").alias("item")).agg(F.max(F.col("entity_type").isNotNull()).alias("typed"))
+    cells = staged(cells, "cells")
+    before, every = cells.where("typed").drop("typed"), cells.drop("typed")
+    t = together.PairTable(spark, least=least, lift=lift)
+    t.apply(None, before)
+    changed = cells.where("not typed").select("k0", "k1").distinct()
+    t.apply(before.join(changed, ["k0", "k1"], "left_semi"), every.join(changed, ["k0", "k1"], "left_semi"), every)
+    return t
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Names in at least 5 sentences together, and 20 times as often as by chance."""
-    t = together.together(table(spark, folder, "entity"), SENTENCE, "entity_name", least=5, lift=20)
-    return _linked(t).select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
+    return _linked(_updated(spark, folder, least=5, lift=20)).select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
 def p3_pairs_updated(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs with their association, after an update.
-
-    The table is first built from the rows with an entity_type; then the
-    sentences that also have rows without one change to their full contents.
-    """
-    entity = table(spark, folder, "entity")
-    t = together.together(entity.where("entity_type is not null"), SENTENCE, "entity_name")
-    changed = together.baskets(entity.where("entity_type is null"), SENTENCE, "entity_name").select("k0", "k1").distinct()
-    new = together.baskets(entity, SENTENCE, "entity_name").join(changed, ["k0", "k1"], "left_semi")
-    old = together.baskets(entity.where("entity_type is not null"), SENTENCE, "entity_name").join(changed, ["k0", "k1"], "left_semi")
-    t.apply(old, new)
-    return t.scores().select(F.col("a").alias("name_a"), F.col("b").alias("name_b"), "c", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+    """All pairs with their association."""
+    return _updated(spark, folder).scores().select(F.col("a").alias("name_a"), F.col("b").alias("name_b"), "c", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
 P3_BASE = """

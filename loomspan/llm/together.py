@@ -2,21 +2,28 @@
 
 Baskets that changed give -1 for each pair and item they held and +1 for each
 they hold now; the deltas are merged into counts that are kept in hash buckets,
-of which only those touched are written anew.  Association is worked out from
-the counts, so scores of pairs whose counts or margins changed are right at once.
+of which only those touched are written anew.  Each pair is kept with the counts
+of its two items; where an item's count changed, the buckets of its pairs are
+touched too.  So scores are read off the table, and only those affected by an
+update are worked out anew.
 """
 
 from __future__ import annotations
 
-import json
+import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.plans.commits import CommitLog
 from loomspan.plans.runtime import new_path, staged
 
-BUCKETS = 32
+#: Rows of a bucket, about: with more, a table gets more buckets; and the fewest buckets.
+ROWS, LEAST_BUCKETS = 2_000_000, 16
+#: Items of a part of a basket, about; a basket with more is cut into parts, and each pair of parts is a key of its own.
+PART = 2048
 
 
 def baskets(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
@@ -28,17 +35,27 @@ def baskets(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
     return known.select(*cols, F.col(item).alias("item")).distinct()
 
 
+def _pairs(both: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of each basket with itself on ``keys``, px and py; large baskets are spread over pairs of parts."""
+    large = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART).select(*keys, F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    m = both.join(large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part, every = F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rest = [c for c in both.columns if c not in ("item", *keys)]
+    x = m.select(*keys, F.col("item").alias("a"), *[F.col(c).alias(f"{c}_a") for c in rest], part.alias("px"), every.alias("py"))
+    y = m.select(*keys, F.col("item").alias("b"), *[F.col(c).alias(f"{c}_b") for c in rest], every.alias("px"), part.alias("py"))
+    return x, y
+
+
 def deltas(old: DataFrame | None, new: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signed changes (pairs: a, b, c), (items: item, n), (size: n) from old to new contents of changed baskets.
 
-    Both tables are as from ``baskets``; None is empty.  Pairs are made by an
-    equi-join on the basket, which AQE splits where one basket is large.
+    Both tables are as from ``baskets``; None is empty.
     """
     parts = [d.withColumn("sign", F.lit(s).cast("bigint")) for d, s in ((old, -1), (new, 1)) if d is not None]
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    keys = [c for c in both.columns if c.startswith("k")]
-    on = [*keys, "sign"]
-    pairs = both.withColumnRenamed("item", "a").join(both.withColumnRenamed("item", "b"), on).where("a < b").groupBy("a", "b").agg(F.sum("sign").alias("c")).where("c <> 0")
+    on = [*[c for c in both.columns if c.startswith("k")], "sign"]
+    x, y = _pairs(both.select(*on, "item"), on)
+    pairs = x.join(y, [*on, "px", "py"]).where("a < b").groupBy("a", "b").agg(F.sum("sign").alias("c")).where("c <> 0")
     items = both.groupBy("item").agg(F.sum("sign").alias("n")).where("n <> 0")
     size = both.select(*on).distinct().agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"))
     return pairs, items, size
@@ -47,9 +64,11 @@ def deltas(old: DataFrame | None, new: DataFrame | None) -> tuple[DataFrame, Dat
 class PairTable:
     """Counts of pairs, items and baskets in a folder of hash buckets.
 
-    The manifest names the folder of each bucket; it is replaced last, so a
-    run that fails leaves the table as it was.  Without ``folder`` a new one is
-    made in the shared folder.
+    A commit names the folder of each bucket; it is put down last and in one
+    step, so a run that fails at any point leaves the table as it was, and of
+    two runs at a time the second fails without touching what the first wrote.
+    Without ``folder`` a new one is made in the shared folder.  The number of
+    buckets grows with the table.
 
     A table for pairs in at least ``least`` baskets and with a lift of at least
     ``lift`` counts only pairs that can get there, which changes none of them: a
@@ -59,56 +78,63 @@ class PairTable:
     item that becomes eligible is counted from all baskets, and stays counted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS, least: int = 1, lift: float = 0.0):
-        self.spark, self.folder, self.buckets = spark, folder or new_path(spark, "pairs"), buckets
-        self.least, self.lift = least, lift
-        self.version, self.places, self.n = 0, {"pairs": {}, "items": {}, "counted": {}}, 0
-        names = self._manifests()
-        if names:
-            m = json.loads(spark.read.text(names[-1]).first()[0])
-            self.version, self.n, self.buckets, self.least, self.lift = m["version"], m["n"], m["buckets"], m["least"], m["lift"]
-            self.places = {k: {int(b): p for b, p in v.items()} for k, v in m["places"].items()}
+    SCHEMAS = {"pairs": "a string, b string, c bigint, n_a bigint, n_b bigint", "items": "item string, n bigint", "counted": "item string, n bigint"}
+    KEYS = {"pairs": ["a", "b"], "items": ["item"], "counted": ["item"]}
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 1, lift: float = 0.0):
+        self.spark, self.folder = spark, folder or new_path(spark, "pairs")
+        self.log = CommitLog(spark, f"{self.folder}/commits")
+        self._empty = {"n": 0, "least": least, "lift": lift, "places": {k: {} for k in self.KEYS}, "buckets": {k: 0 for k in self.KEYS}, "rows": {k: 0 for k in self.KEYS}}
+        self._load()
+
+    def _load(self) -> None:
+        self.number, last = self.log.last()
+        self.state = last or self._empty
+
+    @property
+    def n(self) -> int:
+        return self.state["n"]
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _manifests(self) -> list[str]:
-        fs, p = self._fs(f"{self.folder}/manifest")
-        return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _read(self, kind: str, schema: str, only: set[int] | None = None) -> DataFrame:
-        paths = [p for b, p in self.places[kind].items() if only is None or b in only]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _read(self, state: dict, kind: str, only: set[int] | None = None) -> DataFrame:
+        paths = [p for b, p in state["places"][kind].items() if only is None or int(b) in only]
+        return self.spark.read.schema(self.SCHEMAS[kind]).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMAS[kind])
 
     def pairs(self) -> DataFrame:
-        return self._read("pairs", "a string, b string, c bigint")
+        return self._read(self.state, "pairs").select("a", "b", "c")
 
     def items(self) -> DataFrame:
-        return self._read("items", "item string, n bigint")
-
-    def _merge(self, kind: str, schema: str, keys: list[str], count: str, delta: DataFrame) -> None:
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        fresh = not self.places[kind]
-        if fresh:
-            merged = delta
+        return self._read(self.state, "items")
+
+    def _merge(self, state: dict, kind: str, delta: DataFrame, run: str, changed: DataFrame | None = None) -> None:
+        """Merge signed counts into the buckets of ``kind``; for pairs, ``changed`` are the items whose counts changed."""
+        keys, count = self.KEYS[kind], "c" if kind == "pairs" else "n"
+        delta = staged(delta.select(*keys, count), "delta")
+        places, rows = state["places"][kind], state["rows"][kind] + delta.count()
+        buckets = max(state["buckets"][kind], LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1, rows / ROWS))))
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        if buckets > state["buckets"][kind]:
+            touched = None  # all are written anew
         else:
-            changes = f"{self.folder}/{kind}/delta-{self.version + 1}"
-            delta.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(changes)
-            delta = self.spark.read.schema(f"{schema}, bucket int").parquet(changes)
-            touched = {r[0] for r in delta.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
-            merged = self._read(kind, schema, touched).unionByName(delta.select(*keys, count)).groupBy(*keys).agg(F.sum(count).alias(count)).where(F.col(count) != 0)
-        out = f"{self.folder}/{kind}/v{self.version + 1}"
-        merged.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(out)
+            marks = delta.select(bucket.alias("bucket")).distinct()
+            if changed is not None:
+                known = self._read(state, kind).select("a", "b")
+                for side in "ab":
+                    marks = marks.unionByName(known.join(changed.select(F.col("item").alias(side)), side, "left_semi").select(bucket.alias("bucket")).distinct())
+            touched = {r[0] for r in marks.distinct().collect()}  # a number per bucket
+        merged = self._read(state, kind, touched).select(*keys, count).unionByName(delta).groupBy(*keys).agg(F.sum(count).alias(count)).where(F.col(count) != 0) if places else delta.where(F.col(count) != 0)
+        if kind == "pairs":
+            items = self._read(state, "items")
+            merged = merged.join(items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(items.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
+        out = f"{self.folder}/{kind}/{run}"
+        merged.withColumn("bucket", bucket).repartition(buckets, "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(out)
         fs, p = self._fs(out)
-        written = {int(s.getPath().getName().split("=")[1]): s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
-        if not fresh:
-            self.places[kind] = {b: p for b, p in self.places[kind].items() if b not in touched}
-        self.places[kind].update(written)
-
-    @property
-    def all_items(self) -> bool:
-        return self.least <= 1 and self.lift <= 1
+        written = {s.getPath().getName().split("=")[1]: s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")}
+        kept = {} if touched is None else {b: q for b, q in places.items() if int(b) not in touched}
+        state["places"][kind], state["buckets"][kind], state["rows"][kind] = {**kept, **written}, buckets, rows
 
     def apply(self, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None = None) -> None:
         """Replace the contents ``old`` of some baskets by ``new``.
@@ -118,48 +144,48 @@ class PairTable:
         """
         if old is None and new is None:
             return
+        self._load()
+        state = {k: {x: dict(y) if isinstance(y, dict) else y for x, y in v.items()} if isinstance(v, dict) else v for k, v in self.state.items()}
+        run = uuid.uuid4().hex[:12]
         old, new = (None if d is None else staged(d, "baskets") for d in (old, new))  # read several times below
-        if every is None and self.version == 0:
+        first = not state["places"]["items"]
+        if every is None and first:
             every = new
         pairs, items, size = deltas(old, new)
-        self._merge("items", "item string, n bigint", ["item"], "n", items)
-        self.n += size.first()[0]
-        if not self.all_items:
-            pairs = self._eligible_pairs(old, new, every)
-        self._merge("pairs", "a string, b string, c bigint", ["a", "b"], "c", pairs)
-        self.version += 1
-        fs, target = self._fs(f"{self.folder}/manifest/{self.version:09d}.json")
-        stream = fs.create(target, False)
-        stream.write(bytearray(json.dumps({"version": self.version, "n": self.n, "buckets": self.buckets, "least": self.least, "lift": self.lift, "places": self.places}).encode()))
-        stream.close()
-
-    def _eligible_pairs(self, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None) -> DataFrame:
+        items = staged(items, "items")
+        self._merge(state, "items", items, run)
+        state["n"] += size.first()[0]
+        if state["least"] > 1 or state["lift"] > 1:
+            pairs = self._eligible_pairs(state, old, new, every, run)
+        self._merge(state, "pairs", pairs, run, None if first else items)
+        self.log.put(self.number, state)
+        self._load()
+
+    def _eligible_pairs(self, state: dict, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None, run: str) -> DataFrame:
         """Changes of pairs of items counted so far, and whole counts of pairs with an item that isn't yet."""
-        counted = self._read("counted", "item string, n bigint").select("item")
-        fresh = self.items().where((F.col("n") >= self.least) & (F.col("n") * F.lit(float(self.lift)) <= self.n)).select("item").join(counted, "item", "left_anti")
+        counted = self._read(state, "counted").select("item")
+        items = self._read(state, "items")
+        fresh = items.where((F.col("n") >= state["least"]) & (F.col("n") * F.lit(float(state["lift"])) <= state["n"])).select("item").join(counted, "item", "left_anti")
         fresh = staged(fresh, "fresh")
         only = lambda d, of: None if d is None else d.join(of, "item", "left_semi")
         changes = None
-        if self.places["counted"]:
+        if state["places"]["counted"]:
             changes = deltas(only(old, counted), only(new, counted))[0]
         if not fresh.isEmpty():
             if every is None:
                 raise ValueError("items became eligible: all baskets are needed")
+            keys = [c for c in every.columns if c.startswith("k")]
             both = counted.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
-            marked = every.join(both, "item")
-            keys = [c for c in every.columns if c != "item"]
-            x, y = (marked.withColumnRenamed("item", k).withColumnRenamed("is_new", f"new_{k}") for k in "ab")
-            whole = x.join(y, keys).where("a < b and (new_a or new_b)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+            x, y = _pairs(every.select(*keys, "item").join(both, "item"), keys)
+            whole = x.join(y, [*keys, "px", "py"]).where("a < b and (is_new_a or is_new_b)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
             changes = whole if changes is None else changes.unionByName(whole)
-            self._merge("counted", "item string, n bigint", ["item"], "n", fresh.withColumn("n", F.lit(1).cast("bigint")))
-        return changes if changes is not None else self.spark.createDataFrame([], "a string, b string, c bigint")
+            self._merge(state, "counted", fresh.withColumn("n", F.lit(1).cast("bigint")), run)
+        return changes.groupBy("a", "b").agg(F.sum("c").alias("c")) if changes is not None else self.spark.createDataFrame([], "a string, b string, c bigint")
 
     def scores(self, least: int = 1) -> DataFrame:
         """(a, b, c, n_a, n_b, n, lift) of pairs in at least ``least`` baskets; lift is c * n / (n_a * n_b)."""
-        i = self.items()
-        p = self.pairs().where(F.col("c") >= least)
-        s = p.join(i.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(i.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
-        return s.select("a", "b", "c", "n_a", "n_b", F.lit(self.n).cast("bigint").alias("n"), (F.col("c") * F.lit(self.n) / (F.col("n_a").cast("double") * F.col("n_b"))).alias("lift"))
+        p = self._read(self.state, "pairs").where(F.col("c") >= least)
+        return p.select("a", "b", "c", "n_a", "n_b", F.lit(self.n).cast("bigint").alias("n"), (F.col("c") * F.lit(self.n) / (F.col("n_a").cast("double") * F.col("n_b"))).alias("lift"))
 
 
 def together(df: DataFrame, keys: Sequence[str], item: str, folder: str | None = None, least: int = 1, lift: float = 0.0) -> PairTable:

@@ -77,6 +77,29 @@ def test_only_pairs_that_can_count(spark, tmp_path, least, lift):
         now = then
 
 
+def test_torn_commit_growth_and_large_baskets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(together, "PART", 3)
+    monkeypatch.setattr(together, "ROWS", 10)
+    monkeypatch.setattr(together, "LEAST_BUCKETS", 2)
+    one = data_of(21)
+    one += [(200, 0, f"i{k}", "x", 1, 1) for k in range(12)]  # a basket of several parts
+    t = together.together(spark.createDataFrame(one, SCHEMA), ["a", "s"], "item", f"file://{tmp_path}/t")
+    check(t, one)
+    assert t.state["buckets"]["pairs"] >= 8
+    (tmp_path / "t/commits/000000000001.json").write_text("")  # a driver died here
+    again = together.PairTable(spark, f"file://{tmp_path}/t")
+    check(again, one)
+    more = [(300, 0, f"i{k}", "x", 1, 1) for k in range(30)]
+    again.apply(None, together.baskets(spark.createDataFrame(more, SCHEMA), ["a", "s"], "item"))
+    check(again, one + more)
+    assert again.state["buckets"]["pairs"] > t.state["buckets"]["pairs"]
+    # Only buckets of pairs whose counts, or whose items' counts, changed are written.
+    before = dict(again.state["places"]["pairs"])
+    again.apply(None, together.baskets(spark.createDataFrame([(301, 0, "i0", "x", 1, 1)], SCHEMA), ["a", "s"], "item"))
+    check(again, [*one, *more, (301, 0, "i0", "x", 1, 1)])
+    assert 0 < sum(before[b] == p for b, p in again.state["places"]["pairs"].items()) < len(before)
+
+
 def test_eligible_items_need_all_baskets(spark):
     df = spark.createDataFrame([(1, 1, "a", "", 1, 1), (1, 1, "b", "", 1, 1)], SCHEMA)
     t = together.together(df, ["a", "s"], "item", least=2)
