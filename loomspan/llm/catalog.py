@@ -133,7 +133,8 @@ def _languages(spark: SparkSession, folder: str) -> DataFrame:
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Languages of passages that aren't the language of the label."""
     label = table(spark, folder, "documents").select("doc_id", languages.label_code(F.col("lang")).alias("label"))
-    j = _languages(spark, folder).join(label, "doc_id").where(~F.col("lang").eqNullSafe(F.col("label")))
+    told = _languages(spark, folder).where("n_sentences > 0 and lang is not null")  # whole sentences outside brackets
+    j = told.join(label, "doc_id").where(~F.col("lang").eqNullSafe(F.col("label")))
     return j.select("doc_id", "para_no", F.col("lang").alias("true_lang")).distinct()
 
 

@@ -12,6 +12,8 @@ WORDS = {
     "it": "gli della e non con governo commissione chiede nuovi ponti scuole seduta abitanti", "nl": "het van en niet met regering commissie eist nieuwe bruggen scholen zitting inwoners",
 }
 
+LANGUAGES = tuple(sorted(WORDS))
+
 
 def sentence(rng, lang, n=8):
     return " ".join(rng.choices(WORDS[lang].split(), k=n)).capitalize() + "."
@@ -22,14 +24,14 @@ def filters(spark):
     rng = random.Random(5)
     rows = []
     for i in range(600):
-        lang = rng.choice(lg.LANGUAGES)
-        label = rng.choice(lg.LANGUAGES) if rng.random() < 0.1 else lang  # one label in ten is wrong
+        lang = rng.choice(LANGUAGES)
+        label = rng.choice(LANGUAGES) if rng.random() < 0.1 else lang  # one label in ten is wrong
         rows.append((i, " ".join(sentence(rng, lang) for _ in range(4)), rng.choice([label, label.upper(), f"{label}-XX", None])))
     return lg.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
 
 
 def test_labels(spark):
-    cases = [("de", "de"), ("DE", "de"), ("de_CH", "de"), ("ger", "de"), ("German", "de"), (" eng ", "en"), ("Dutch", "nl"), ("fre", "fr"), ("und", None), ("", None), (None, None), ("xx", None), ("spa", "es"), ("Italian", "it")]
+    cases = [("de", "de"), ("DE", "de"), ("de_CH", "de"), ("ger", "de"), ("German", "de"), (" eng ", "en"), ("Dutch", "nl"), ("fre", "fr"), ("und", None), ("", None), (None, None), ("xx", "xx"), ("Portuguese", "pt"), ("nob", "no"), ("klingon", None), ("spa", "es"), ("Italian", "it")]
     df = spark.createDataFrame(cases, "l string, want string")
     assert df.where(~lg.label_code(F.col("l")).eqNullSafe(F.col("want"))).count() == 0
 
@@ -44,8 +46,8 @@ def test_held_out(spark, filters):
     for i in range(150):
         paras = []
         for p in range(3):
-            langs = rng.sample(lg.LANGUAGES, rng.choice([1, 1, 2]))
-            paras.append(" ".join(sentence(rng, x) for x in langs) + f" ({sentence(rng, rng.choice(lg.LANGUAGES))})")
+            langs = rng.sample(LANGUAGES, rng.choice([1, 1, 2]))
+            paras.append(" ".join(sentence(rng, x) for x in langs) + f" ({sentence(rng, rng.choice(LANGUAGES))})")
             want |= {(i, p, x) for x in langs}
         rows.append((i, "\n \n".join(paras), "x", "y"))
     out = lg.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, row string"), "doc_id", "text", filters)
@@ -55,15 +57,33 @@ def test_held_out(spark, filters):
 
 
 def test_odd_texts(spark, filters):
-    texts = [None, "", "   ", "\n\n\n", "...", "Ja. Nein.", "(" + sentence(random.Random(1), "de") + ")", "12 34 56 78 90.", "zzz qqq xxx kkk.", ("Die Regierung verlangt neue Brücken. " * 20000)]
+    rng = random.Random(1)
+    texts = [None, "", "   ", "\n\n\n", "...", "Mit Regierung. Nicht.", "(" + sentence(rng, "de") + ")", "12 34 56 78 90.", "zzz qqq xxx kkk.", ("Die Regierung verlangt neue Brücken. " * 20000),
+             "Rząd postanowił wczoraj zwiększyć wydatki.", "Zzz qqq xxx kkk. " + sentence(rng, "fr")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {(r["doc_id"], r["para_no"], r["lang"], r["n_sentences"]) for r in lg.languages(df, "doc_id", "text", filters).collect()}
-    assert got == {(9, 0, "de", 20000)}
+    out = lg.languages(df, "doc_id", "text", filters)
+    got = {(r["doc_id"], r["para_no"], r["lang"], r["n_sentences"], r["doc_lang"]) for r in out.collect()}
+    # Every document has a row; short sentences and bracketed text are told as a whole; what is in no known language is null.
+    want = {(i, p, None, 0, None) for i in (0, 1, 2, 4, 7, 8, 10) for p in (0,)} | {(5, 0, "de", 0, "de"), (6, 0, "de", 0, "de"), (9, 0, "de", 20000, "de"), (11, 0, "fr", 1, "fr")}
+    assert {x for x in got if x[0] != 3} == want and {x[2:] for x in got if x[0] == 3} == {(None, 0, None)}
     assert lg.languages(df.limit(0), "doc_id", "text", filters).count() == 0
     assert lg.pieces("a\nb\n\n \n\nc\r\n\r\nd") == ["a\nb", "c", "d"] and lg.sentences("A b c- \nd (x y z q) [e. f]! ¿G h?")[0] == ["a", "b", "cd"]
     assert lg.fit(spark.createDataFrame([], "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").slices.sum() == 0
 
 
+def test_languages_come_from_the_labels(spark):
+    rng = random.Random(8)
+    made = {f"{a}{b}": [f"{a}{b}" + "".join(rng.choices("abcdefghij", k=5)) for _ in range(30)] for a in "vw" for b in "klmnop"}  # twelve languages
+    rows = [(i, " ".join(rng.choices(made[k], k=9)).capitalize() + ".", k) for i, k in enumerate(k for k in made for _ in range(40))]
+    df = spark.createDataFrame([*rows, (9000, "Klong.", "zz")], "doc_id bigint, text string, lang string")
+    f = lg.fit(df, "doc_id", "text", "lang")
+    assert f.languages == sorted(made)  # 'zz' has one document only
+    got = {r["doc_id"]: r["lang"] for r in lg.languages(df, "doc_id", "text", f).collect()}
+    assert all(got[i] == k for i, _, k in rows) and got[9000] is None
+    none = lg.fit(df.withColumn("lang", F.lit(None).cast("string")), "doc_id", "text", "lang")
+    assert none.languages == [] and {r["lang"] for r in lg.languages(df, "doc_id", "text", none).collect()} == {None}
+
+
 DOCS = "doc_id bigint, source string, text string, rate string, copy_no string"
 
 
