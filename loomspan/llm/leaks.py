@@ -2,14 +2,17 @@
 
 Each task turns its documents into numbers of words (whole texts; words that no
 evaluation text has are 0) and sorts the places in them by what follows: a
-suffix array of a shard.  Every suffix of every evaluation text is looked up in
-it by binary search, which gives its longest verbatim match in the shard and
-all places where it starts to match.  Places that share a telling stretch with
-an evaluation text are then aligned with it, word by word, so that a passage is
-found in spite of words that are misspelt, missing or replaced.
-
-Documents are never shuffled.  Evaluation texts are sent to the tasks in blocks
-of bounded size, one block after another.
+suffix array of a shard, built once.  Every suffix of every evaluation text is
+looked up in it by binary search, which gives its longest verbatim match in the
+shard, however long, and all places where it starts to match.  Places that share
+a telling stretch with an evaluation text are then aligned with it, word by
+word, so that a passage is found in spite of words that are misspelt, missing or
+replaced.
+
+Documents are read once and never shuffled.  Evaluation texts are sent to the
+tasks in blocks of bounded size, all of which are held against each shard.  What
+counts as telling is worked out over all evaluation texts beforehand, so the
+result doesn't depend on blocks, shards or the order of rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,23 +49,26 @@ BLOCK_CHARS, SHARD_WORDS = 1_000_000, 2_000_000
 # Letters that have no decomposition into a plain one and an accent.
 _LETTERS = {"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d"}
 _ACCENTS = re.compile("[\u0300-\u036f]+")
+_BROKEN, _BRACKETS, _WORD = re.compile(r"(\w)[-\u00ad\u2010]\s*\n\s*(?=\w)"), re.compile(r"\([^()]*\)|\[[^\[\]]*\]"), re.compile(r"[^\W_]+")
 
 
 def plain_words(text: str | None) -> list[str]:
     """Words without case, accents and punctuation, hyphens at line ends undone, bracketed parts left out."""
     if not text:
         return []
-    text = re.sub(r"(\w)[-­‐]\s*\n\s*(?=\w)", r"\1", text)
-    text = re.sub(r"\([^()]*\)|\[[^\[\]]*\]", " ", text)
+    text = _BROKEN.sub(r"\1", text)
+    if "(" in text or "[" in text:
+        text = _BRACKETS.sub(" ", text)
     text = text.lower()
     if not text.isascii():
         for a, b in _LETTERS.items():
             if a in text:
                 text = text.replace(a, b)
         text = _ACCENTS.sub("", unicodedata.normalize("NFD", text))
-    return re.findall(r"[^\W_]+", text)
+    return _WORD.findall(text)
 
 
+@lru_cache(maxsize=1 << 18)
 def near(a: str, b: str) -> bool:
     """Whether one word may be a misspelling of the other; numbers may not."""
     if a == b:
@@ -76,58 +84,68 @@ def near(a: str, b: str) -> bool:
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the known words in ``words``, sorted by the ``depth`` words from there on; by doubling of ranks."""
+    """Places of the known words in ``words``, sorted by the ``depth`` words from there on at least; by doubling of ranks."""
     n = len(words)
     rank = words.astype(np.int64)
-    k = 1
-    while k < depth:
+    k, different = 1, 0
+    while k < depth and n:
         after = np.zeros(n, dtype=np.int64)
         after[: n - k] = rank[k:] + 1 if k < n else 0
-        key = rank * (int(after.max()) + 1 if n else 1) + after
-        order = np.argsort(key, kind="stable")
+        key = rank * (int(after.max()) + 1) + after
+        order = np.argsort(key)
         ranks = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        new = np.empty(n, dtype=np.int64)
-        new[order] = ranks
-        rank = new
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = ranks
         k *= 2
-        if ranks[-1] == n - 1:
+        if ranks[-1] == n - 1 or ranks[-1] == different:  # all are told apart, or nothing more ever will be
             break
+        different = ranks[-1]
     places = np.flatnonzero(words > 0)
-    return places[np.argsort(rank[places], kind="stable")]
+    return places[np.argsort(rank[places])]
 
 
-def look_up(words: np.ndarray, array: np.ndarray, queries: np.ndarray, upper: bool) -> np.ndarray:
-    """Where each row of ``queries`` belongs in the suffix array; negative entries of a row count as a common end."""
-    width = queries.shape[1]
-    padded = np.concatenate((words, np.zeros(width, dtype=words.dtype)))
-    lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(array), np.int64)
-    steps = np.arange(width)
-    while (open_ := lo < hi).any():
-        rows = np.flatnonzero(open_)
+#: Words compared at a time.
+_STEP = 32
+
+
+def common_length(words: np.ndarray, at: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many words from each place ``at`` are those of ``flat`` from ``start`` on, up to ``length``.
+
+    Both arrays end in a word that is none of the other's.
+    """
+    out = np.zeros(len(at), dtype=np.int64)
+    rows, off, steps = np.arange(len(at)), 0, np.arange(_STEP)
+    while len(rows):
+        a = words[np.minimum(at[rows][:, None] + off + steps, len(words) - 1)]
+        b = flat[np.minimum(start[rows][:, None] + off + steps, len(flat) - 1)]
+        differ = (a != b) | (off + steps >= length[rows][:, None])
+        first = np.argmax(differ, axis=1)
+        ended = differ[np.arange(len(rows)), first]
+        out[rows] += np.where(ended, first, _STEP)
+        rows, off = rows[~ended], off + _STEP
+    return out
+
+
+def look_up(words: np.ndarray, array: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
+    """Where the words of ``flat`` from each ``start`` belong in the suffix array: before or (``upper``) after the places that begin with them."""
+    lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(array), np.int64)
+    while (rows := np.flatnonzero(lo < hi)).size:
         mid = (lo[rows] + hi[rows]) // 2
-        there, own = padded[array[mid][:, None] + steps], queries[rows]
-        other = (there != own) & (own >= 0)
-        first = np.argmax(other, axis=1)
-        at = np.arange(len(rows))
-        differs = other[at, first]
-        go_on = np.where(differs, there[at, first] < own[at, first], upper)
+        same = common_length(words, array[mid], flat, start[rows], length[rows])
+        there, own = words[np.minimum(array[mid] + same, len(words) - 1)], flat[np.minimum(start[rows] + same, len(flat) - 1)]
+        go_on = np.where(same == length[rows], upper, there < own)
         lo[rows] = np.where(go_on, mid + 1, lo[rows])
         hi[rows] = np.where(go_on, hi[rows], mid)
     return lo
 
 
-def longest_matches(words: np.ndarray, array: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Length of the longest verbatim match of each query in the shard: with one of its two neighbours."""
-    at = look_up(words, array, queries, False)
-    width = queries.shape[1]
-    padded = np.concatenate((words, np.zeros(width, dtype=words.dtype)))
-    best = np.zeros(len(queries), np.int64)
+def longest_matches(words: np.ndarray, array: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Length of the longest verbatim match of each suffix in the shard: with one of its two neighbours."""
+    at = look_up(words, array, flat, start, length, False)
+    best = np.zeros(len(start), np.int64)
     for side in (at - 1, at):
-        ok = (side >= 0) & (side < len(array))
-        there = padded[array[np.clip(side, 0, max(0, len(array) - 1))][:, None] + np.arange(width)] if len(array) else np.zeros_like(queries)
-        same = (there == queries) & (queries > 0)
-        length = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
-        best = np.maximum(best, np.where(ok, length, 0))
+        ok = np.flatnonzero((side >= 0) & (side < len(array)))
+        best[ok] = np.maximum(best[ok], common_length(words, array[side[ok]], flat, start[ok], length[ok]))
     return best
 
 
@@ -215,36 +233,55 @@ def outward(doc: list[str], item: list[str], start: tuple, end: tuple, hits: int
     return out
 
 
+def _long_texts(rows: list[tuple]) -> Iterator[tuple]:
+    """(item, words) of the parts of evaluation rows that are long enough to hold a passage."""
+    for item, *parts in rows:
+        for part in parts:
+            w = plain_words(part)
+            if len(w) >= WORDS:
+                yield item, w
+
+
 class Items:
-    """A block of evaluation texts as numbers of words, sent to the tasks."""
+    """A block of evaluation texts as numbers of words; ``common`` are the words that tell nothing."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], number: dict[str, int], common: frozenset):
         self.texts, self.owner = [], []
-        for item, *parts in rows:
-            for part in parts:
-                w = plain_words(part)
-                if len(w) >= WORDS:
-                    self.texts.append(w)
-                    self.owner.append(item)
-        count: dict[str, int] = {}
-        for w in self.texts:
-            for x in set(w):
-                count[x] = count.get(x, 0) + 1
-        self.number = {w: k + 1 for k, w in enumerate(sorted(count))}
-        self.telling = {w for w, c in count.items() if c <= max(1, len(self.texts) * TELLING)}
-        self.start = [(t, j) for t, w in enumerate(self.texts) for j in range(len(w))]
-        self.depth = min(64, max((len(w) for w in self.texts), default=1))
-
-    def suffixes(self, width: int) -> np.ndarray:
-        out = np.zeros((len(self.start), width), dtype=np.int32)
-        coded = [np.array([self.number[x] for x in w], dtype=np.int32) for w in self.texts]
-        for r, (t, j) in enumerate(self.start):
-            part = coded[t][j : j + width]
-            out[r, : len(part)] = part
-        return out
+        for item, w in _long_texts(rows):
+            self.owner.append(item)
+            self.texts.append(w)
+        self.telling = {x for w in self.texts for x in w} - common
+        self.coded = [np.array([number[x] for x in w], dtype=np.int32) for w in self.texts]
+        self.flat = np.concatenate([*self.coded, np.full(1, -1, dtype=np.int32)])
+        sizes = [len(w) for w in self.texts]
+        ends = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
+        self.start = np.arange(int(sum(sizes)))
+        self.text_of = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = self.start - np.repeat(ends - sizes, sizes)
+        self.length = np.repeat(ends, sizes) - self.start
+        tells = np.array([x in self.telling for w in self.texts for x in w], dtype=bool)
+        self.seeded = np.zeros(len(tells), dtype=bool)
+        for k in range(SEED):
+            self.seeded[: len(tells) - k] |= tells[k:]
+        self.seeded &= self.length >= SEED
+
+
+class Shard:
+    """Documents of a shard, and the suffix array of their words."""
+
+    def __init__(self, docs: list[tuple], number: dict[str, int], depth: int):
+        self.docs, parts, begins, at = docs, [], [], 0
+        for _, w in docs:
+            begins.append(at)
+            parts.append(np.fromiter(map(number.get, w, repeat(0)), dtype=np.int32, count=len(w)))
+            parts.append(np.zeros(1, dtype=np.int32))  # nothing matches across documents
+            at += len(w) + 1
+        self.words, self.begins = np.concatenate(parts), np.array(begins)
+        self.array = suffix_array(self.words, depth)
 
 
 def _shards(batches: Iterator[pd.DataFrame], doc: str, text: str):
+    """Documents in lists of about SHARD_WORDS words; shorter ones than half a passage can't hold one, as MOST_MISSES of its words may miss."""
     docs, size = [], 0
     for b in batches:
         for d, t in zip(b[doc], b[text]):
@@ -260,83 +297,113 @@ def _shards(batches: Iterator[pd.DataFrame], doc: str, text: str):
         yield docs
 
 
-def _search(items: Items, docs: list[tuple]) -> list[tuple]:
-    get = items.number.get
-    parts, begins, at = [], [], 0
-    for _, w in docs:
-        begins.append(at)
-        parts.append(np.fromiter((get(x, 0) for x in w), dtype=np.int32, count=len(w)))
-        parts.append(np.zeros(1, dtype=np.int32))  # nothing matches across documents
-        at += len(w) + 1
-    words, begins = np.concatenate(parts), np.array(begins)
-    array = suffix_array(words, items.depth)
-    if not len(array):
+def _verbatim(doc: np.ndarray, item: np.ndarray, shifts: set[int]) -> tuple[int, int, int]:
+    """(length, place in doc, place in item) of the longest stretch that is the same in both, on these diagonals."""
+    best = (0, 0, 0)
+    for shift in sorted(shifts):
+        j0, j1 = max(0, -shift), min(len(item), len(doc) - shift)
+        same = np.concatenate(([False], doc[j0 + shift : j1 + shift] == item[j0:j1], [False]))
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        if len(turns):
+            runs = turns[1::2] - turns[::2]
+            k = int(np.argmax(runs))
+            if runs[k] > best[0]:
+                best = (int(runs[k]), int(turns[2 * k]) + j0 + shift, int(turns[2 * k]) + j0)
+    return best
+
+
+def _search(shard: Shard, items: Items) -> list[tuple]:
+    words, array = shard.words, shard.array
+    if not len(array) or not len(items.start):
         return []
-    full = items.suffixes(items.depth)
-    longest = longest_matches(words, array, full)
-    telling = np.array([bool(items.telling & set(items.texts[t][j : j + SEED])) and j + SEED <= len(items.texts[t]) for t, j in items.start])
+    longest = longest_matches(words, array, items.flat, items.start, items.length)
     # A seed is the first SEED words of a suffix, or the first LONG_SEED; the rest may be anything.
     seeds: dict[tuple, set] = {}
-    for length, rows in ((SEED, np.flatnonzero(telling & (longest >= SEED))), (LONG_SEED, np.flatnonzero(longest >= LONG_SEED))):
+    for size, rows in ((SEED, np.flatnonzero(items.seeded & (longest >= SEED))), (LONG_SEED, np.flatnonzero(longest >= LONG_SEED))):
         if not len(rows):
             continue
-        q = full[rows][:, :length].astype(np.int64)
-        lo, hi = look_up(words, array, q, False), look_up(words, array, q, True)
+        length = np.full(len(rows), size)
+        lo, hi = (look_up(words, array, items.flat, rows, length, upper) for upper in (False, True))
         for r, a, b in zip(rows, lo, hi):
-            t, j = items.start[r]
-            places = array[a:b]
-            for d, p in zip(np.searchsorted(begins, places, side="right") - 1, places):
-                # Seeds of one alignment are near the same diagonal.
-                seeds.setdefault((int(d), t), set()).add((int(p - begins[d]) - j) // (BAND // 2))
+            t, j, places = int(items.text_of[r]), int(items.place[r]), array[a:b]
+            of_doc = np.searchsorted(shard.begins, places, side="right") - 1
+            for d, shift in zip(of_doc.tolist(), (places - shard.begins[of_doc] - j).tolist()):
+                seeds.setdefault((d, t), set()).add(shift)
     found = []
-    for (d, t), diagonals in seeds.items():
-        doc, w = docs[d][1], items.texts[t]
+    for (d, t), shifts in seeds.items():
+        doc, w = shard.docs[d][1], items.texts[t]
         best = (0, 0.0, 0.0)
-        for k in sorted(diagonals):
-            lo = k * (BAND // 2)
-            for got in align(doc, w, lo + BAND // 4, items.telling):
+        # Seeds of one alignment are near the same diagonal.
+        for k in sorted({shift // (BAND // 2) for shift in shifts}):
+            for got in align(doc, w, k * (BAND // 2) + BAND // 4, items.telling):
                 if got[0] >= WORDS and got[1] >= TELLING_SHARE and got[2] <= MOST_MISSES:
                     best = max(best, got)
         if best[0] >= WORDS:
-            found.append((docs[d][0], items.owner[t], best[0], best[1]))
+            coded = words[shard.begins[d] : shard.begins[d] + len(doc)]
+            found.append((shard.docs[d][0], items.owner[t], best[0], best[1], *_verbatim(coded, items.coded[t], shifts)))
     return found
 
 
 def leaks(documents: DataFrame, doc: str, text: str, evaluation: DataFrame, item: str, parts: list[str]) -> DataFrame:
-    """(doc, item_id, n_words, telling_share) of each document that holds a passage of an evaluation text.
+    """(doc, item_id, n_words, telling_share, verbatim, doc_word, item_word) of each document that holds a passage of an evaluation text.
 
     A passage is WORDS words or more in a row of one of ``parts``, in which at
     least TELLING_SHARE of the telling words (those of few evaluation texts:
     names, numbers) are found, and no more than MOST_MISSES of the words are
-    missing, replaced or put in; a misspelt word is no miss.
+    missing, replaced or put in; a misspelt word is no miss.  ``verbatim`` is
+    the length of the longest stretch that is the same word for word, and the
+    words (from 0) at which it starts in the document and in the part.
     Evaluation texts shorter than that have no passage.  Null and empty texts
     match nothing; repeated documents and items give repeated ids once; an
     empty table on either side gives no rows.
     """
     spark = documents.sparkSession
     kind, item_kind = documents.schema[doc].dataType.simpleString(), evaluation.schema[item].dataType.simpleString()
-    schema = f"`{doc}` {kind}, item_id {item_kind}, n_words int, telling_share double"
-    out = None
-    for rows in _blocks(evaluation.select(item, *parts)):
-        block = spark.sparkContext.broadcast(Items(rows))
-
-        def find(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            for docs in _shards(batches, doc, text):
-                yield pd.DataFrame(_search(block.value, docs), columns=[doc, "item_id", "n_words", "telling_share"])
-
-        part = documents.select(doc, text).where(F.col(text).isNotNull()).mapInPandas(find, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    schema = f"`{doc}` {kind}, item_id {item_kind}, n_words int, telling_share double, verbatim int, doc_word int, item_word int"
+    known = evaluation.select(item, *parts).where(F.col(item).isNotNull())
+    common = _common_words(known)
+    blocks = [spark.sparkContext.broadcast(rows) for rows in _blocks(known)]
+    if not blocks:
         return spark.createDataFrame([], schema)
-    return out.groupBy(doc, "item_id").agg(F.max("n_words").alias("n_words"), F.max("telling_share").alias("telling_share"))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number: dict[str, int] = {}
+        depth, made = 1, None
+        for b in blocks:
+            for _, w in _long_texts(b.value):
+                depth = max(depth, len(w))
+                for x in w:
+                    number.setdefault(x, len(number) + 1)
+        for docs in _shards(batches, doc, text):
+            shard = Shard(docs, number, depth)
+            for b in blocks:
+                items = made if made is not None else Items(b.value, number, common)
+                made = items if len(blocks) == 1 else None
+                yield pd.DataFrame(_search(shard, items), columns=[doc, "item_id", "n_words", "telling_share", "verbatim", "doc_word", "item_word"])
+
+    out = documents.select(doc, text).where(F.col(text).isNotNull()).mapInPandas(find, schema)
+    best = F.max(F.struct("n_words", "telling_share")).alias("best"), F.max(F.struct("verbatim", F.negative("doc_word").alias("d"), F.negative("item_word").alias("i"))).alias("where")
+    return out.groupBy(doc, "item_id").agg(*best).select(doc, "item_id", "best.*", "where.verbatim", F.negative("where.d").alias("doc_word"), F.negative("where.i").alias("item_word"))
+
+
+def _common_words(evaluation: DataFrame) -> frozenset:
+    """Words that more than TELLING of all evaluation texts have: at most 1 / TELLING times the words of a text."""
+
+    def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, w in _long_texts(list(b.itertuples(index=False, name=None))):
+                yield pd.DataFrame({"word": ["", *sorted(set(w))]})  # the empty word counts the texts
+
+    counts = evaluation.mapInPandas(of_texts, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = F.max(F.when(F.col("word") == "", F.col("n")))
+    texts = counts.agg(total).first()[0] or 0
+    return frozenset(r["word"] for r in counts.where((F.col("word") != "") & (F.col("n") > max(1, texts * TELLING))).collect())
 
 
 def _blocks(evaluation: DataFrame) -> Iterator[list[tuple]]:
     """Evaluation rows in blocks of at most BLOCK_CHARS characters (and one row)."""
     rows, size = [], 0
     for r in evaluation.toLocalIterator():
-        if r[0] is None:
-            continue
         n = sum(len(x or "") for x in r[1:])
         if rows and size + n > BLOCK_CHARS:
             yield rows

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from loomspan.llm import leaks as lk
 
@@ -31,8 +32,11 @@ def test_leaks(spark, monkeypatch):
     for chars in (lk.BLOCK_CHARS, 100):  # one block of evaluation texts, or many
         monkeypatch.setattr(lk, "BLOCK_CHARS", chars)
         found = lk.leaks(docs, "id", "text", items, "item", ["prompt", "answer"])
-        got = [(r["id"], r["item_id"]) for r in found.collect()]
+        rows = found.collect()
+        got = [(r["id"], r["item_id"]) for r in rows]
         assert len(got) == len(set(got)) and set(got) == want
+        where = {(r["id"], r["item_id"]): (r["verbatim"], r["doc_word"], r["item_word"]) for r in rows}
+        assert where[1, 1] == (22, 1, 0) and where[4, 1] == (13, 0, 5) and where[10, 3][1:] == (5000, 0) and where[6, 1][0] == 7
     clean = lk.without_leaks(docs, "id", found)
     assert sorted(r["id"] for r in clean.collect()) == [3, 5, 8, 9, 12]
     assert lk.leaks(docs.limit(0), "id", "text", items, "item", ["prompt"]).count() == 0 and lk.leaks(docs, "id", "text", items.limit(0), "item", ["prompt"]).count() == 0
@@ -41,36 +45,57 @@ def test_leaks(spark, monkeypatch):
 def test_suffix_array_and_look_up():
     rng = random.Random(4)
     for _ in range(40):
-        n = rng.randrange(1, 60)
-        w = np.array([rng.randrange(0, 4) for _ in range(n)], dtype=np.int32)
-        depth = rng.choice([1, 2, 5, 8])
-        a = lk.suffix_array(w, 64)
+        n = rng.choice([rng.randrange(1, 60), 200])
+        w = np.array([*(rng.randrange(0, 4) for _ in range(n)), 0], dtype=np.int32)
+        if n == 200:
+            w[100:200] = w[:100] = np.maximum(w[:100], 1)  # a match longer than a step of comparison
+        a = lk.suffix_array(w, 256)
         key = lambda p: list(w[p:])
         assert [key(p) for p in a] == sorted(key(p) for p in range(n) if w[p] > 0)
-        q = np.array([[rng.randrange(1, 4) for _ in range(depth)] for _ in range(10)], dtype=np.int64)
-        lo, hi = lk.look_up(w, a, q, False), lk.look_up(w, a, q, True)
-        for r in range(10):
-            assert sorted(a[lo[r] : hi[r]]) == [p for p in range(n) if list(w[p : p + depth]) == list(q[r])]
-        best = lk.longest_matches(w, a, q)
-        for r in range(10):
-            m = max((next((k for k in range(depth) if p + k >= n or w[p + k] != q[r][k]), depth) for p in range(n)), default=0)
-            assert best[r] == m
+        depth = rng.choice([1, 2, 5, 8])
+        q = [[rng.randrange(1, 4) for _ in range(depth)] for _ in range(10)] + [w[:100].tolist() if n == 200 else [1]]
+        flat, length = np.array([*(x for r in q for x in r), -1], dtype=np.int32), np.array([len(r) for r in q])
+        start = np.cumsum(length) - length
+        lo, hi = (lk.look_up(w, a, flat, start, length, upper) for upper in (False, True))
+        best = lk.longest_matches(w, a, flat, start, length)
+        for r, x in enumerate(q):
+            assert sorted(a[lo[r] : hi[r]]) == [p for p in range(n) if w[p : p + len(x)].tolist() == x]
+            assert best[r] == max((next((k for k in range(len(x)) if p + k >= n or w[p + k] != x[k]), len(x)) for p in range(n)), default=0)
 
 
-def test_shards_give_the_same(monkeypatch):
-    items = lk.Items([tuple(r) for r in ITEMS if r[0]])
-    import pandas as pd
+def search(docs, rows, common=frozenset()):
+    number = {}
+    for _, w in lk._long_texts(rows):
+        for x in w:
+            number.setdefault(x, len(number) + 1)
+    return lk._search(lk.Shard(docs, number, 64), lk.Items(rows, number, common)) if docs else []
 
+
+def test_shards_give_the_same(monkeypatch):
+    rows = [tuple(r) for r in ITEMS if r[0]]
     b = pd.DataFrame([(d, t) for d, t, _ in DOCS], columns=["id", "text"])
-    whole = {x[:2] for s in lk._shards(iter([b]), "id", "text") for x in lk._search(items, s)}
+    whole = {x[:2] for s in lk._shards(iter([b]), "id", "text") for x in search(s, rows)}
     monkeypatch.setattr(lk, "SHARD_WORDS", 30)
-    assert {x[:2] for s in lk._shards(iter([b]), "id", "text") for x in lk._search(items, s)} == whole
+    assert {x[:2] for s in lk._shards(iter([b]), "id", "text") for x in search(s, rows)} == whole
+
+
+def test_telling_words_are_those_of_all_texts(spark, monkeypatch):
+    # A word of 3 of 400 texts is common, one of 2 is not, whatever the blocks.
+    filler = [f"w{i}" for i in range(12)]
+    rows = [(k, " ".join([*(f"{w}x{k}" for w in filler), *(["three"] if k < 3 else []), *(["two"] if k in (0, 399) else []), "all"]), None) for k in range(400)]
+    df = spark.createDataFrame(rows, "item bigint, prompt string, answer string").repartition(5)
+    assert lk._common_words(df) == {"three", "all"}
+    found = []
+    docs = spark.createDataFrame([(k, "so " + r[1]) for k, r in enumerate(rows[::40])], "id bigint, text string")
+    for chars in (lk.BLOCK_CHARS, 2000):
+        monkeypatch.setattr(lk, "BLOCK_CHARS", chars)
+        found.append(sorted(map(tuple, lk.leaks(docs, "id", "text", df, "item", ["prompt", "answer"]).collect())))
+    assert found[0] == found[1] and [(r[0], r[1]) for r in found[0]] == [(k, 40 * k) for k in range(10)]
 
 
 def found_in(texts, item):
-    items = lk.Items([(1, item, None), *[tuple(r) for r in ITEMS[1:3]]])
     docs = [(k, lk.plain_words(t)) for k, t in enumerate(texts)]
-    return {d for d, *_ in lk._search(items, docs)}
+    return {d for d, *_ in search(docs, [(1, item, None), *[tuple(r) for r in ITEMS[1:3]]])}
 
 
 def test_a_misfit_at_each_place_of_a_short_passage():
