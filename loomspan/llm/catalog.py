@@ -24,6 +24,12 @@ def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
     return _entities(spark, folder)
 
 
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The form that each spelling is attached to, by their representative nodes; p2_entities has the membership."""
+    out = names.variant_links(table(spark, folder, "node"), table(spark, folder, "entity").select("entity_name", "entity_type"), table(spark, folder, "name_alias"))
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 # ---- p3: items that appear together ------------------------------------------
 SENTENCE = ["article_id", "sentence_index"]
 
@@ -144,7 +150,7 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("confidence", "doc_confidence")})
 
 
-QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities,
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p2_links": p2_links,
     "p3_found": p3_found, "p3_pairs_updated": p3_pairs_updated, "p5_found": p5_found, "p5_frequencies": p5_frequencies,
     "p8_found": p8_found, "p8_clean": p8_clean, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }

@@ -398,18 +398,40 @@ def _pair_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import math
-
+    """Pairs that are likely enough, with the log likelihood of the lesser form given the more complete, else more frequent one."""
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
             rare = frozenset(r.rare_a) | frozenset(r.rare_b)
-            ra, rb = (completeness(r.kind, r.name_a), r.freq_a, r.unit_a), (completeness(r.kind, r.name_b), r.freq_b, r.unit_b)
-            (v, c) = ("a", "b") if ra < rb else ("b", "a")
-            x = likelihood(r.kind, getattr(r, f"name_{v}"), getattr(r, f"name_{c}"), bool(r.nick), rare)
+            full_a, full_b = completeness(r.kind, r.name_a), completeness(r.kind, r.name_b)
+            a_first = (full_a, r.freq_a, r.unit_a) < (full_b, r.freq_b, r.unit_b)
+            v, c = (r.name_a, r.name_b) if a_first else (r.name_b, r.name_a)
+            x = likelihood(r.kind, v, c, bool(r.nick), rare)
             if x is not None and x >= LEAST:
-                rows.append((getattr(r, f"unit_{v}"), getattr(r, f"unit_{c}"), x + math.log(1.0 + getattr(r, f"freq_{c}"))))
-        yield pd.DataFrame(rows, columns=["unit", "parent", "weight"])
+                rows.append((r.unit_a, r.unit_b, full_a, full_b, r.freq_a, r.freq_b, x))
+        yield pd.DataFrame(rows, columns=["unit_a", "unit_b", "full_a", "full_b", "freq_a", "freq_b", "likelihood"])
+
+
+def attachments(scored: DataFrame) -> DataFrame:
+    """(unit, parent, weight): the form of greatest posterior that each spelling is attached to; spellings without one have no row.
+
+    Spellings are ranked as canonical forms by completeness, then frequency, and
+    among equals by the evidence that others are variants of them: the sum of
+    the likelihoods of all spellings linked to them, each by its frequency.  So
+    of several rare spellings the one in their midst comes first.  A spelling is
+    attached to forms ranked above it only, so there are no circles.
+    """
+    sides = [F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("unit", "full", "freq")]) for x in "ab"]
+    ends = scored.select(F.explode(F.array(F.struct(sides[0].alias("own"), sides[1].alias("other")), F.struct(sides[1].alias("own"), sides[0].alias("other")))).alias("e"), "likelihood")
+    ends = ends.select("e.own", "e.other", "likelihood")
+    support = ends.groupBy(F.col("own.unit").alias("unit")).agg(F.round(F.sum(F.exp("likelihood") * (1 + F.col("other.freq"))), 9).alias("support"))
+    known = ends.select(F.col("own.unit").alias("unit"), "own", "other", "likelihood").join(support, "unit")
+    known = known.join(support.select(F.col("unit").alias("other_unit"), F.col("support").alias("other_support")), F.col("other.unit") == F.col("other_unit"))
+    rank = lambda x, support: F.struct(F.col(f"{x}.full").alias("full"), F.col(f"{x}.freq").alias("freq"), F.col(support).alias("support"), F.negative(F.col(f"{x}.unit")).alias("first"))
+    above = known.where(rank("other", "other_support") > rank("own", "support"))
+    weight = F.col("likelihood") + F.log(1.0 + F.col("other.freq"))
+    best = F.max(F.struct(weight.alias("weight"), F.col("other_support").alias("support"), F.negative("other_unit").alias("p")))
+    return above.groupBy("unit").agg(best.alias("b")).select("unit", F.negative("b.p").alias("parent"), "b.weight")
 
 
 def _givens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -459,8 +481,8 @@ def _folded(name: str):
     return F.regexp_replace(plain, "([aou])e", "$1")
 
 
-def variant_entities(nodes: DataFrame, mentions: DataFrame, alias: DataFrame, generic: int = GENERIC) -> DataFrame:
-    """(node, entity): nodes that stand for the same entity share ``entity`` (the least of their ids).
+def _linked(nodes: DataFrame, mentions: DataFrame, alias: DataFrame, generic: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes with their spellings, the spellings, and what each is attached to.
 
     ``nodes`` has node, entity_name, entity_type; ``mentions`` has entity_name
     and entity_type (one row per mention, for the prior; may be empty); ``alias``
@@ -506,11 +528,28 @@ def variant_entities(nodes: DataFrame, mentions: DataFrame, alias: DataFrame, ge
     given = lambda s: givens.select(F.col("unit").alias(f"unit_{s}"), F.col("given").alias(f"given_{s}"))
     wide = pairs.join(side("a"), "unit_a").join(side("b"), "unit_b").join(given("a"), "unit_a", "left").join(given("b"), "unit_b", "left")
     wide = wide.join(nick.withColumn("nick", F.lit(True)), (F.col("given_a") == F.col("s")) & (F.col("given_b") == F.col("f")), "left").withColumn("nick", F.coalesce("nick", F.lit(False)))
-    scored = wide.select("kind", "unit_a", "name_a", "freq_a", "rare_a", "unit_b", "name_b", "freq_b", "rare_b", "nick").mapInPandas(_score, "unit bigint, parent bigint, weight double")
-    best = scored.groupBy("unit").agg(F.max(F.struct("weight", F.negative("parent").alias("p"))).alias("b")).select("unit", F.negative("b.p").alias("parent"))
+    scored = wide.select("kind", "unit_a", "name_a", "freq_a", "rare_a", "unit_b", "name_b", "freq_b", "rare_b", "nick").mapInPandas(
+        _score, "unit_a bigint, unit_b bigint, full_a int, full_b int, freq_a bigint, freq_b bigint, likelihood double")
+    best = staged(attachments(staged(scored, "scored")), "attached")
+    return parsed, member, best
+
 
+def variant_links(nodes: DataFrame, mentions: DataFrame, alias: DataFrame, generic: int = GENERIC) -> DataFrame:
+    """(node, form, weight): the representative node of each spelling that is attached to another, that of the form, and the log posterior weight.
+
+    A spelling's representative is the least of its nodes.
+    """
+    return _linked(nodes, mentions, alias, generic)[2].select(F.col("unit").alias("node"), F.col("parent").alias("form"), "weight")
+
+
+def variant_entities(nodes: DataFrame, mentions: DataFrame, alias: DataFrame, generic: int = GENERIC) -> DataFrame:
+    """(node, entity): nodes that stand for the same entity share ``entity`` (the representative of its canonical form).
+
+    See ``_linked`` for the tables and odd rows.
+    """
+    parsed, member, best = _linked(nodes, mentions, alias, generic)
     # Parents rank above their children, so there are no circles; each round halves what is left of every way up.
-    up = staged(best, "parents")
+    up = best.select("unit", "parent")
     while True:
         step = up.alias("u").join(up.alias("v"), F.col("u.parent") == F.col("v.unit"), "left")
         step = staged(step.select(F.col("u.unit"), F.coalesce("v.parent", "u.parent").alias("parent"), F.col("v.parent").isNotNull().alias("moved")), "parents")

@@ -116,3 +116,14 @@ def test_nicknames_are_learnt_from_surnames_of_any_size(spark):
         got = {tuple(r) for r in n.nicknames(givens, spark.createDataFrame([], "formal_name string, short_name string")).collect()}
         assert ("leni", "magdalena") in got and ("magdalena", "leni") in got, size
         assert not any("xenia" in x for x in got)
+
+
+def test_equal_spellings_meet_in_their_midst(spark):
+    names = ["Robret Wagner", "Robert Wangner", "Robert Wagner", "Robert Wagneer", "Robert Wagnr", "Anna Li", "A. Li", "Robert Kim", "R. Kim"]
+    nodes = spark.createDataFrame([(i, x, "PER") for i, x in enumerate(names)], "node bigint, entity_name string, entity_type string")
+    none = spark.createDataFrame([], "entity_name string, entity_type string")
+    alias = spark.createDataFrame([], "formal_name string, short_name string")
+    got = {r["node"]: r["entity"] for r in n.variant_entities(nodes, none, alias).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and got[0] == 2 and got[5] == got[6] and got[7] == got[8] and len(set(got.values())) == 3
+    links = {r["node"]: r["form"] for r in n.variant_links(nodes, none, alias).collect()}
+    assert links == {0: 2, 1: 2, 3: 2, 4: 2, 6: 5, 8: 7}
