@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from loomspan.plans.runtime import staged
 
-#: Numbers in a block of counters; blocks a task holds before it sends them on.
-BLOCK, HELD = 256, 4096
-#: Buckets of the dictionary.
-BUCKETS = 1024
+#: Numbers in a block of counters; blocks a task holds before it sends them on; blocks in a range whose arrays are summed together.
+BLOCK, HELD, RANGE = 256, 4096, 64
+#: Fewest buckets of the dictionary, and values in a bucket, about.
+BUCKETS, BUCKET_VALUES = 1024, 1_000_000
 #: A value in more than this share of the rows is hot, so at most 1 / HOT are; their rows are spread over SALT parts.
 HOT, SALT = 0.001, 64
 
@@ -33,8 +33,10 @@ def dictionary(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("field_value")) for f in fields]))
     v = df.select(cells.alias("c")).select("c.*").where("field_value is not null").groupBy("field_name", "field_value").agg(F.count(F.lit(1)).alias("n"))
-    v = staged(v.withColumn("bucket", F.pmod(F.xxhash64("field_name", "field_value"), F.lit(BUCKETS)).cast("int")), "values")
-    sizes = v.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))  # at most BUCKETS rows
+    v = staged(v, "values")
+    buckets = max(BUCKETS, v.count() // BUCKET_VALUES)
+    v = v.withColumn("bucket", F.pmod(F.xxhash64("field_name", "field_value"), F.lit(buckets)).cast("int"))
+    sizes = v.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))  # a row per bucket
     offset = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("offset"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("field_name", "field_value"))
     return v.join(F.broadcast(offset), "bucket").select((F.col("offset") + place - 1).alias("id"), "field_name", "field_value", "n")
@@ -71,7 +73,9 @@ def _accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _blocks(held: dict[int, np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"block": list(held), "rows": [a[0] for a in held.values()], "records": [a[1] for a in held.values()]})
+    """The counters of blocks that aren't 0, with their slots: what goes on is no more than the values met."""
+    slots = [np.flatnonzero(a[0]).astype(np.int16) for a in held.values()]
+    return pd.DataFrame({"block": list(held), "slots": slots, "rows": [a[0][k] for a, k in zip(held.values(), slots)], "records": [a[1][k] for a, k in zip(held.values(), slots)]})
 
 
 def _sum_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,13 +83,13 @@ def _sum_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     block, sums = None, None
     for b in batches:
         out = []
-        for k, rows, records in zip(b.block, b.rows, b.records):
+        for k, slots, rows, records in zip(b.block, b.slots, b.rows, b.records):
             if k != block:
                 if block is not None:
                     out.append((block, sums))
                 block, sums = k, np.zeros((2, BLOCK), dtype=np.int64)
-            sums[0] += rows
-            sums[1] += records
+            sums[0][slots] += rows
+            sums[1][slots] += records
         yield _flat(out)
     if block is not None:
         yield _flat([(block, sums)])
@@ -113,8 +117,9 @@ def term_frequencies(df: DataFrame, fields: Sequence[str], record: str, rare_bel
     flat = df.select(F.col(record).alias("record"), cells.alias("c")).select("record", "c.*").where("field_value is not null")
     seen = flat.groupBy("field_name", "field_value", "record").agg(F.count(F.lit(1)).alias("rows"))
     coded = encode(seen, words).select("id", "rows", F.col("record").isNotNull().cast("bigint").alias("records"))
-    blocks = coded.mapInPandas(_accumulate, "block bigint, rows array<bigint>, records array<bigint>")
-    summed = blocks.repartitionByRange("block").sortWithinPartitions("block").mapInPandas(_sum_ranges, "id bigint, n_rows bigint, n_records bigint")
+    blocks = coded.mapInPandas(_accumulate, "block bigint, slots array<smallint>, rows array<bigint>, records array<bigint>")
+    # Ranges of numbers are spread by a hash: a partition by sampled limits would work the blocks out twice.
+    summed = blocks.repartition(F.shiftright("block", RANGE.bit_length() - 1)).sortWithinPartitions("block").mapInPandas(_sum_ranges, "id bigint, n_rows bigint, n_records bigint")
     records = df.select(record).where(F.col(record).isNotNull()).distinct().count()
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > F.lit(records * common_above), "common")
     return summed.join(words.select("id", "field_name", "field_value"), "id").select("field_name", "field_value", "n_rows", "n_records", mark.alias("mark"))
