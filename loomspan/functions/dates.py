@@ -76,44 +76,58 @@ def free_text_range(text: Column, ref_date: Column) -> Column:
     altogether it is that of ``ref_date`` (yyyy-MM-dd).  A month or year alone
     stands for all its days.  Days that don't exist make no range.
     """
-    p = _captured(_cleaned(text), _RANGE, _PARTS)
-    got = {n: F.nullif(F.get(p, F.lit(i + 1)), F.lit("")) for i, n in enumerate(_PARTS)}
-    month_no = F.create_map(*[F.lit(x) for i, m in enumerate(calendar.month_name) if m for x in (m.lower(), i)])
-    has = lambda n: got[n].isNotNull()
     ref = F.when(ref_date.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.substring(ref_date, 1, 4).cast("int"))
+    month_no = F.create_map(*[F.lit(x) for i, m in enumerate(calendar.month_name) if m for x in (m.lower(), i)])
 
-    def end(k: str) -> dict[str, Column]:
-        day, month, year = F.coalesce(got[f"a{k}"], got[f"b{k}"]).cast("int"), F.try_element_at(month_no, got[f"m{k}"]), got[f"y{k}"].cast("int")
-        both = has(f"a{k}") & has(f"b{k}")
-        dated = has(f"m{k}") & ~both & (~has(f"pre{k}") | day.isNotNull()) & (~has(f"ago{k}") | (day.isNotNull() & has(f"y{k}")))
-        only_year = has(f"y{k}") & ~has(f"m{k}") & day.isNull() & ~has(f"pre{k}") & ~has(f"ago{k}")
-        # A day with no month, as one side of two days of a month: before a dash, or after it with or without a year.
-        bare = day.isNotNull() & ~both & ~has(f"m{k}") & ~has(f"pre{k}") & ~has(f"ago{k}")
-        return {"d": day, "m": month, "y": year, "now": has(f"now{k}"), "whole": (dated | only_year) & ~has(f"now{k}"), "bare": bare, "plain": ~has(f"pre{k}") & ~has(f"ago{k}")}
-
-    def iso(y: Column, m: Column, d: Column) -> Column:
-        return F.date_format(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
-
-    def first(y: Column, x: dict) -> Column:
-        return iso(y, F.coalesce(x["m"], F.lit(1)), F.coalesce(x["d"], F.lit(1)))
-
-    def last(y: Column, x: dict) -> Column:
-        m = F.coalesce(x["m"], F.lit(12))
-        length = F.dayofmonth(F.last_day(F.try_to_timestamp(F.format_string("%04d-%02d-01", y, m), F.lit("yyyy-MM-dd")).cast("date")))
-        return iso(y, m, F.coalesce(x["d"], length))
-
-    a, b = end("1"), end("2")
-    own = F.coalesce(a["y"], ref)
-    since = F.when(b["now"], a["y"]).otherwise(F.coalesce(a["y"], b["y"], ref))
-    until = F.coalesce(b["y"], F.when(a["y"].isNull(), ref))
-    shared = F.coalesce(b["y"], ref)
-    left_bare = a["bare"] & a["y"].isNull() & b["whole"] & b["plain"] & b["d"].isNotNull()
-    right_bare = a["whole"] & a["plain"] & a["d"].isNotNull() & has("b1") & a["y"].isNull() & b["bare"]
-    pair = (
-        F.when(~has("dash") & a["whole"], F.array(first(own, a), last(own, a)))
-        .when(has("dash") & a["whole"] & b["now"], F.array(first(since, a), F.lit("NOW")))
-        .when(has("dash") & a["whole"] & b["whole"], F.array(first(since, a), last(until, b)))
-        .when(has("dash") & left_bare, F.array(iso(shared, b["m"], a["d"]), iso(shared, b["m"], b["d"])))
-        .when(has("dash") & right_bare, F.array(iso(shared, a["m"], a["d"]), iso(shared, a["m"], b["d"])))
-    )
-    return F.when((F.size(p) > 1) & F.forall(pair, lambda x: x.isNotNull()), pair)
+    def ends(p: Column) -> Column:
+        got = {n: F.nullif(F.get(p, F.lit(i + 1)), F.lit("")) for i, n in enumerate(_PARTS)}
+        has = lambda n: got[n].isNotNull()
+        parts = [has("dash").alias("dash"), (F.size(p) > 1).alias("read"), ref.alias("ref")]
+        for k in "12":
+            parts += [
+                F.coalesce(got[f"a{k}"], got[f"b{k}"]).cast("int").alias(f"d{k}"), F.try_element_at(month_no, got[f"m{k}"]).alias(f"m{k}"), got[f"y{k}"].cast("int").alias(f"y{k}"),
+                has(f"now{k}").alias(f"now{k}"), (has(f"a{k}") & has(f"b{k}")).alias(f"both{k}"), has(f"pre{k}").alias(f"pre{k}"), has(f"ago{k}").alias(f"ago{k}"), has(f"b{k}").alias(f"after{k}"),
+            ]
+        return F.struct(*parts)
+
+    def kinds(e: Column) -> Column:
+        parts = [e[x].alias(x) for x in ("dash", "read", "ref", "d1", "m1", "y1", "d2", "m2", "y2", "now2", "after1")]
+        for k in "12":
+            day, month, year, pre, ago = (e[f"{x}{k}"] for x in ("d", "m", "y", "pre", "ago"))
+            dated = month.isNotNull() & (~pre | day.isNotNull()) & (~ago | (day.isNotNull() & year.isNotNull()))
+            only_year = year.isNotNull() & month.isNull() & day.isNull() & ~pre & ~ago
+            # A day with no month, as one side of two days of a month: before a dash, or after it with or without a year.
+            bare = day.isNotNull() & month.isNull() & ~pre & ~ago
+            parts += [((dated | only_year) & ~e[f"now{k}"] & ~e[f"both{k}"]).alias(f"whole{k}"), (bare & ~e[f"both{k}"]).alias(f"bare{k}"), (~pre & ~ago).alias(f"plain{k}")]
+        return F.struct(*parts)
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+
+    def chosen(e: Column) -> Column:
+        """First and last day as numbers; no day in the last one stands for the end of its month, no year for NOW."""
+        first = lambda y: day(y, F.coalesce(e["m1"], F.lit(1)), F.coalesce(e["d1"], F.lit(1)))
+        last = lambda y, k: day(y, F.coalesce(e[f"m{k}"], F.lit(12)), e[f"d{k}"])
+        nothing = F.lit(None).cast("int")
+        own, since = F.coalesce(e["y1"], e["ref"]), F.coalesce(e["y1"], e["y2"], e["ref"])
+        until, shared = F.coalesce(e["y2"], F.when(e["y1"].isNull(), e["ref"])), F.coalesce(e["y2"], e["ref"])
+        left_bare = e["bare1"] & e["y1"].isNull() & e["whole2"] & e["plain2"] & e["d2"].isNotNull()
+        right_bare = e["whole1"] & e["plain1"] & e["d1"].isNotNull() & e["after1"] & e["y1"].isNull() & e["bare2"]
+        pair = (
+            F.when(~e["read"], None)
+            .when(~e["dash"], F.when(e["whole1"], F.array(first(own), last(own, "1"))))
+            .when(e["whole1"] & e["now2"], F.when(e["y1"].isNotNull(), F.array(first(e["y1"]), day(nothing, nothing, nothing))))
+            .when(e["whole1"] & e["whole2"], F.when(until.isNotNull(), F.array(first(since), last(until, "2"))))
+            .when(left_bare, F.when(shared.isNotNull(), F.array(day(shared, e["m2"], e["d1"]), day(shared, e["m2"], e["d2"]))))
+            .when(right_bare, F.when(shared.isNotNull(), F.array(day(shared, e["m1"], e["d1"]), day(shared, e["m1"], e["d2"]))))
+        )
+        return pair
+
+    def written(x: Column) -> Column:
+        start = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", x["y"], x["m"], F.coalesce(x["d"], F.lit(1))), F.lit("yyyy-MM-dd")).cast("date")
+        return F.when(x["y"].isNull(), F.lit("NOW")).otherwise(F.date_format(F.when(x["d"].isNull(), F.last_day(start)).otherwise(start), "yyyy-MM-dd"))
+
+    # Each step is bound to a variable of a higher-order function, so that it is worked out once.
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    pair = F.transform(let(let(let(_captured(_cleaned(text), _RANGE, _PARTS), ends), kinds), chosen), written)
+    return let(pair, lambda p: F.when(F.forall(p, lambda x: x.isNotNull()) & (p[0] != "NOW"), p))

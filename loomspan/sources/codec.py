@@ -10,11 +10,13 @@ target bits above source bits, in the order of (target, source).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of the format.
 GRAPH_TAG, VECTOR_TAG, VERSION = b"TVGG", b"TVGV", 1
@@ -109,6 +111,39 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, node bigint, weight double")
 
 
+def _write(df: DataFrame, folder: str, suffix: str, encode) -> None:
+    """One file per doc_id, ``<doc_id>.<suffix>``, written by the task that has it; a file that a repeated task writes again is the same."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        store, base = fs.FileSystem.from_uri(folder)
+        name, draft = f"{base}/{pdf.doc_id.iloc[0]}.{suffix}", f"{base}/.{pdf.doc_id.iloc[0]}.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as out:
+            out.write(pa.py_buffer(encode(pdf)))
+        store.move(draft, name)
+        return pd.DataFrame({"n": [1]})
+
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    df.groupBy("doc_id").applyInPandas(write, "n int").agg({"n": "count"}).collect()  # runs the tasks
+
+
+def write_graphs(edges: DataFrame, folder: str, flags: int = 0) -> None:
+    """A file ``<doc_id>.graph`` for the graph of each document of (doc_id, source, target, weight), which a task must hold."""
+    _write(edges.select("doc_id", "source", "target", "weight"), folder, "graph", lambda p: encode_graph(p.source, p.target, p.weight, flags))
+
+
+def write_vectors(vectors: DataFrame, folder: str, flags: int = 0) -> None:
+    """A file ``<doc_id>.vector`` for each vector of (doc_id, node, weight)."""
+    _write(vectors.select("doc_id", "node", "weight"), folder, "vector", lambda p: encode_vector(p.node, p.weight, flags))
+
+
+def id_of(path: str) -> Column:
+    """The doc_id of a file written here."""
+    return F.regexp_extract(F.col(path), r"([^/]+)\.(?:graph|vector)$", 1).cast("bigint")
+
+
 def graphs_as_bytes(edges: DataFrame, flags: int = 0) -> DataFrame:
     """(doc_id, content): the binary form of each document's graph, which is small; for ``foreachPartition`` writers."""
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from loomspan.plans import core_problems, graph_queries
+from loomspan.plans import core_problems, graph_queries, store_queries
 
-CORE = {**graph_queries.QUERIES, **core_problems.QUERIES}
-SQL = {**graph_queries.ORACLES, **core_problems.ORACLES}
+CORE = {**graph_queries.QUERIES, **store_queries.QUERIES, **core_problems.QUERIES}
+SQL = {**graph_queries.ORACLES, **store_queries.ORACLES, **core_problems.ORACLES}
 
 
 @pytest.fixture(scope="module")
