@@ -201,29 +201,29 @@ def changed_rows(rows: DataFrame, taken: DataFrame, seq: str, key: str, version:
     Rows without a key, version or number are no version of anything and are passed
     over; a null content equals a null content only; repeated deliveries of a
     version count once, by the smallest number.  Contents are compared by
-    SHA-256, only for rows in the gaps and versions last taken over.  All
-    aggregates merge before the shuffle, so a key with any number of versions is
-    no burden.
+    SHA-256.  All aggregates merge before the shuffle, so a key with any number
+    of versions is no burden.
     """
     k, v = F.col("_key"), F.col("_version")
     named = lambda df, *more: df.where(F.col(key).isNotNull() & F.col(version).isNotNull()).select(F.col(key).alias("_key"), F.col(version).alias("_version"), *more)
-    own = [F.col(seq).alias("_seq"), F.col(content).alias("_content")]
+    mark = F.coalesce(F.unhex(F.sha2(F.col(content).cast("string"), 256)), F.lit(bytearray(b"none")))
+    # Contents are hashed where they are read: no content is shuffled.
+    rows = rows.where(F.col(seq).isNotNull()).select(seq, *dict.fromkeys([key, version]), mark.alias("_mark"))
+    own = [F.col(seq).alias("_seq"), F.col("_mark")]
     took = staged(named(taken).distinct(), "taken")
     last = took.groupBy("_key").agg(F.max(v).alias("_version"))
-    mark = F.coalesce(F.unhex(F.sha2(F.col("_content").cast("string"), 256)), F.lit(bytearray(b"none")))
     # The rows of versions that were taken over; those taken over last with their contents.
-    rows = rows.where(F.col(seq).isNotNull())
     there = named(rows, *own).join(took.withColumn("_taken", F.lit(True)), ["_key", "_version"], "left_semi").join(last.withColumnRenamed("_version", "_last"), "_key")
-    there = staged(there.select("_key", "_seq", F.when(v == F.col("_last"), F.struct(F.col("_seq").alias("at"), mark.alias("mark"))).alias("old")), "there")
+    there = staged(there.select("_key", "_seq", F.when(v == F.col("_last"), F.struct(F.col("_seq").alias("at"), F.col("_mark").alias("mark"))).alias("old")), "there")
     old = staged(there.groupBy("_key").agg(F.min("old").alias("old")).where("old is not null").join(last, "_key").select("_key", "_version", F.col("old.mark").alias("mark")), "last-taken")
     ledger.adopt(there.join(old.select("_key"), "_key", "left_semi").select(F.col("_seq").alias("seq")))
 
     def process(new: DataFrame) -> DataFrame:
-        best = named(new, *own).groupBy("_key").agg(F.max(F.struct(v, F.negative(F.col("_seq").cast("bigint")).alias("less"), mark.alias("mark"))).alias("new"))
+        best = named(new, *own).groupBy("_key").agg(F.max(F.struct(v, F.negative(F.col("_seq").cast("bigint")).alias("less"), F.col("_mark").alias("mark"))).alias("new"))
         both = best.join(old.select("_key", F.col("_version").alias("_last"), F.col("mark").alias("was")), "_key", "left")
         kept = both.where(F.col("_last").isNull() | ((F.col("new._version") > F.col("_last")) & (F.col("new.mark") != F.col("was"))))
         return kept.select(F.negative("new.less").cast(rows.schema[seq].dataType).alias(seq))
 
-    ledger.run(rows.select(*dict.fromkeys([seq, key, version, content])), seq, process)
+    ledger.run(rows, seq, process)
     out = ledger.output()
     return rows.select(seq).limit(0) if out is None else out
