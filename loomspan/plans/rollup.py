@@ -16,6 +16,10 @@ from loomspan.operators import graph
 from loomspan.operators.timeline import INT64, bounds, node_rows
 
 
+#: Tasks that write a bucket, at most.
+PARTS = 16
+
+
 class Intervals:
     """Whole numbers covered with a weight: the sum of weighted ranges, as a step function."""
 
@@ -71,7 +75,9 @@ class Rollup:
         return per.groupBy("bucket", "node").agg(F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("n_docs"))
 
     def _write(self, df: DataFrame, name: str) -> None:
-        df.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        # A bucket is written by up to PARTS tasks, however many rows it has.
+        first = "source" if "source" in df.columns else "node"
+        df.repartition("bucket", F.pmod(F.xxhash64(first), F.lit(PARTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/{name}")
 
     def build(self, edges: DataFrame, doc_nodes: DataFrame | None = None) -> None:
         self._write(self._edges(edges), "edges")

@@ -20,19 +20,22 @@ def edge_list(spark: SparkSession, path: str, directed: bool = False, check_orde
     it names first if undirected.  ``check_order`` raises ValueError if a time
     is less than one before it.  A file without edges is an error.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\\s+", " ")).alias("line"), F.monotonically_increasing_id().alias("no"), F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\\s+", " ")).alias("line"), F.monotonically_increasing_id().alias("no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"))
     p = F.split("line", " ")
     num = lambda k, t: F.get(p, F.lit(k)).try_cast(t)
-    rows = lines.where(~F.col("line").rlike("^([#;]|$)")).select("file", "no", num(0, "bigint").alias("s"), num(1, "bigint").alias("t"), num(2, "double").alias("weight"), num(3, "bigint").alias("ts"))
+    rows = lines.where(~F.col("line").rlike("^([#;]|$)")).select("file", "piece", "no", num(0, "bigint").alias("s"), num(1, "bigint").alias("t"), num(2, "double").alias("weight"), num(3, "bigint").alias("ts"))
     rows = rows.where("s >= 0 and t >= 0 and ts >= 0 and weight is not null")
     if check_order:
         from pyspark.sql import Window
 
-        back = rows.withColumn("before", F.lag("ts").over(Window.partitionBy("file").orderBy("no"))).where("before > ts")
-        if not back.isEmpty():
+        # Within each piece of a file that a task reads, and from one piece to the next: one row per piece.
+        inside = rows.withColumn("before", F.lag("ts").over(Window.partitionBy("file", "piece").orderBy("no"))).where("before > ts").select("file")
+        borders = rows.groupBy("file", "piece").agg(F.min_by("ts", "no").alias("first"), F.max_by("ts", "no").alias("last"))
+        across = borders.withColumn("before", F.lag("last").over(Window.partitionBy("file").orderBy("piece"))).where("before > first").select("file")
+        if not inside.unionByName(across).isEmpty():
             raise ValueError("times go back")
     ends = (F.col("s"), F.col("t")) if directed else (F.least("s", "t"), F.greatest("s", "t"))
-    edges = rows.select("no", "ts", ends[0].alias("source"), ends[1].alias("target"), "weight").groupBy("ts", "source", "target").agg(F.max_by("weight", "no").alias("weight"))
+    edges = rows.select(F.struct("file", "piece", "no").alias("no"), "ts", ends[0].alias("source"), ends[1].alias("target"), "weight").groupBy("ts", "source", "target").agg(F.max_by("weight", "no").alias("weight"))
     if edges.isEmpty():
         raise ValueError(f"no edges in {path}")
     return edges

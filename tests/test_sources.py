@@ -122,6 +122,7 @@ def test_codec(spark, tmp_path):
     assert all(len(codec.decode_graph(bytes(r["content"]))[0]) == 1 for r in codec.graphs_as_bytes(edges).collect())
 
 
+# Texts and the days they stand for.
 FREE = [
     ("1 april 2015 (really!) - 12 november 2016 (exactly)", None, ["2015-04-01", "2016-11-12"]), ("1 april 2015\nother stuff", None, ["2015-04-01"] * 2), ("1 april 2015 -\nother stuff", None, None),
     ("1 april 2015 -\n\n\n12 november 2016", None, ["2015-04-01", "2016-11-12"]), ("april 1 - november 12, 2016", None, ["2016-04-01", "2016-11-12"]), ("april 1, 2015 – present", None, ["2015-04-01", "NOW"]),
