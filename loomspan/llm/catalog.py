@@ -53,7 +53,7 @@ def _updated(spark: SparkSession, folder: str, least: int = 1, lift: float = 0.0
     cells = staged(cells, "cells")
     before, every = cells.where("typed").drop("typed"), cells.drop("typed")
     t = together.PairTable(spark, least=least, lift=lift)
-    t.apply(None, before)
+    t.apply(None, before, stored=True)
     changed = cells.where("not typed").select("k0", "k1").distinct()
     t.apply(before.join(changed, ["k0", "k1"], "left_semi"), every.join(changed, ["k0", "k1"], "left_semi"), every)
     return t

@@ -35,30 +35,28 @@ def baskets(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
     return known.select(*cols, F.col(item).alias("item")).distinct()
 
 
-def _pairs(both: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The two sides of a join of each basket with itself on ``keys``, px and py; large baskets are spread over pairs of parts."""
-    large = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > PART).select(*keys, F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+def _sizes(both: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(keys, size) of each basket, written down, and (keys, parts) of those that are to be cut into parts, if there are any."""
+    sizes = staged(both.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")), "sizes")
+    large = sizes.where(F.col("size") > PART).select(*keys, F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    return sizes, None if large.isEmpty() else large
+
+
+def _joined(both: DataFrame, keys: list[str], large: DataFrame | None) -> DataFrame:
+    """Each basket joined with itself: (keys, a, b, others_a, others_b) with a < b; large baskets are spread over pairs of parts."""
+    rest = [c for c in both.columns if c not in ("item", *keys)]
+    x = [F.col("item").alias("a"), *[F.col(c).alias(f"{c}_a") for c in rest]]
+    y = [F.col("item").alias("b"), *[F.col(c).alias(f"{c}_b") for c in rest]]
+    if large is None:
+        return both.select(*keys, *x).join(both.select(*keys, *y), keys).where("a < b")
     m = both.join(large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part, every = F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rest = [c for c in both.columns if c not in ("item", *keys)]
-    x = m.select(*keys, F.col("item").alias("a"), *[F.col(c).alias(f"{c}_a") for c in rest], part.alias("px"), every.alias("py"))
-    y = m.select(*keys, F.col("item").alias("b"), *[F.col(c).alias(f"{c}_b") for c in rest], every.alias("px"), part.alias("py"))
-    return x, y
+    return m.select(*keys, *x, part.alias("px"), every.alias("py")).join(m.select(*keys, *y, every.alias("px"), part.alias("py")), [*keys, "px", "py"]).where("a < b")
 
 
-def deltas(old: DataFrame | None, new: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signed changes (pairs: a, b, c), (items: item, n), (size: n) from old to new contents of changed baskets.
-
-    Both tables are as from ``baskets``; None is empty.
-    """
-    parts = [d.withColumn("sign", F.lit(s).cast("bigint")) for d, s in ((old, -1), (new, 1)) if d is not None]
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    on = [*[c for c in both.columns if c.startswith("k")], "sign"]
-    x, y = _pairs(both.select(*on, "item"), on)
-    pairs = x.join(y, [*on, "px", "py"]).where("a < b").groupBy("a", "b").agg(F.sum("sign").alias("c")).where("c <> 0")
-    items = both.groupBy("item").agg(F.sum("sign").alias("n")).where("n <> 0")
-    size = both.select(*on).distinct().agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"))
-    return pairs, items, size
+def _signed_pairs(both: DataFrame, on: list[str], large: DataFrame | None) -> DataFrame:
+    """(a, b, c): signed changes of pairs, of baskets with a sign."""
+    return _joined(both.select(*on, "item"), on, large).groupBy("a", "b").agg(F.sum("sign").alias("c")).where("c <> 0")
 
 
 class PairTable:
@@ -112,7 +110,7 @@ class PairTable:
     def _merge(self, state: dict, kind: str, delta: DataFrame, run: str, changed: DataFrame | None = None) -> None:
         """Merge signed counts into the buckets of ``kind``; for pairs, ``changed`` are the items whose counts changed."""
         keys, count = self.KEYS[kind], "c" if kind == "pairs" else "n"
-        delta = staged(delta.select(*keys, count), "delta")
+        delta = staged(delta.groupBy(*keys).agg(F.sum(count).alias(count)) if kind == "pairs" else delta.select(*keys, count), "delta")
         places, rows = state["places"][kind], state["rows"][kind] + delta.count()
         buckets = max(state["buckets"][kind], LEAST_BUCKETS, 1 << math.ceil(math.log2(max(1, rows / ROWS))))
         bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
@@ -136,8 +134,8 @@ class PairTable:
         kept = {} if touched is None else {b: q for b, q in places.items() if int(b) not in touched}
         state["places"][kind], state["buckets"][kind], state["rows"][kind] = {**kept, **written}, buckets, rows
 
-    def apply(self, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None = None) -> None:
-        """Replace the contents ``old`` of some baskets by ``new``.
+    def apply(self, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None = None, stored: bool = False) -> None:
+        """Replace the contents ``old`` of some baskets by ``new``; both are written down first unless they are ``stored`` tables.
 
         ``every`` are all baskets as they are now; a table that doesn't count
         all items needs them where items become eligible, unless it is new.
@@ -146,41 +144,47 @@ class PairTable:
             return
         self._load()
         state = {k: {x: dict(y) if isinstance(y, dict) else y for x, y in v.items()} if isinstance(v, dict) else v for k, v in self.state.items()}
-        run = uuid.uuid4().hex[:12]
-        old, new = (None if d is None else staged(d, "baskets") for d in (old, new))  # read several times below
-        first = not state["places"]["items"]
-        if every is None and first:
-            every = new
-        pairs, items, size = deltas(old, new)
-        items = staged(items, "items")
+        run, first = uuid.uuid4().hex[:12], not self.state["places"]["items"]
+        parts = [d.withColumn("sign", F.lit(s).cast("bigint")) for d, s in ((old, -1), (new, 1)) if d is not None]
+        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if not stored:
+            both = staged(both, "baskets")  # read several times below
+        on = [*[c for c in both.columns if c.startswith("k")], "sign"]
+        sizes, large = _sizes(both, on)
+        items = staged(both.groupBy("item").agg(F.sum("sign").alias("n")).where("n <> 0"), "items")
         self._merge(state, "items", items, run)
-        state["n"] += size.first()[0]
+        state["n"] += sizes.agg(F.coalesce(F.sum("sign"), F.lit(0))).first()[0]
         if state["least"] > 1 or state["lift"] > 1:
-            pairs = self._eligible_pairs(state, old, new, every, run)
+            pairs = self._eligible_pairs(state, both, on, large, every, run, first)
+        else:
+            pairs = _signed_pairs(both, on, large)
         self._merge(state, "pairs", pairs, run, None if first else items)
         self.log.put(self.number, state)
         self._load()
 
-    def _eligible_pairs(self, state: dict, old: DataFrame | None, new: DataFrame | None, every: DataFrame | None, run: str) -> DataFrame:
+    def _eligible_pairs(self, state: dict, both: DataFrame, on: list[str], large: DataFrame | None, every: DataFrame | None, run: str, first: bool) -> DataFrame:
         """Changes of pairs of items counted so far, and whole counts of pairs with an item that isn't yet."""
         counted = self._read(state, "counted").select("item")
         items = self._read(state, "items")
         fresh = items.where((F.col("n") >= state["least"]) & (F.col("n") * F.lit(float(state["lift"])) <= state["n"])).select("item").join(counted, "item", "left_anti")
         fresh = staged(fresh, "fresh")
-        only = lambda d, of: None if d is None else d.join(of, "item", "left_semi")
-        changes = None
-        if state["places"]["counted"]:
-            changes = deltas(only(old, counted), only(new, counted))[0]
-        if not fresh.isEmpty():
-            if every is None:
-                raise ValueError("items became eligible: all baskets are needed")
+        if fresh.isEmpty():
+            return _signed_pairs(both.join(counted, "item", "left_semi"), on, large)
+        if first and every is None:
+            whole = _signed_pairs(both.join(fresh, "item", "left_semi"), on, large)
+        elif every is None:
+            raise ValueError("items became eligible: all baskets are needed")
+        else:
+            # Only baskets with an item that became eligible are looked at again.
             keys = [c for c in every.columns if c.startswith("k")]
-            both = counted.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
-            x, y = _pairs(every.select(*keys, "item").join(both, "item"), keys)
-            whole = x.join(y, [*keys, "px", "py"]).where("a < b and (is_new_a or is_new_b)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-            changes = whole if changes is None else changes.unionByName(whole)
-            self._merge(state, "counted", fresh.withColumn("n", F.lit(1).cast("bigint")), run)
-        return changes.groupBy("a", "b").agg(F.sum("c").alias("c")) if changes is not None else self.spark.createDataFrame([], "a string, b string, c bigint")
+            touched = every.join(fresh, "item", "left_semi").select(*keys).distinct()
+            marks = counted.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True)))
+            again = staged(every.select(*keys, "item").join(touched, keys, "left_semi").join(marks, "item"), "again")
+            whole = _joined(again, keys, _sizes(again, keys)[1]).where("is_new_a or is_new_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+        known = bool(state["places"]["counted"])
+        changes = _signed_pairs(both.join(staged(counted, "counted"), "item", "left_semi"), on, large).unionByName(whole) if known else whole
+        self._merge(state, "counted", fresh.withColumn("n", F.lit(1).cast("bigint")), run)
+        return changes
 
     def scores(self, least: int = 1) -> DataFrame:
         """(a, b, c, n_a, n_b, n, lift) of pairs in at least ``least`` baskets; lift is c * n / (n_a * n_b)."""
