@@ -736,7 +736,14 @@ def _dashboard(spark, folder) -> TemporalGraph:
     return TemporalGraph(t.documents, edges, staged(t.doc_nodes, "doc-nodes"))
 
 
-@query()
+STABLE = BASE.replace("WITH o AS", "WITH RECURSIVE o AS") + ", " + _hops_sql(9) + """win AS (SELECT step, source, target, sum(weight) AS s FROM e JOIN w ON ts BETWEEN lo AND hi GROUP BY 1, 2, 3),
+own AS (SELECT step, node, sum(s) AS o FROM (SELECT step, source AS node, s FROM win UNION ALL SELECT step, target, s FROM win) GROUP BY 1, 2),
+nz AS (SELECT win.step, source, target, s / (x.o * y.o) AS d FROM win JOIN own x ON x.step = win.step AND x.node = source JOIN own y ON y.step = win.step AND y.node = target),
+zz AS (SELECT k.source, k.target, coalesce(nz.d, 0) AS x FROM (SELECT DISTINCT source, target FROM nz) k CROSS JOIN w LEFT JOIN nz ON nz.source = k.source AND nz.target = k.target AND nz.step = w.step),
+pt AS (SELECT source, target, -round(avg(x), 9) AS x, round(stddev_samp(x), 9) AS y FROM zz GROUP BY 1, 2)"""
+
+
+@query(STABLE + _fronts_sql("pt", "CAST(0.5 AS DOUBLE) ** (k - 1)") + ", q AS (SELECT * FROM fronts)" + SPARSE.replace("round(w, 6)", "w"))
 def dashboard_stable_edges(spark, folder):
     """Windows, each normalised; Pareto fronts of mean and deviation; then the sparse subgraph."""
     return dashboards.subgraph(_dashboard(spark, folder), "stable_edges", *ALL)[0]
