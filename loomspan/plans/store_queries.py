@@ -272,7 +272,7 @@ def stream_watermark(spark, folder):
 
 @query(BASE + f"SELECT source, target, max(ts) AS ts, round(sum(weight * exp({LOG_BETA!r} * (m - ts))), 6) AS value FROM (SELECT *, max(ts) OVER (PARTITION BY source, target) AS m FROM e) GROUP BY 1, 2")
 def stream_decayed_state(spark, folder):
-    """Decayed sums kept in Spark's state store, one state per edge."""
+    """Decayed sums kept in Spark's state store."""
     path, out = new_path(spark, "edge-files"), new_path(spark, "stream")
     network(spark, folder).edges.select("doc_id", "ts", "source", "target", "weight").write.parquet(path)
     s = streams.decayed_sums(streams.read_edges(spark, path, SCHEMA), LOG_BETA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,27 +46,45 @@ def hopping_sums(stream: DataFrame, width: int, slide: int, lateness: str = "1 h
     return agg.select(F.unix_millis("w.start").alias("window_start"), "source", "target", "weight")
 
 
+#: States that the edges of a stream are spread over; each is one call into Python per batch that touches it.
+STATES = 256
+
+
 def decayed_sums(stream: DataFrame, log_beta: float, weight: float = 1.0) -> DataFrame:
     """(source, target, ts, value): sum of weights decayed by exp(log_beta * age), as of each edge's last time.
 
     The state of an edge is its last time and value.  A row that comes late is
-    decayed to the last time, so the order of arrival doesn't matter.
+    decayed to the last time, so the order of arrival doesn't matter.  Edges
+    share ``STATES`` states by a hash, each a packed table, so that a batch
+    costs one call per state and not one per edge; only edges that a batch has
+    rows of are given out.  Rows without an end or a time are no edges.
     """
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, value = state.get if state.exists else (None, 0.0)
+    packed = [("source", "<i8"), ("target", "<i8"), ("ts", "<i8"), ("value", "<f8")]
+
+    def update(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = np.frombuffer(state.get[0], packed) if state.exists else np.empty(0, packed)
+        fresh = np.zeros(len(known), bool)
         for b in batches:
-            if not len(b):
+            rows = np.empty(len(b), packed)
+            rows["source"], rows["target"], rows["ts"], rows["value"] = b.source, b.target, b.ts, b.weight.fillna(0.0) * weight
+            both, fresh = np.concatenate([known, rows]), np.concatenate([fresh, np.ones(len(rows), bool)])
+            order = np.lexsort((both["target"], both["source"]))
+            both, fresh = both[order], fresh[order]
+            s, t = both["source"], both["target"]
+            first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])])[: len(both)])
+            if not len(first):
                 continue
-            newest = int(b.ts.max()) if last is None else max(last, int(b.ts.max()))
-            if last is not None:
-                value *= math.exp(log_beta * (newest - last))
-            value += float((b.weight * weight * (log_beta * (newest - b.ts)).map(math.exp)).sum())
-            last = newest
-        state.update((last, value))
-        yield pd.DataFrame({"source": [key[0]], "target": [key[1]], "ts": [last], "value": [value]})
-
-    return stream.select("source", "target", "ts", "weight").groupBy("source", "target").applyInPandasWithState(
-        update, "source bigint, target bigint, ts bigint, value double", "ts bigint, value double", "update", GroupStateTimeout.NoTimeout
+            last = np.maximum.reduceat(both["ts"], first)
+            age = np.repeat(last, np.diff(np.append(first, len(both)))) - both["ts"]
+            known = both[first]
+            known["ts"], known["value"] = last, np.add.reduceat(both["value"] * np.exp(log_beta * age), first)
+            fresh = np.logical_or.reduceat(fresh, first)
+        state.update((known.tobytes(),))
+        yield pd.DataFrame({c: known[c][fresh] for c, _ in packed})
+
+    rows = stream.select("source", "target", "ts", "weight").where("source is not null and target is not null and ts is not null")
+    return rows.withColumn("part", F.pmod(F.xxhash64("source", "target"), F.lit(STATES))).groupBy("part").applyInPandasWithState(
+        update, "source bigint, target bigint, ts bigint, value double", "edges binary", "update", GroupStateTimeout.NoTimeout
     )
 
 

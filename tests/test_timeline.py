@@ -192,6 +192,29 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/d").columns == ["window_start", "source", "target", "weight"]
 
 
+def test_decayed_sums_call_python_per_state_not_per_edge(spark, tmp_path):
+    schema = "doc_id bigint, ts bigint, source bigint, target bigint, weight double"
+    lb, rng = -0.001, random.Random(10)
+    data = [(i, rng.randrange(0, 5000), i % 3000, 5000 + i % 7, float(i % 5)) for i in range(9000)]
+    spark.createDataFrame(data + [(1, 5, None, 1, 1.0), (1, None, 1, 1, 1.0)], schema).repartition(2).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(1, 9, 3, 5003, None), (2, 6000, 4, 5004, 1.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = streams.decayed_sums(streams.read_edges(spark, f"{tmp_path}/in", schema, 1), lb, 2.0)
+    q = s.writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).outputMode("update").foreachBatch(lambda df, n: df.write.parquet(f"{tmp_path}/out/batch={n}")).start()
+    q.awaitTermination()
+    states = [x.stateOperators[0].numRowsTotal for x in q.recentProgress if x.stateOperators]
+    assert max(states) <= streams.STATES  # states in the store
+    want = {}
+    for _, ts, a, b, w in [*data, (1, 9, 3, 5003, 0.0), (2, 6000, 4, 5004, 1.0)]:
+        want.setdefault((a, b), []).append((ts, w))
+    ends = {k: max(ts for ts, _ in v) for k, v in want.items()}
+    want = {k: sum(2 * w * math.exp(lb * (ends[k] - ts)) for ts, w in v) for k, v in want.items()}
+    got = streams.latest_batch(spark, f"{tmp_path}/out", ["source", "target"]).collect()
+    assert {(r["source"], r["target"]): r["ts"] for r in got} == ends
+    assert near({(r["source"], r["target"]): r["value"] for r in got}, want)
+    sizes = {r["batch"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("batch").count().collect()}
+    assert min(sizes.values()) == 2  # edges that a batch has no rows of aren't given out
+
+
 def test_node_sizes_take_converged_eigenvectors(spark):
     from loomspan.plans import dashboards
 
