@@ -53,6 +53,37 @@ def test_distances(spark):
         assert [(r["weight"], r["count"], r["parent"], r["node"]) for r in p] == [(0, 0, None, 0), (1, 1, 0, 1), (2, 2, 1, 2), (3, 3, 2, 3), (3.5, 3, 2, 4)]
 
 
+def _floyd(edges, nodes, both):
+    d = {(a, b): 0.0 if a == b else math.inf for a in nodes for b in nodes}
+    for (a, b), w in edges.items():
+        for x, y in ((a, b), (b, a)) if both else ((a, b),):
+            d[x, y] = min(d[x, y], w)
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                d[a, b] = min(d[a, b], d[a, k] + d[k, b])
+    return {k: v for k, v in d.items() if k[0] != k[1] and v < math.inf}
+
+
+def test_all_distances_keep_nothing_between_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = {(100 * c + i, 100 * c + j): rng.choice([0.0, 0.5, 1.0, rng.random(), 20 * rng.random()]) for c in range(3) for i in range(12) for j in range(i + 1, 12) if rng.random() < (0.2, 0.9, 0.4)[c]}
+    edges |= {(400 + i, 401 + i): 1.0 for i in range(30)} | {(500, 500): 1.0}  # a long way; a node without a partner
+    nodes = sorted({x for e in edges for x in e})
+    a, b = undirected(spark, edges), directed(spark, {(y, x) if (x + y) % 3 else (x, y): w for (x, y), w in edges.items()})
+    cases = [(x, weighted, _floyd({k: w if weighted else 1.0 for k, w in x.as_dict().items()}, nodes, not x.directed)) for x, weighted in ((a, True), (b, False))]
+    monkeypatch.setattr(traversal, "ROOTS", 7)
+    monkeypatch.setattr(traversal, "CELLS", 50)
+    monkeypatch.setattr(traversal, "LIGHT", 2)
+    with monkeypatch.context() as m:
+        m.setattr(traversal, "paths", None)  # no tables of ways by rounds
+        for x, weighted, want in cases:
+            assert near(x.distance_graph(weighted).as_dict(), want)
+    monkeypatch.setattr(traversal, "IN_TASK", 30)  # by components, the dense one by rounds
+    assert near(a.distance_graph(True).as_dict(), cases[0][2])
+    assert undirected(spark, {(0, 1): math.inf}).distance_graph(True).as_dict() == {(0, 1): math.inf, (1, 0): math.inf}
+
+
 def test_components(spark):
     c = undirected(spark, {(1, 0): 1, (1, 2): 2, (4, 3): 3, (4, 5): 4}).connected_components()
     assert c.as_dict() == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
