@@ -165,7 +165,7 @@ def top_edges(g: DataFrame, k: int, truncate: bool = False) -> DataFrame:
     return g.where(F.col("weight") >= F.lit(least)) if least is not None else g.limit(0)
 
 
-def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int = 8, num_neighbors: int = 3, truncate: bool = False) -> DataFrame:
+def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int = 8, num_neighbors: int = 3, truncate: bool = False, written: bool = False) -> DataFrame:
     """The heaviest edges, each with the nodes most strongly linked to both its ends.  Undirected graphs only.
 
     Seeds are the heaviest edges, or those of ``seeds`` (source, target, weight
@@ -173,9 +173,11 @@ def sparse_subgraph(g: DataFrame, seeds: DataFrame | None = None, num_seeds: int
     Of the common neighbours k of a seed (i, j), those with the greatest
     min(w_ik, w_jk) add the edges (i, k) and (j, k).  An edge that is an earlier
     seed is no side of a later triangle.  Self-loops are left out.  Only edges
-    that touch a seed's end are joined.
+    that touch a seed's end are joined.  A graph that is a table already
+    (``written``) isn't written down again.
     """
-    plain = staged(g.where("source <> target"), "graph")  # read three times below
+    plain = g.where("source <> target")
+    plain = plain if written else staged(plain, "graph")  # read three times below
     s = seeds.where("source <> target") if seeds is not None else top_edges(plain, num_seeds, truncate)
     # Ties can make any number of seeds, so they are numbered without one big task and no join is told to broadcast them.
     first = F.col("rank") if "rank" in s.columns else -F.col("weight")

@@ -117,6 +117,49 @@ def pareto(values: DataFrame, keys: list[str], a: str, b: str, max_a: bool = Tru
     return _weights(points.join(_fronts(points.select("x", "y").distinct()), ["x", "y"]), keys, base)
 
 
+#: Points that a task holds the following ones against, at most.
+HELD = 100_000
+
+
+def in_first_fronts(values: DataFrame, a: str, b: str, max_a: bool, max_b: bool, fronts: int) -> DataFrame:
+    """The rows of the first Pareto fronts of two values, and maybe some more.
+
+    A row is left out where the rows of its own task put it behind so many
+    fronts: then all rows do.  So ``pareto`` of what is left gives the first
+    ``fronts`` fronts as it does of all.  Null values have no front.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held_most = HELD
+
+    def front_of(p: np.ndarray) -> np.ndarray:
+        """Fronts, up to ``fronts`` + 1, of different points in the order of x, then y."""
+        out, left = np.full(len(p), fronts + 1), np.arange(len(p))
+        for f in range(1, fronts + 1):
+            if not len(left):
+                break
+            y = p[left, 1]
+            on = np.concatenate([[True], y[1:] < np.minimum.accumulate(y)[:-1]])
+            out[left[on]] = f
+            left = left[~on]
+        return out
+
+    def keep(batches):
+        held = np.empty((0, 2))
+        for batch in batches:
+            x, y = batch[a].to_numpy(zero_copy_only=False).astype(float), batch[b].to_numpy(zero_copy_only=False).astype(float)
+            own = np.column_stack([-x if max_a else x, -y if max_b else y])
+            odd = np.isnan(own).any(axis=1)
+            points, at = np.unique(np.concatenate([held, np.where(odd[:, None], np.inf, own)]), axis=0, return_inverse=True)
+            front = front_of(points)
+            yield batch.filter(pa.array(odd | (front[at.ravel()[len(held) :]] <= fronts)))
+            good = np.flatnonzero(front <= fronts)
+            held = points[good[np.argsort(front[good], kind="stable")[:held_most]]]
+
+    return values.where(F.col(a).isNotNull() & F.col(b).isNotNull()).mapInArrow(keep, values.schema)
+
+
 #: Points of one cell of the grid, about.
 CELL = 1_000_000
 

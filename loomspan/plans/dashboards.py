@@ -49,12 +49,45 @@ def subgraph(t: TemporalGraph, kind: str, ts_min: int, ts_max: int, steps: int =
     """The edges to show, and for stable_topics the seeds to mark."""
     if kind != "stable_topics":
         return g.sparse_subgraph(edge_weights(t, kind, ts_min, ts_max, steps)), None
-    s = normalized_samples(timeline.sample_graphs(t.edges, windows_of(ts_min, ts_max, steps)))
-    dev = metrics.deviation(s, g.EDGE, steps).withColumnRenamed("weight", "dev")
-    score = staged(t.topics(ts_min, ts_max).df, "topics")
-    both = score.withColumnRenamed("weight", "topic").join(dev, g.EDGE, "left").select(*g.EDGE, F.round("topic", 9).alias("topic"), F.round(F.coalesce("dev", F.lit(0.0)), 12).alias("dev"))
-    seeds = staged(g.top_edges(metrics.pareto(both, g.EDGE, "topic", "dev", True, False, 0.5), 8), "seeds")
-    return g.sparse_subgraph(score, score.join(seeds.select(*g.EDGE, (-F.col("weight")).alias("rank")), g.EDGE)), seeds
+    rated = staged(_rated(t, ts_min, ts_max, steps), "topics")
+    rounded = rated.select(*g.EDGE, F.round("weight", 9).alias("topic"), F.round("dev", 12).alias("dev"))
+    high = staged(metrics.in_first_fronts(rounded, "topic", "dev", True, False, 8), "high")  # the first 8 fronts have 8 edges at least, if there are 8
+    seeds = staged(g.top_edges(metrics.pareto(high, g.EDGE, "topic", "dev", True, False, 0.5), 8), "seeds")
+    score = rated.select(*g.EDGE, "weight")
+    return g.sparse_subgraph(score, score.join(seeds.select(*g.EDGE, (-F.col("weight")).alias("rank")), g.EDGE), written=True), seeds
+
+
+#: Nodes whose sums are sent to all tasks, at most.
+SENT = 100_000
+
+
+def _rated(t: TemporalGraph, ts_min: int, ts_max: int, steps: int) -> DataFrame:
+    """(source, target, weight, dev): score as a topic, and deviation of the weights in the windows, each normalised.
+
+    An edge is one row with its sums of all windows side by side, and a node is
+    too, so that no row is repeated for the windows it lies in.
+    """
+    if steps < 2:
+        raise ValueError("a deviation needs two steps")
+    t = t.within_time(ts_min, ts_max)
+    w = [f"w{i}" for i in range(steps)]
+    inside = [F.coalesce(F.sum(F.when(F.col("ts").between(a, b), F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, a, b in windows_of(ts_min, ts_max, steps)]
+    e = timeline.during(t.edges, ts_min, ts_max).groupBy(*g.EDGE).agg(F.sum("weight").alias("s"), F.count(F.lit(1)).cast("double").alias("d"), *inside)
+    e = staged(e, "sums")
+    ends = F.when(F.col("source") == F.col("target"), F.array("source")).otherwise(F.array("source", "target"))
+    own = e.select(F.explode(ends).alias("node"), *w).groupBy("node").agg(*[F.sum(c).alias(c) for c in w])
+    nodes = staged(timeline.count_nodes(t.edges, t.doc_nodes, ts_min, ts_max).join(own, "node").select("node", F.col("weight").alias("n"), *w), "nodes")
+    few = nodes.count() <= SENT
+    for end in g.EDGE:
+        side = nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("n", *w)])
+        e = e.join(F.broadcast(side) if few else side, end)
+    parts = [F.coalesce(F.try_divide(F.col(c), F.col(f"source_{c}") * F.col(f"target_{c}")), F.lit(0.0)) for c in w]
+    e = e.select(*g.EDGE, "s", "d", (F.col("source_n") + F.col("target_n")).alias("n"), *[p.alias(c) for p, c in zip(parts, w)])
+    mean = sum((F.col(c) for c in w), F.lit(0.0)) / steps
+    e = e.withColumn("mean", mean)
+    squares = sum(((F.col(c) - F.col("mean")) * (F.col(c) - F.col("mean")) for c in w), F.lit(0.0))
+    x = (F.col("n") - F.col("d")) / F.col("d") + F.try_divide(F.col("d"), F.col("s"))
+    return e.select(*g.EDGE, F.coalesce(F.try_divide(F.lit(2.0), x), F.lit(0.0)).alias("weight"), F.sqrt(squares / (steps - 1)).alias("dev"))
 
 
 def node_sizes(t: TemporalGraph, kind: str, ts_min: int, ts_max: int, steps: int = STEPS, tolerance: float = 1e-3) -> DataFrame:

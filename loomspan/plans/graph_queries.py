@@ -732,7 +732,7 @@ def calendar_ranges_quarters(spark, folder):
 def _dashboard(spark, folder) -> TemporalGraph:
     """The network of all time, as a store would have it."""
     t = network(spark, folder)
-    edges = staged(timeline.during(t.edges, *ALL).repartition("doc_id"), "edges")
+    edges = staged(timeline.during(t.edges, *ALL), "edges")
     return TemporalGraph(t.documents, edges, staged(t.doc_nodes, "doc-nodes"))
 
 

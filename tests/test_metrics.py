@@ -82,3 +82,13 @@ def test_pareto_three_values_and_empty(spark):
     df = spark.createDataFrame([(k, *p) for k, p in pts.items()], "node bigint, a double, b double, c double")
     assert {r["node"]: r["weight"] for r in m.pareto_many(df, ["node"], {"a": False, "b": False, "c": False}).collect()} == brute_fronts(pts)
     assert rows(m.pareto(df.limit(0), ["node"], "a", "b")) == [] and rows(m.pareto_many(df.limit(0), ["node"], {"a": True})) == []
+
+
+def test_rows_behind_the_first_fronts_are_left_out_where_they_are_read(spark):
+    rng = random.Random(12)
+    pts = {i: (float(rng.randrange(300)), float(rng.randrange(300))) for i in range(3000)} | {3000: (float("inf"), 5.0), 3001: (7.0, None)}
+    df = spark.createDataFrame([(k, *v) for k, v in pts.items()], "node bigint, a double, b double").repartition(3)
+    few = m.in_first_fronts(df, "a", "b", True, False, 4).collect()
+    full = brute_fronts({k: (-a, b) for k, (a, b) in pts.items() if b is not None})
+    assert {k for k, f in full.items() if f <= 4} <= {r["node"] for r in few} and len(few) < 1000
+    assert {k: f for k, f in brute_fronts({r["node"]: (-r["a"], r["b"]) for r in few}).items() if f <= 4} == {k: f for k, f in full.items() if f <= 4}

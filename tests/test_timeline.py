@@ -221,3 +221,26 @@ def test_node_sizes_take_converged_eigenvectors(spark):
     t = TemporalGraph.from_graphs(spark, [(10, {(0, 0): 1.0, (1, 1): 0.9}), (290, {(0, 0): 0.5, (1, 1): 1.0})])  # 0.9 ** 20 is 0.12
     got = {r["node"]: (r["weight"], r["colour"]) for r in dashboards.node_sizes(t, "trend", 0, 300, steps=2).collect()}
     assert got[1][0] > 0.97 and got[0][0] > 0.97 and (got[0][1], got[1][1]) == ("red", "green")
+
+
+def test_stable_topics_look_at_first_fronts_only(spark, monkeypatch):
+    from loomspan.operators import graph as g
+    from loomspan.operators import metrics
+    from loomspan.plans import dashboards
+
+    rng = random.Random(13)
+    data = [(rng.randrange(0, 3000), {(a, a + 1 + rng.randrange(20)): rng.choice([0.1, 0.4, 1.0]) for a in (rng.randrange(30) for _ in range(6))}) for _ in range(300)]
+    t = TemporalGraph.from_graphs(spark, data)
+    s = dashboards.normalized_samples(tl.sample_graphs(t.edges, dashboards.windows_of(100, 2900)))
+    topic = t.topics(100, 2900).df
+    dev = metrics.deviation(s, g.EDGE, 9).withColumnRenamed("weight", "dev")
+    both = topic.withColumnRenamed("weight", "topic").join(dev, g.EDGE, "left").select(*g.EDGE, F.round("topic", 9).alias("topic"), F.round(F.coalesce("dev", F.lit(0.0)), 12).alias("dev"))
+    want = g.top_edges(metrics.pareto(both, g.EDGE, "topic", "dev", True, False, 0.5), 8)
+    shown = g.sparse_subgraph(topic, topic.join(want.select(*g.EDGE, (-F.col("weight")).alias("rank")), g.EDGE))
+    asked, pareto = [], metrics.pareto
+    monkeypatch.setattr(metrics, "pareto", lambda values, *a: (asked.append(values.count()), pareto(values, *a))[1])
+    got, seeds = dashboards.subgraph(t, "stable_topics", 100, 2900)
+    assert rows(seeds, *g.EDGE, "weight") == rows(want, *g.EDGE, "weight") and rows(got, *g.EDGE, "weight") == rows(shown, *g.EDGE, "weight")
+    monkeypatch.setattr(dashboards, "SENT", 0)  # nodes too many to be sent
+    assert rows(dashboards._rated(t, 100, 2900, 9).select(*g.EDGE, F.round("weight", 9).alias("topic"), F.round("dev", 12).alias("dev"))) == rows(both)
+    assert asked[0] < both.count()  # the others are known to be behind
